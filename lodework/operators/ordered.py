@@ -195,6 +195,36 @@ def framed(df: DataFrame, keys: list[str], order: list[Column], build, preceding
     return _merge(None if cold is None else native(cold), result)
 
 
+def range_framed(df: DataFrame, keys: list[str], value: str, build, preceding: int = 0, following: int = 0,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Window expressions over RANGE frames of an integer column, at most ``preceding`` / ``following`` away.
+
+    Hot keys are cut into value stripes as wide as the frame; rows within reach of the next stripe are copied to it.
+    """
+    order = [F.col(value).asc()]
+    cold, hot = split_hot(df, keys, order, hot_rows)
+
+    def native(rows):
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return rows.select("*", *[c.alias(n) for n, c in build(window).items()])
+
+    if hot is None:
+        return native(cold)
+    width = max(preceding, following, 1)
+    stripe = F.floor(F.col(value) / width).cast("long")
+    offset = F.col(value) - stripe * width
+    copies = F.array(
+        F.struct(stripe.alias("stripe"), F.lit(False).alias("halo")),
+        F.struct(F.when(offset >= width - preceding, stripe + 1).alias("stripe"), F.lit(True).alias("halo")),
+        F.struct(F.when(offset <= following - 1, stripe - 1).alias("stripe"), F.lit(True).alias("halo")))
+    spread = (hot.select(*df.columns, F.inline(copies).alias("_stripe", "_halo"))
+              .where(F.col("_stripe").isNotNull() | ~F.col("_halo")))
+    inside = Window.partitionBy(*keys, "_stripe").orderBy(*order)
+    result = (spread.select("*", *[c.alias(n) for n, c in build(inside).items()])
+              .where(~F.col("_halo")).drop("_stripe", "_halo"))
+    return _merge(None if cold is None else native(cold), result)
+
+
 def paged(df: DataFrame, keys: list[str], order: list[Column], page_rows: int,
           hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``page``: consecutive pages of at most ``page_rows`` rows per key, so that

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodework.operators.counters import snapshot_delta
-from lodework.operators.ordered import framed, nth_from_last, null_safe, numbered, running, topk
+from lodework.operators.ordered import framed, nth_from_last, null_safe, numbered, range_framed, running, topk
 from lodework.plans.registry import plan
 
 def gaps(t):
@@ -72,9 +71,9 @@ def ranking_frames(spark, t):
     price = F.col("o_totalprice").cast("decimal(18,2)")
     df = framed(df, ["o_custkey"], order,
                 lambda w: {"near_total": F.sum(price).over(w.rowsBetween(-2, 1)).cast("double")}, preceding=2, following=1)
-    # a RANGE frame: running count by day minus the running count before the frame
-    thirty = Window.partitionBy("o_custkey").orderBy("day").rangeBetween(-30, 0)
-    return df.withColumn("last_30_days", F.count(F.lit(1)).over(thirty)).select(
+    df = range_framed(df, ["o_custkey"], "day",
+                      lambda w: {"last_30_days": F.count(F.lit(1)).over(w.rangeBetween(-30, 0))}, preceding=30)
+    return df.select(
         "o_orderkey", "rn", "rk", "dr", "quarter", "near_total", "last_30_days")
 
 
