@@ -1,7 +1,8 @@
 """Full-text search over postings tables: BM25, boolean and phrase match, 2-gram substring search.
 
-An index is a set of DataFrames; ``save`` stages them with the postings laid out by a hash of the
-term, so a search reads only the folders of its own terms.
+An index is a set of DataFrames staged in the shared folder.  Postings are range-partitioned and
+sorted by (term, id): the minimum and maximum of each Parquet row group let a search skip all files
+without its terms, and the postings of a frequent term spread over several files.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ STOP_WORDS = ("a an and are as at be but by for from had has have he her his i i
               "no not of on or our she so such that the their then there these they this to was we "
               "were what when which who will with you your").split()
 
-BUCKETS = 64
 
-
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _by_term(rows: DataFrame, label: str) -> DataFrame:
+    """Stage rows sorted by term, then id."""
+    return stage(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), label)
 
 
 def tokens(text: Column) -> Column:
@@ -39,7 +39,7 @@ def _terms_of(df: DataFrame, query: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(term, id, tf, bucket), lengths(id, len), terms(term, df, bucket)."""
+    """postings(term, id, tf), lengths(id, len), terms(term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -51,16 +51,15 @@ class Bm25Index:
 def build_bm25(df: DataFrame, id_col: str, text: str) -> Bm25Index:
     """Term statistics of a corpus.
 
-    The text is cut once; counts per (term, id) combine before the shuffle.
+    The text is cut once; counts per (term, id) combine before the shuffle, and all other statistics
+    come from the staged postings.  Texts without a word count as documents of length 0.
     """
-    cut = df.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("words"))
-    counted = (cut.select("id", F.explode("words").alias("term")).groupBy("term", "id")
-               .agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket_of(F.col("term"))))
-    postings = stage(counted.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))), "postings", ["bucket"])
-    lengths = stage(cut.select("id", F.size("words").cast("long").alias("len")), "lengths")
-    terms = stage(postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")), "terms", ["bucket"])
-    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
-    return Bm25Index(postings, lengths, terms, n, mean or 0.0)
+    words = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
+    postings = _by_term(words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    lengths = stage(postings.groupBy("id").agg(F.sum("tf").alias("len")), "lengths")
+    terms = stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    documents, total = df.count(), lengths.agg(F.sum("len")).first()[0] or 0
+    return Bm25Index(postings, lengths, terms, documents, total / max(documents, 1))
 
 
 def _scored(index: Bm25Index, hits: DataFrame, keys: list[str], k1: float, b: float) -> DataFrame:
@@ -75,41 +74,31 @@ def _scored(index: Bm25Index, hits: DataFrame, keys: list[str], k1: float, b: fl
 
 def bm25_topk(index: Bm25Index, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, distance) of the ``k`` best documents, best first: the distance is the negative score."""
-    words = _terms_of(index.postings, query)
-    wanted = F.col("term").isin(words) & F.col("bucket").isin(_buckets(index.postings, words))
-    hits = index.postings.where(wanted).join(index.terms.where(wanted).select("term", "df"), "term")
+    wanted = F.col("term").isin(_terms_of(index.postings, query))
+    hits = index.postings.where(wanted).join(index.terms.where(wanted), "term")
     return _scored(index, hits, [], k1, b).orderBy("distance", "id").limit(k)
 
 
-def _buckets(df: DataFrame, words: list[str]) -> list[int]:
-    """Folder numbers of a short list of terms."""
-    if not words:
-        return []
-    frame = df.sparkSession.createDataFrame([(w,) for w in words], "term string")
-    return sorted({r[0] for r in frame.select(bucket_of(F.col("term"))).collect()})
-
-
 def bm25_topk_many(index: Bm25Index, queries: DataFrame, qid: str, text: str, k: int,
                    k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, id, distance, rn): the ``k`` best documents of each query text of a table."""
     asked = queries.select(F.col(qid), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    hits = asked.join(index.terms.select("term", "df"), "term").join(index.postings.drop("bucket"), "term")
+    hits = asked.join(index.terms, "term").join(index.postings, "term")
     scored = _scored(index, hits, [qid], k1, b)
     return topk(scored, [qid], [F.asc("distance"), F.asc("id")], k)
 
 
 @dataclass(frozen=True)
 class PositionIndex:
-    """postings(term, id, pos, bucket) with the place of each word in its text, stop words counted."""
+    """postings(term, id, pos) with the place of each word in its text, stop words counted."""
 
     postings: DataFrame
 
 
 def build_positions(df: DataFrame, id_col: str, text: str) -> PositionIndex:
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = (df.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term"))
-            .withColumn("bucket", bucket_of(F.col("term"))))
-    return PositionIndex(stage(rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))), "positions", ["bucket"]))
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term"))
+    return PositionIndex(_by_term(rows, "positions"))
 
 
 def fts(index: PositionIndex, terms: list[str], mode: str = "and", k: int | None = None) -> DataFrame:
@@ -119,7 +108,7 @@ def fts(index: PositionIndex, terms: list[str], mode: str = "and", k: int | None
     start with votes from all places is an occurrence.
     """
     words = [t.lower() for t in terms]
-    hits = index.postings.where(F.col("term").isin(words) & F.col("bucket").isin(_buckets(index.postings, words)))
+    hits = index.postings.where(F.col("term").isin(words))
     if mode == "phrase":
         offsets = F.explode(F.array(*[F.when(F.col("term") == w, F.lit(i)) for i, w in enumerate(words)])).alias("off")
         votes = hits.select("id", "pos", offsets).where(F.col("off").isNotNull())
@@ -144,7 +133,7 @@ def bigrams(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class BigramIndex:
-    """grams(term, id, bucket): the distinct 2-grams of each text; and the texts themselves."""
+    """grams(term, id): the distinct 2-grams of each text; and the texts themselves."""
 
     grams: DataFrame
     texts: DataFrame
@@ -152,9 +141,8 @@ class BigramIndex:
 
 def build_bigrams(df: DataFrame, id_col: str, text: str) -> BigramIndex:
     texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = (texts.select("id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term"))
-            .withColumn("bucket", bucket_of(F.col("term"))))
-    return BigramIndex(stage(rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))), "grams", ["bucket"]), texts)
+    rows = texts.select("id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term"))
+    return BigramIndex(_by_term(rows, "grams"), texts)
 
 
 def bigram_candidates(index: BigramIndex, pattern: str) -> DataFrame:
@@ -166,7 +154,7 @@ def bigram_candidates(index: BigramIndex, pattern: str) -> DataFrame:
     texts = index.texts.where(F.col("text").contains(pattern))
     if not words:
         return texts
-    hits = index.grams.where(F.col("term").isin(words) & F.col("bucket").isin(_buckets(index.grams, words)))
+    hits = index.grams.where(F.col("term").isin(words))
     full = hits.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(words)).select("id")
     return texts.join(full, "id", "left_semi")
 

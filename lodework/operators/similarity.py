@@ -99,6 +99,10 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+# rare elements that two texts must share before they are compared
+SHARED = 3
+
+
 def _numbered_grams(text: Column) -> Column:
     """2-grams of `` text `` as a bag: the i-th use of a gram is its own element."""
     grams = F.array_sort(bigrams(F.concat(F.lit(" "), text, F.lit(" "))))
@@ -110,14 +114,13 @@ def fuzzy_join(left: DataFrame, right: DataFrame, l_col: str, r_col: str, sim: s
     """(l_col, r_col, similarity): all pairs of distinct texts at least ``minimum`` alike; exact.
 
     ``sim`` is bigram, jaccard (words) or edit (``minimum`` at least 0.5).  Elements are ordered by how
-    rare they are; two texts that are alike enough must share one of their first few rare elements, so
-    only those meet in an equi-join.  Copies of a text are compared once: join the pairs back to the
+    rare they are; two texts that are alike enough must share several of their first rare elements, so
+    only those meet in an equi-join and pairs that share too few are dropped before scoring.  Copies of a text are compared once: join the pairs back to the
     rows to spread them.
     """
     if sim == "edit" and minimum < 0.5:
         raise ValueError("edit similarity joins need a minimum of at least 0.5")
     elements = {"bigram": gram_set, "jaccard": token_set, "edit": _numbered_grams}[sim]
-    score = {"bigram": bigram_sim, "jaccard": token_jaccard, "edit": edit_sim}[sim]
 
     def side(df, column, tag):
         values = df.select(F.col(column).alias(f"{tag}v")).where(F.col(column).isNotNull()).distinct()
@@ -128,21 +131,34 @@ def fuzzy_join(left: DataFrame, right: DataFrame, l_col: str, r_col: str, sim: s
             .groupBy("e").agg(F.count(F.lit(1)).alias("uses")))
 
     def prefix(df, tag):
-        """Rows (value, element) of the rare elements that decide."""
+        """Rows (value, size, element) of the rare elements that decide."""
         size = F.size(f"{tag}e")
         if sim == "edit":
             edits = F.floor((1 - minimum) * F.length(f"{tag}v") / minimum + 1e-9)
-            keep = 2 * edits + 1
+            keep, size = 2 * edits + SHARED, F.length(f"{tag}v")
         else:
-            keep = size - F.ceil(minimum * size - 1e-9) + 1
-        rare = (df.select(f"{tag}v", keep.alias("keep"), F.explode(f"{tag}e").alias("e")).join(uses, "e")
-                .groupBy(f"{tag}v", "keep").agg(F.array_sort(F.collect_list(F.struct("uses", "e"))).alias("s")))
-        return rare.select(f"{tag}v", F.explode(F.slice("s", 1, F.col("keep").cast("int"))).alias("x")).select(f"{tag}v", F.col("x.e").alias("e"))
-
-    candidates = prefix(lhs, "l").join(prefix(rhs, "r"), "e").select("lv", "rv").distinct()
+            keep = size - F.ceil(minimum * size - 1e-9) + SHARED
+        rare = (df.select(f"{tag}v", keep.alias("keep"), size.alias(f"{tag}n"), F.explode(f"{tag}e").alias("e")).join(uses, "e")
+                .groupBy(f"{tag}v", "keep", f"{tag}n").agg(F.array_sort(F.collect_list(F.struct("uses", "e"))).alias("s")))
+        return (rare.select(f"{tag}v", f"{tag}n", F.explode(F.slice("s", 1, F.col("keep").cast("int"))).alias("x"))
+                .select(f"{tag}v", f"{tag}n", F.col("x.e").alias("e")))
+
+    # sizes too far apart cannot be alike enough
+    near = F.least("ln", "rn") >= minimum * F.greatest("ln", "rn") - 1e-9
+    longer = F.greatest("ln", "rn")
+    edits = F.floor((1 - minimum) * longer + 1e-9).cast("int")
+    needed = longer + 1 - 2 * edits if sim == "edit" else F.ceil(minimum * longer - 1e-9)
+    candidates = (prefix(lhs, "l").join(prefix(rhs, "r"), "e").where(near).groupBy("lv", "rv", "ln", "rn")
+                  .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.least(needed, F.lit(SHARED))))
     if sim == "edit":
-        shorter, longer = F.least(F.length("lv"), F.length("rv")), F.greatest(F.length("lv"), F.length("rv"))
-        candidates = candidates.where(shorter >= minimum * longer - 1e-9)
-    return (candidates.withColumn("similarity", score(F.col("lv"), F.col("rv")))
-            .where(F.col("similarity") >= minimum - 1e-12)
+        # the bounded distance stops early and is -1 beyond the bound
+        distance = F.call_function("levenshtein", F.col("lv"), F.col("rv"), edits)
+        scored = (candidates.withColumn("d", distance).where("d >= 0")
+                  .withColumn("similarity", F.when(longer == 0, 1.0).otherwise(1 - F.col("d") / longer)))
+    else:
+        x, y = F.col("le"), F.col("re")
+        shared = F.size(F.array_intersect(x, y))
+        whole = F.greatest(F.size(x), F.size(y)) if sim == "bigram" else F.size(x) + F.size(y) - shared
+        scored = candidates.join(lhs, "lv").join(rhs, "rv").withColumn("similarity", shared / F.greatest(whole, F.lit(1)))
+    return (scored.where(F.col("similarity") >= minimum - 1e-12)
             .select(F.col("lv").alias(l_col), F.col("rv").alias(r_col), "similarity"))

@@ -127,17 +127,19 @@ def jaro_similarity(spark, t):
 
 
 @plan("fuzzy_join", f"""
-WITH l AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS a FROM part), r AS (SELECT DISTINCT p_brand || ' ' || p_name || ' ' || p_type AS b FROM part),
+WITH l AS (SELECT DISTINCT p_name || ' ' || p_brand AS a FROM part), r AS (SELECT DISTINCT p_brand || ' ' || p_name AS b FROM part),
+k AS (SELECT DISTINCT p_name || ' ' || p_type AS a FROM part),
 lg AS (SELECT a, {GRAMS.format('a')} AS x FROM l), rg AS (SELECT b, {GRAMS.format('b')} AS y FROM r)
 SELECT 'bigram' AS kind, a, b, round(len(list_intersect(x, y)) / greatest(len(x), len(y)), 6) AS similarity FROM lg, rg
 WHERE len(list_intersect(x, y)) / greatest(len(x), len(y)) >= 0.85
 UNION ALL
-SELECT 'edit', a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) FROM l, (SELECT a AS b FROM l)
-WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.9
+SELECT 'edit', a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) FROM k, (SELECT a AS b FROM k)
+WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.8
 """)
 def fuzzy(spark, t):
-    left = t.part.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("a"))
-    right = t.part.select(F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("b"))
+    left = t.part.select(F.concat_ws(" ", "p_name", "p_brand").alias("a"))
+    right = t.part.select(F.concat_ws(" ", "p_brand", "p_name").alias("b"))
+    kinds = t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("a"))
     grams = fuzzy_join(left, right, "a", "b", "bigram", 0.85).withColumn("kind", F.lit("bigram"))
-    edits = fuzzy_join(left, left.toDF("b"), "a", "b", "edit", 0.9).withColumn("kind", F.lit("edit"))
+    edits = fuzzy_join(kinds, kinds.toDF("b"), "a", "b", "edit", 0.8).withColumn("kind", F.lit("edit"))
     return grams.unionByName(edits).withColumn("similarity", F.round("similarity", 6))

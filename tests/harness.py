@@ -20,6 +20,7 @@ import duckdb  # noqa: E402
 from lodework.session import TABLES, build_session  # noqa: E402
 
 DATA = "/root/testdata"
+TIMES: dict[str, float] = {}
 
 
 def connect(sf_dir: str):
@@ -61,6 +62,7 @@ def rows_of(columns, rows):
 def compare(name, df, con, sql):
     """None when equal, else a short account of the first difference."""
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time()
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
     want = rows_of(cols, cur.fetchall())
@@ -96,9 +98,10 @@ def main():
                 problem, n = None, df.count()
         except Exception as error:  # noqa: BLE001
             problem, n = f"{type(error).__name__}: {error}"[:1800], -1
+        spent = TIMES.pop("spark", time.time()) - start
         bad += problem is not None
         kind = "" if name in oracles else " (rows only)"
-        print(f"{'ok ' if problem is None else 'BAD'} {name:26s} {n:7d} rows {time.time() - start:6.2f}s{kind}"
+        print(f"{'ok ' if problem is None else 'BAD'} {name:26s} {n:7d} rows {spent:6.2f}s spark {time.time() - start:6.2f}s all{kind}"
               + (f"\n    {problem}" if problem else ""), flush=True)
     print(f"{bad} bad", flush=True)
 
