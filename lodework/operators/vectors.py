@@ -60,7 +60,7 @@ def _batch_best(ids, rows, wanted, k, metric) -> pd.DataFrame:
         dist = _distances(rows[pick], query, metric)
         good = ~np.isnan(dist)
         pick, dist = pick[good], dist[good]
-        best = np.lexsort((ids[pick], np.round(dist, 9)))[:k]
+        best = np.lexsort((ids[pick], dist))[:k]
         found.append(pd.DataFrame({"qid": qid, "id": ids[pick[best]], "distance": dist[best]}))
     return pd.concat(found) if found else pd.DataFrame({"qid": [], "id": [], "distance": []})
 
@@ -88,7 +88,6 @@ def _best_overall(parts: list[DataFrame], spark, k: int) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.withColumn("distance", F.round("distance", 6))
     return topk(rows, ["qid"], [F.asc("distance"), F.asc("id")], k)
 
 
@@ -107,7 +106,7 @@ def knn(df: DataFrame, id_col: str, vec: str, queries: DataFrame, qid: str, q_ve
             for batch in batches:
                 if len(batch):
                     mat = np.stack(batch["v"].to_numpy()).astype("float64")
-                    yield _batch_best(batch["id"].to_numpy(), mat, [(q, v, None) for q, v in block], k + 8, metric)
+                    yield _batch_best(batch["id"].to_numpy(), mat, [(q, v, None) for q, v in block], k, metric)
         return rows.mapInPandas(run, SCHEMA)
 
     return _best_overall([scan(b) for b in _blocks(queries, qid, q_vec)], df.sparkSession, k)
@@ -175,7 +174,7 @@ def ann_search(index: AnnIndex, queries: DataFrame, qid: str, q_vec: str, k: int
                     mat = np.stack(batch["v"].to_numpy()).astype("float64")
                     lists = batch["list_id"].to_numpy()
                     yield _batch_best(batch["id"].to_numpy(), mat,
-                                      [(q, v, np.isin(lists, list(asked[q]))) for q, v in block], k + 8, metric)
+                                      [(q, v, np.isin(lists, list(asked[q]))) for q, v in block], k, metric)
         return index.lists.where(F.col("list_id").isin(folders)).mapInPandas(run, SCHEMA)
 
     return _best_overall([scan(b) for b in _blocks(queries, qid, q_vec)], index.lists.sparkSession, k)

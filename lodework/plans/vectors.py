@@ -33,12 +33,13 @@ def vector_distance(spark, t):
 
 
 @plan("knn_exact", f"""
-WITH {CENTRES_SQL}, d AS (SELECT c.label, e.vec_id, round(list_distance(e.embedding::DOUBLE[], centre), 6) AS distance FROM embeddings e, c),
+WITH {CENTRES_SQL}, d AS (SELECT c.label, e.vec_id, list_distance(e.embedding::DOUBLE[], centre) AS distance FROM embeddings e, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rn FROM d)
-SELECT CAST(label AS BIGINT) AS label, vec_id, distance, rn FROM r WHERE rn <= 10
+SELECT CAST(label AS BIGINT) AS label, vec_id, round(distance, 6) AS distance, rn FROM r WHERE rn <= 10
 """)
 def knn_exact(spark, t):
-    return knn(t.embeddings, "vec_id", "embedding", label_centres(t), "label", "centre", 10).toDF("label", "vec_id", "distance", "rn")
+    return knn(t.embeddings, "vec_id", "embedding", label_centres(t), "label", "centre", 10).select(
+        F.col("qid").alias("label"), F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rn")
 
 
 @plan("ann_index", "SELECT m AS metric, true AS recall_ok FROM (VALUES ('cosine'), ('l2')) v(m)")
