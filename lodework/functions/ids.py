@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = 2 ** 62
-WIDE = "decimal(38,0)"
-
-
-def _keys(salt: str) -> tuple[int, int]:
-    """Odd multiplier and offset drawn from the salt."""
-    digest = hashlib.sha256(salt.encode()).digest()
-    return int.from_bytes(digest[:8], "big") % SPACE | 1, int.from_bytes(digest[8:16], "big") % SPACE
+HALF_BITS = 31
+HALF = 2 ** HALF_BITS
+ROUNDS = 4
 
 
-def _wide(value: int):
-    return F.lit(str(value)).cast(WIDE)
+def _mix(half: Column, salt: str, turn: int) -> Column:
+    """Keyed value in one half of the id space."""
+    return F.xxhash64(F.lit(f"{salt}|{turn}"), half).bitwiseAND(F.lit(HALF - 1))
 
 
 def encode_ids(df: DataFrame, column: str, salt: str, name: str = "code") -> DataFrame:
-    """Short text for each integer id in [0, 2^62): a keyed permutation in base 36.
+    """Short text for each integer id in [0, 2^62): a keyed permutation (Feistel rounds) in base 36.
 
-    Distinct ids get distinct texts.  It hides counters from readers; it is not encryption.
+    Distinct ids get distinct texts; other ids raise.  It hides counters from readers; it is not encryption.
     """
-    a, b = _keys(salt)
-    value = F.col(column)
-    bad = F.raise_error(F.concat(F.lit("id out of range: "), value.cast("string"))).cast(WIDE)
-    safe = F.when((value >= 0) & (value < SPACE), value.cast(WIDE)).when(value.isNotNull(), bad)
-    mixed = ((safe * _wide(a)).cast(WIDE) % _wide(SPACE) + _wide(b)).cast(WIDE) % _wide(SPACE)
-    return df.withColumn(name, F.lower(F.conv(mixed.cast("string"), 10, 36)))
+    value = F.col(column).cast("long")
+    bad = F.raise_error(F.concat(F.lit("id out of range: "), value.cast("string"))).cast("long")
+    df = df.withColumn("_id", F.when((value >= 0) & (value < HALF * HALF), value).when(value.isNotNull(), bad))
+    df = df.withColumn("_l", F.shiftright("_id", HALF_BITS)).withColumn("_r", F.col("_id").bitwiseAND(F.lit(HALF - 1)))
+    for turn in range(ROUNDS):
+        df = df.withColumns({"_l": F.col("_r"), "_r": F.col("_l").bitwiseXOR(_mix(F.col("_r"), salt, turn))})
+    mixed = F.shiftleft("_l", HALF_BITS).bitwiseOR(F.col("_r"))
+    return df.withColumn(name, F.lower(F.conv(mixed.cast("string"), 10, 36))).drop("_id", "_l", "_r")
 
 
 def decode_ids(df: DataFrame, column: str, salt: str, name: str = "id") -> DataFrame:
-    a, b = _keys(salt)
-    inverse = pow(a, -1, SPACE)
-    mixed = F.conv(F.col(column), 36, 10).cast(WIDE)
-    shifted = (mixed + _wide(SPACE) - _wide(b)).cast(WIDE) % _wide(SPACE)
-    return df.withColumn(name, ((shifted * _wide(inverse)).cast(WIDE) % _wide(SPACE)).cast("long"))
+    """Ids back from their texts."""
+    df = df.withColumn("_m", F.conv(F.col(column), 36, 10).cast("long"))
+    df = df.withColumn("_l", F.shiftright("_m", HALF_BITS)).withColumn("_r", F.col("_m").bitwiseAND(F.lit(HALF - 1)))
+    for turn in reversed(range(ROUNDS)):
+        df = df.withColumns({"_r": F.col("_l"), "_l": F.col("_r").bitwiseXOR(_mix(F.col("_l"), salt, turn))})
+    return df.withColumn(name, F.shiftleft("_l", HALF_BITS).bitwiseOR(F.col("_r"))).drop("_m", "_l", "_r")

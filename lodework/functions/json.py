@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodework.operators.ordered import HOT_ROWS, paged
+from lodework.session import widen
 
 COMPARE = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b,
@@ -49,7 +50,7 @@ def path_test(parsed: Column, path: str, op: str, value=None) -> Column:
 
 def json_where(df: DataFrame, column: str, path: str, op: str, value=None) -> DataFrame:
     """Rows whose JSON text satisfies a predicate on a path such as ``$.a.b``; bad JSON never does."""
-    return (df.withColumn("_v", F.try_parse_json(column)).where(path_test(F.col("_v"), path, op, value)).drop("_v"))
+    return (widen(df).withColumn("_v", F.try_parse_json(column)).where(path_test(F.col("_v"), path, op, value)).drop("_v"))
 
 
 # Names of the JSON types and the VARIANT shapes they cover.
@@ -59,6 +60,13 @@ TYPE_SHAPES = {
 }
 
 
+def _member(name: str) -> str:
+    """Path of a member, whatever characters its name has."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"cannot address member {name}")
+    return f'$["{name}"]' if "'" in name else f"$['{name}']"
+
+
 def _violations(schema: dict, value: Column, path: str) -> list[tuple[str, Column]]:
     """(rule, violated) for one schema node; a rule on another type than the value's is met."""
     shape = F.schema_of_variant(value)
@@ -66,7 +74,8 @@ def _violations(schema: dict, value: Column, path: str) -> list[tuple[str, Colum
     number = F.when(shape.rlike(TYPE_SHAPES["number"]), F.try_variant_get(value, "$", "double"))
     text = F.when(shape == "STRING", F.try_variant_get(value, "$", "string"))
     items = F.when(shape.rlike(TYPE_SHAPES["array"]), F.try_variant_get(value, "$", "array<variant>"))
-    fields = F.when(shape.rlike(TYPE_SHAPES["object"]), F.try_variant_get(value, "$", "map<string,variant>"))
+    is_object = shape.rlike(TYPE_SHAPES["object"])
+    fields = F.when(is_object, F.try_variant_get(value, "$", "map<string,variant>"))
     found: list[tuple[str, Column]] = []
 
     def rule(keyword: str, violated: Column) -> None:
@@ -91,14 +100,14 @@ def _violations(schema: dict, value: Column, path: str) -> list[tuple[str, Colum
             rule(keyword, F.when({"minLength": text, "maxLength": text, "pattern": text, "minItems": items,
                                   "maxItems": items}.get(keyword, number).isNotNull(), test(schema[keyword])))
     for name in schema.get("required", []):
-        rule(f"required {name}", fields.isNotNull() & ~F.array_contains(F.map_keys(fields), name))
+        rule(f"required {name}", is_object & F.try_variant_get(value, _member(name), "variant").isNull())
     if schema.get("additionalProperties") is False:
         known = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
         rule("additionalProperties", F.size(F.array_except(F.map_keys(fields), known)) > 0)
     for name, child in schema.get("properties", {}).items():
-        found += _violations(child, F.try_element_at(fields, F.lit(name)), f"{path}.{name}")
+        found += _violations(child, F.try_variant_get(value, _member(name), "variant"), f"{path}.{name}")
     if isinstance(schema.get("items"), dict):
-        rule("items", F.exists(items, lambda x: _any(_violations(schema["items"], x, "")))) 
+        rule("items", F.exists(items, lambda x: _any(_violations(schema["items"], x, ""))))
     return found
 
 
@@ -108,7 +117,7 @@ def _any(rules: list[tuple[str, Column]]) -> Column:
 
 def validate_json(df: DataFrame, column: str, schema: dict, name: str = "violations") -> DataFrame:
     """Adds the list of rules each JSON text breaks (empty when it is valid; ``$ json`` if it is no JSON)."""
-    parsed = F.try_parse_json(column)
+    parsed, df = F.try_parse_json(column), widen(df)
     rules = _violations(schema, F.col("_v"), "$")
     broken = F.filter(F.array(F.when(F.col("_v").isNull() & F.col(column).isNotNull(), F.lit("$ json")),
                               *[F.when(violated, F.lit(rule)) for rule, violated in rules]), lambda x: x.isNotNull())
@@ -121,8 +130,9 @@ def json_matches_schema(df: DataFrame, column: str, schema: dict, name: str = "v
 
 def json_schema_audit(df: DataFrame, column: str, schema: dict) -> DataFrame:
     """(rule, violations): how often each rule is broken, in one pass."""
-    return (validate_json(df, column, schema).select(F.explode("violations").alias("rule"))
-            .groupBy("rule").agg(F.count(F.lit(1)).alias("violations")))
+    # the outer form keeps the optimizer from testing the list, and so parsing the text again, below the explode
+    return (validate_json(df, column, schema).select(F.explode_outer("violations").alias("rule"))
+            .where(F.col("rule").isNotNull()).groupBy("rule").agg(F.count(F.lit(1)).alias("violations")))
 
 
 def nest(parent: DataFrame, child: DataFrame, parent_key: str, fk: str, order: list[Column], name: str = "children",

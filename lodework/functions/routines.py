@@ -32,48 +32,57 @@ def register_table(spark: SparkSession, name: str, handler: type, returns: str):
     return made
 
 
+# rows a task gathers before it forms partial states
+GATHER_ROWS = 200_000
+
+
 def grouped_agg(df: DataFrame, group: list[str], columns: list[str], partial: Callable[[pd.DataFrame], object],
-                merge: Callable[[list], object], finish: Callable[[object], object], returns: str, name: str = "result",
-                spread: int = 32) -> DataFrame:
+                merge: Callable[[list], object], finish: Callable[[object], object], returns: str, name: str = "result") -> DataFrame:
     """User aggregate that never needs a whole group in one place.
 
-    ``partial`` turns the rows of a group within one Arrow batch into a small state, ``merge`` folds a list
-    of states, ``finish`` reads the result.  States are merged per task, then over ``spread`` parts of a
-    group, then once more.
+    ``partial`` turns some rows of a group into a small state, ``merge`` folds a list of states, ``finish``
+    reads the result.  Each task forms one state per group and hands over; the states are shuffled by
+    group, sorted, and folded as they stream by, a few at a time.
     """
     keys = [df.schema[g] for g in group]
     state_schema = T.StructType([*keys, T.StructField("_state", T.BinaryType())])
+    result_schema = T.StructType([*keys, T.StructField(name, T._parse_datatype_string(returns))])
 
-    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict = {}
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= GATHER_ROWS:
+                yield pd.concat(held, ignore_index=True)
+                held, rows = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in gathered(batches):
+            made = [(key, pickle.dumps(partial(rows))) for key, rows in batch.groupby(group, dropna=False, sort=False)]
+            out = pd.DataFrame([key for key, _ in made], columns=group)
+            out["_state"] = [state for _, state in made]
+            yield out
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, []
         for batch in batches:
-            for key, rows in batch.groupby(group, dropna=False, sort=False):
-                states.setdefault(key, []).append(partial(rows[columns]))
-                if len(states[key]) >= 64:
-                    states[key] = [merge(states[key])]
-            if len(states) > 100_000:  # hand over early when the keys are many
-                yield packed(states)
-                states = {}
-        if states:
-            yield packed(states)
-
-    def packed(states) -> pd.DataFrame:
-        out = pd.DataFrame(list(states), columns=group)
-        out["_state"] = [pickle.dumps(merge(parts)) for parts in states.values()]
-        return out
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows.iloc[:1][group].copy()
-        out["_state"] = [pickle.dumps(merge([pickle.loads(s) for s in rows["_state"]]))]
-        return out
-
-    def final(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows.iloc[:1][group].copy()
-        out[name] = [finish(merge([pickle.loads(s) for s in rows["_state"]]))]
-        return out
-
-    states = df.select(*group, *[c for c in columns if c not in group]).mapInPandas(per_task, state_schema)
-    part = F.pmod(F.xxhash64("_state"), F.lit(spread)).alias("_part")
-    parts = states.groupBy(*group, part).applyInPandas(fold, state_schema)
-    result_type = T._parse_datatype_string(returns)
-    return parts.groupBy(*group).applyInPandas(final, T.StructType([*keys, T.StructField(name, result_type)]))
+            done = []
+            for row in batch.itertuples(index=False, name=None):
+                key = tuple(None if pd.isna(v) else v for v in row[:-1])
+                if key != current:
+                    if held:
+                        done.append((*current, finish(merge(held))))
+                    current, held = key, []
+                held.append(pickle.loads(row[-1]))
+                if len(held) >= 64:
+                    held = [merge(held)]
+            if done:
+                yield pd.DataFrame(done, columns=[*group, name])
+        if held:
+            yield pd.DataFrame([(*current, finish(merge(held)))], columns=[*group, name])
+
+    states = df.select(*group, *[c for c in columns if c not in group]).mapInPandas(form, state_schema)
+    return states.repartition(*group).sortWithinPartitions(*group).mapInPandas(fold, result_schema)

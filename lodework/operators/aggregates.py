@@ -49,11 +49,12 @@ def bucketed_histogram(df: DataFrame, ts: str, every: str, value: str, edges: tu
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of wide integers by a fixed number of Euclid steps (190 cover 38 digits)."""
+    """Greatest common divisor of wide integers; Euclid needs at most five steps per digit of the smaller one."""
     start = F.struct(F.abs(a).cast(WIDE).alias("a"), F.abs(b).cast(WIDE).alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(
         F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0).cast(WIDE))).cast(WIDE).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(190)), start, step, lambda s: s["a"])
+    digits = F.least(F.length(F.abs(a).cast(WIDE).cast("string")), F.length(F.abs(b).cast(WIDE).cast("string")))
+    return F.aggregate(F.sequence(F.lit(1), 5 * digits + 2), start, step, lambda s: s["a"])
 
 
 def _exact_div(a: Column, b: Column) -> Column:

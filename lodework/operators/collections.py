@@ -9,13 +9,24 @@ from pyspark.sql import functions as F
 
 from lodework.functions.json import path_test
 from lodework.operators.tabular import all_of
+from lodework.session import widen
 
 OPERATORS = {"$eq": "=", "$ne": "!=", "$gt": ">", "$gte": ">=", "$lt": "<", "$lte": "<=", "$in": "in"}
 
 
 def collection(df: DataFrame, id_col: str, json_text: str) -> DataFrame:
     """Collection from a table with an id and a JSON text."""
-    return df.select(F.col(id_col).cast("string").alias("_id"), F.parse_json(json_text).alias("doc"))
+    texts = widen(df.select(F.col(id_col).cast("string").alias("_id"), F.col(json_text).alias("_text")))
+    return texts.select("_id", once(F.parse_json("_text")).alias("doc"))
+
+
+def once(value: Column) -> Column:
+    """A costly value that later filters read as a column.
+
+    Filters move below plain projections and would compute it again for each mention; they do not move
+    below one that depends on the task.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def documents(spark: SparkSession, docs: list[dict]) -> DataFrame:
@@ -117,7 +128,7 @@ def update(coll: DataFrame, query: dict, change: dict, one: bool = False) -> Dat
         doc = _with_field(doc, field.split("."), value)
     for field in change.get("$unset", {}):
         doc = _without_field(doc, field)
-    return coll.withColumn("doc", F.when(_target(coll, query, one), doc).otherwise(F.col("doc")))
+    return coll.withColumn("doc", once(F.when(_target(coll, query, one), doc).otherwise(F.col("doc"))))
 
 
 def delete(coll: DataFrame, query: dict, one: bool = False) -> DataFrame:

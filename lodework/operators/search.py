@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodework.operators.ordered import topk
-from lodework.session import stage
+from lodework.session import stage, widen
 
 # English words that carry no meaning for ranking.
 STOP_WORDS = ("a an and are as at be but by for from had has have he her his i if in into is it its "
@@ -54,7 +54,8 @@ def build_bm25(df: DataFrame, id_col: str, text: str) -> Bm25Index:
     The text is cut once; counts per (term, id) combine before the shuffle, and all other statistics
     come from the staged postings.  Texts without a word count as documents of length 0.
     """
-    words = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
+    texts = widen(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
     postings = _by_term(words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), "postings")
     lengths = stage(postings.groupBy("id").agg(F.sum("tf").alias("len")), "lengths")
     terms = stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
@@ -96,8 +97,9 @@ class PositionIndex:
 
 
 def build_positions(df: DataFrame, id_col: str, text: str) -> PositionIndex:
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term"))
+    texts = widen(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    words = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = texts.select("id", F.posexplode(words).alias("pos", "term"))
     return PositionIndex(_by_term(rows, "positions"))
 
 
@@ -141,7 +143,7 @@ class BigramIndex:
 
 def build_bigrams(df: DataFrame, id_col: str, text: str) -> BigramIndex:
     texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = texts.select("id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term"))
+    rows = widen(texts).select("id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("term"))
     return BigramIndex(_by_term(rows, "grams"), texts)
 
 

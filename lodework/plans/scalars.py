@@ -122,8 +122,8 @@ def time_ordered_id(spark, t):
 @plan("mask_ids", "SELECT o_orderkey, o_orderkey AS decoded, true AS hidden, CAST(1 AS BIGINT) AS uses FROM orders")
 def mask_ids(spark, t):
     coded = encode_ids(t.orders.select("o_orderkey"), "o_orderkey", "pepper")
-    uses = coded.groupBy("code").agg(F.count(F.lit(1)).alias("uses"))
-    return decode_ids(coded.join(uses, "code"), "code", "pepper", "decoded").select(
+    uses = coded.groupBy("code").agg(F.count(F.lit(1)).alias("uses"), F.min("o_orderkey").alias("o_orderkey"))
+    return decode_ids(uses, "code", "pepper", "decoded").select(
         "o_orderkey", "decoded", (F.length("code") > 0).alias("hidden"), "uses")
 
 
