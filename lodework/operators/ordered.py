@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lodework.session import stage
 
 HOT_ROWS = 2_000_000
+# default of spark.sql.optimizer.windowGroupLimitThreshold
+MAP_SIDE_K = 1000
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -234,7 +236,13 @@ def paged(df: DataFrame, keys: list[str], order: list[Column], page_rows: int,
 
 
 def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
-    """Top ``k`` rows per key; Catalyst cuts each map task to ``k`` rows per key before the shuffle."""
+    """Top ``k`` rows per key.
+
+    Up to ``MAP_SIDE_K`` rows Catalyst cuts each map task to ``k`` rows per key before the shuffle; above
+    that it does not, and the numbering that splits hot keys takes over.
+    """
+    if k > MAP_SIDE_K:
+        return numbered(df, keys, order, row_number=name).where(F.col(name) <= k)
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window).cast("long")).where(F.col(name) <= k)
 

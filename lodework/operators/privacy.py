@@ -1,7 +1,8 @@
 """Static masking and authenticated encryption of columns.
 
 Salts and keys are texts that begin with ``secret:``; the session setting
-``spark.sql.redaction.string.regex`` hides such literals, and long binary ones, in plans.
+``spark.sql.redaction.string.regex`` hides such literals, and the binary keys the optimizer folds from
+them, in plans.
 """
 
 from __future__ import annotations

@@ -19,8 +19,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # literal keys never show up in explain output
-    "spark.sql.redaction.string.regex": r"(?i)secret:[^\s,)]+",
+    # secrets, and the 256-bit keys folded from them, never show up in explain output
+    "spark.sql.redaction.string.regex": r"(?i)secret:[^\s,)]+|0x[0-9a-f]{64}",
 }
 
 
@@ -91,6 +91,8 @@ def widen(df: DataFrame) -> DataFrame:
     One Parquet row group is one task, so a small table would keep one core busy.  A scan with at least
     as many files as cores, which is any large table, is returned as it is.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = len(df.inputFiles())
     return df.repartition(cores) if 0 < files < cores else df
