@@ -39,8 +39,29 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
 
 
+def token_sim(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, cosine, jaccard) of the words of two texts per row, for texts of any length.
+
+    Words are counted per (row, word) with partial sums, so the work is linear in the texts.
+    """
+    def side(column, mine, other):
+        words = F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        return pairs.select(key, F.explode(words).alias("w"), F.lit(mine).cast("long").alias("x"), F.lit(other).cast("long").alias("y"))
+
+    counted = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(key, "w").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    sums = counted.groupBy(key).agg(F.sum(x * y).alias("dot"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"),
+                                    F.count_if((x > 0) & (y > 0)).alias("both"), F.count(F.lit(1)).alias("any"))
+    norms = F.sqrt(F.col("xx").cast("double")) * F.sqrt(F.col("yy").cast("double"))
+    scored = sums.select(F.col(key).alias("_key"), (F.col("dot") / F.nullif(norms, F.lit(0.0))).alias("_cosine"),
+                         (F.col("both") / F.col("any")).alias("_jaccard"))
+    # rows whose texts hold no word at all
+    return pairs.join(scored, F.col(key) == F.col("_key"), "left").select(
+        key, F.coalesce("_cosine", F.lit(0.0)).alias("cosine"), F.coalesce("_jaccard", F.lit(0.0)).alias("jaccard"))
+
+
 def token_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the word-count vectors."""
+    """Cosine of the word-count vectors of two short texts."""
 
     def words(text):
         return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

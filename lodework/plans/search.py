@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from lodework.operators.search import (STOP_WORDS, bigram_candidates, bm25_topk, bm25_topk_many, build_bigrams, build_bm25,
                                        build_positions, fts)
-from lodework.operators.similarity import (bigram_sim, edit_sim, fuzzy_join, jaro, jaro_winkler, token_cosine,
-                                           token_jaccard)
+from lodework.operators.similarity import (bigram_sim, edit_sim, fuzzy_join, jaro, jaro_winkler, token_sim)
 from lodework.plans.registry import plan
 
 STOPS_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -115,8 +114,7 @@ SELECT na.p_partkey, round(coalesce(dot, 0) / (na.v * nb.v), 6)::DOUBLE AS cosin
 FROM na JOIN nb USING (p_partkey) LEFT JOIN ab USING (p_partkey)
 """)
 def token_similarity(spark, t):
-    a, b = F.col("a"), F.col("b")
-    return name_pairs(t).select("p_partkey", F.round(token_cosine(a, b), 6).alias("cosine"), F.round(token_jaccard(a, b), 6).alias("jaccard"))
+    return token_sim(name_pairs(t), "p_partkey", "a", "b").select("p_partkey", F.round("cosine", 6).alias("cosine"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @plan("jaro_similarity", f"""

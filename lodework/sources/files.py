@@ -106,8 +106,8 @@ def partition_registry(spark: SparkSession, path: str, column: str, premake: int
     coming = (present.agg(F.max(column).alias("top"))
               .select(F.explode(F.expr(
                   f"sequence(top + interval 1 {interval}, top + interval {premake} {interval}, interval 1 {interval})"))
-                  .cast("date").alias(column))
-              .withColumn("row_count", F.lit(0).cast("long")))
+                  .alias(column))
+              .withColumn(column, F.col(column).cast("date")).withColumn("row_count", F.lit(0).cast("long")))
     return present.unionByName(coming)
 
 

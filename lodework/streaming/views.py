@@ -16,8 +16,8 @@ from lodework.session import scratch_path
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "update", checkpoint: str | None = None,
-               write: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Process everything that is available now, then stop."""
+               write: Callable[[DataFrame, int], None] | None = None) -> int:
+    """Process everything that is available now, then stop.  Returns how many rows came later than the watermark."""
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -26,6 +26,7 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "update", checkpoint: s
     query = (stream.writeStream.outputMode(mode).foreachBatch(write or keep)
              .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state")).trigger(availableNow=True).start())
     query.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
 
 
 def read_view(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -57,6 +58,16 @@ def signed_view(stream: DataFrame, keys: list[str], sign: str, sums: dict[str, s
                                      *[F.sum(F.col(c) * weight).alias(name) for name, c in sums.items()])
 
 
+def refresh_groups(view: DataFrame, base: DataFrame, touched: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
+    """View in which the groups named in ``touched`` are computed anew from the base table.
+
+    For aggregates a delete cannot undo (min, max, distinct counts): only the rows of touched groups are read again.
+    """
+    names = touched.select(*keys).distinct()
+    fresh = base.join(names, keys, "left_semi").groupBy(*keys).agg(*aggs)
+    return view.join(names, keys, "left_anti").unionByName(fresh)
+
+
 def time_bucket_agg(df: DataFrame, ts: str, every: str, keys: list[str], aggs: list[Column],
                     watermark: str | None = None, slide: str | None = None) -> DataFrame:
     """Aggregates per time bucket, for a table or a stream.

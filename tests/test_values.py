@@ -18,10 +18,12 @@ from lodework.operators import aggregates, collections, geo, graph, ranges, sear
 from lodework.operators.ordered import running
 from lodework.operators.privacy import decrypt, encrypt, mask
 from lodework.operators.quality import check_value, run_checks
+from lodework.sources.files import compact, partition_registry, read_files, retain, write_partitioned
 from lodework.sources.remote import jdbc_options
 from lodework.sources.rows import csv_agg, run_sql, sample_rows, series, values_table
 from lodework.streaming.queues import OPS, archive, drop_queue, expired_reads, queue_state, read, send
-from lodework.streaming.views import incremental_view, read_view, run_to_end, signed_view
+from lodework.streaming.views import (compact_view, incremental_view, read_view, refresh_groups, run_to_end, signed_view,
+                                      time_bucket_agg)
 from lodework.session import scratch_path
 
 
@@ -64,6 +66,39 @@ def test_jdbc_options():
         jdbc_options("jdbc:x")
 
 
+def test_bad_rows_are_kept_or_refused(spark):
+    path = scratch_path(spark, "dirty")
+    values_table(spark, [("1,a",), ("x,b",)], "value string").write.text(path)
+    kept = read_files(spark, path, "csv", "id int, name string", keep_bad=True).cache()
+    assert [(r["id"], r["_corrupt_record"]) for r in kept.orderBy("name").collect()] == [(1, None), (None, "x,b")]
+    with pytest.raises(Exception):
+        read_files(spark, path, "csv", "id int, name string").collect()
+
+
+def test_only_written_partitions_change(spark):
+    path = scratch_path(spark, "by-day")
+
+    def rows(*items):
+        return values_table(spark, [(i, dt.datetime(2024, 1, d)) for i, d in items], "id int, at timestamp_ntz")
+
+    part = write_partitioned(rows((1, 1), (2, 2), (3, 3)), path, "at", "day")
+    write_partitioned(rows((9, 2)), path, "at", "day")
+    assert sorted(r[0] for r in spark.read.parquet(path).select("id").collect()) == [1, 3, 9]
+    listed = {str(r[0]): r[1] for r in partition_registry(spark, path, part, premake=2).collect()}
+    assert listed == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-03": 1, "2024-01-04": 0, "2024-01-05": 0}
+    assert retain(spark, path, part, keep=1).where("dropped").count() == 2
+    assert spark.read.parquet(path).count() == 3  # a dry run changes nothing
+    retain(spark, path, part, keep=1, dry_run=False)
+    assert [r[0] for r in spark.read.parquet(path).select("id").collect()] == [3]
+
+
+def test_compaction_leaves_few_sorted_files(spark):
+    path, out = scratch_path(spark, "many"), scratch_path(spark, "few")
+    spark.range(1000).where("id % 2 = 1").repartition(20).write.parquet(path)
+    small = compact(spark, path, out, ["id"], target_rows=300)
+    assert len(small.inputFiles()) == 2 and small.count() == 500
+
+
 # --- regex, scalars ----------------------------------------------------------
 
 def test_regex(spark):
@@ -300,7 +335,7 @@ def test_interval_join_against_brute_force(spark):
 
 # --- text --------------------------------------------------------------------
 
-DOCS = [(1, "PostgreSQL is a database"), (2, "database optimization and database tuning"), (3, "cooking pasta at home"),
+DOCS = [(1, "Spreadsheet beside a database"), (2, "database optimization and database tuning"), (3, "cooking pasta at home"),
         (4, "full text search with a bigram index")]
 
 
@@ -309,7 +344,7 @@ def test_bm25_and_match(spark):
     ranked = search.bm25_topk(search.build_bm25(df, "id", "body"), "database optimization", 3).collect()
     assert ranked[0]["id"] == 2 and ranked[0]["distance"] < ranked[1]["distance"] < 0
     index = search.build_positions(df, "id", "body")
-    assert [r["id"] for r in search.fts(index, ["PostgreSQL"]).collect()] == [1]
+    assert [r["id"] for r in search.fts(index, ["Spreadsheet"]).collect()] == [1]
     assert [r["id"] for r in search.fts(index, ["text", "search"], "phrase").collect()] == [4]
     assert search.fts(index, ["search", "text"], "phrase").count() == 0
     assert [r["id"] for r in search.fts(index, ["database", "pasta"], "or", 1).collect()] == [2]
@@ -319,7 +354,7 @@ def test_bigrams(spark):
     index = search.build_bigrams(values_table(spark, DOCS, "id long, body string"), "id", "body")
     assert [r["id"] for r in search.bigram_candidates(index, "text").collect()] == [4]
     assert search.bigram_candidates(index, "#").count() == 0
-    sim = one(spark, similarity.bigram_sim(F.lit("PostgreSQL"), F.lit("PostgreSQ")))[0]
+    sim = one(spark, similarity.bigram_sim(F.lit("Spreadsheet"), F.lit("Spreadshee")))[0]
     assert 0.5 < sim < 1
 
 
@@ -331,6 +366,12 @@ def test_string_similarity(spark):
     assert got[3] == pytest.approx(0.944444, abs=1e-6) and got[4] == pytest.approx(0.961111, abs=1e-6)
 
 
+def test_token_sim_of_tables(spark):
+    pairs = values_table(spark, [(1, "hello world", "hello world"), (2, "a b c", "b c d"), (3, "", "-")], "id int, a string, b string")
+    got = {r["id"]: (round(r["cosine"], 6), r["jaccard"]) for r in similarity.token_sim(pairs, "id", "a", "b").collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.666667, 0.5), 3: (0.0, 0.0)}
+
+
 @pytest.mark.parametrize("kind,minimum", [("bigram", 0.6), ("jaccard", 0.5), ("edit", 0.55)])
 def test_fuzzy_join_against_brute_force(spark, kind, minimum):
     words = ["red ring", "red rings", "ring red", "blue ring small", "small blue ring", "a", "ab", "abc", "abd", "xyz", "red ring"]
@@ -447,6 +488,32 @@ def test_incremental_view(spark):
 
     assert add([("A", 100), ("B", 200)]) == {"A": 100, "B": 200}
     assert add([("A", 50)]) == {"A": 150, "B": 200}
+    small = compact_view(spark, view, scratch_path(spark, "view-compact"), ["product"])
+    assert {r["product"]: r["total"] for r in small.collect()} == {"A": 150, "B": 200}
+
+
+def test_refresh_groups(spark):
+    base = values_table(spark, [("A", 1), ("A", 7), ("B", 4)], "p string, x int")
+    aggs = [F.min("x").alias("lo"), F.max("x").alias("hi")]
+    view = incremental_view(base, ["p"], aggs)
+    rest = base.where("NOT (p = 'A' AND x = 7)")
+    got = refresh_groups(view, rest, values_table(spark, [("A",)], "p string"), ["p"], aggs)
+    assert sorted(map(tuple, got.collect())) == [("A", 1, 1), ("B", 4, 4)]
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    source, out = scratch_path(spark, "late"), scratch_path(spark, "late-out")
+
+    def at(hour):
+        return dt.datetime(2024, 1, 1, hour, 30)
+
+    # rows are late against the watermark the previous batch ran with, so one batch lies between
+    for hours in ([1, 2], [20], [20], [1], [21]):
+        values_table(spark, [(at(h),) for h in hours], "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(source)
+    dropped = run_to_end(time_bucket_agg(stream, "ts", "1 hour", [], [F.count(F.lit(1)).alias("n")], watermark="1 hour"), out, mode="append")
+    got = {r["bucket"].hour: r["n"] for r in read_view(spark, out, ["bucket"]).collect()}
+    assert got == {1: 1, 2: 1} and dropped == 1
 
 
 def test_signed_view(spark):
