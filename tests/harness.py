@@ -16,6 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 from lodework.session import TABLES, build_session  # noqa: E402
 
@@ -77,12 +78,17 @@ def compare(name, df, con, sql):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--plain", action="store_true", help="session with Spark's own defaults")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     import __spark_entry__ as contract
 
-    spark = build_session("harness", "local[8]", **{"spark.sql.shuffle.partitions": "8",
-                          "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
+    if args.plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        spark = build_session("harness", "local[8]", **{"spark.sql.shuffle.partitions": "8",
+                              "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{DATA}/sf{args.sf}"
     con = connect(sf_dir)
