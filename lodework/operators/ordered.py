@@ -135,6 +135,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], row_number: st
 
     if hot is None:
         return native(cold)
+    result = _number_chunks(hot, keys, order, df.columns, wanted, ntile)
+    return _merge(None if cold is None else native(cold), result)
+
+
+def _number_chunks(hot: DataFrame, keys: list[str], order: list[Column], columns: list[str], wanted,
+                   ntile: tuple[str, int] | None = None) -> DataFrame:
+    """Numbers within chunked rows: the number inside the chunk plus what earlier chunks of the key hold."""
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     local = hot.select("*", F.row_number().over(inside).cast("long").alias("_rn"),
                        F.dense_rank().over(inside).cast("long").alias("_dr"),
@@ -150,11 +157,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], row_number: st
     on = null_safe(local, carry, [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_chunk", "_c")])
     joined = local.join(carry, on)
     local_of = {F.row_number: "_rn", F.rank: "_rk", F.dense_rank: "_dr"}
-    columns = [(F.col(local_of[fn]) + F.col(carried)).alias(name) for name, fn, carried in wanted]
+    numbers = [(F.col(local_of[fn]) + F.col(carried)).alias(name) for name, fn, carried in wanted]
     if ntile:
-        columns.append(_tile(F.col("_rn") + F.col("_n"), F.col("_total"), ntile[1]).alias(ntile[0]))
-    result = joined.select(*[joined[c] for c in df.columns], *columns)
-    return _merge(None if cold is None else native(cold), result)
+        numbers.append(_tile(F.col("_rn") + F.col("_n"), F.col("_total"), ntile[1]).alias(ntile[0]))
+    return joined.select(*[joined[c] for c in columns], *numbers)
 
 
 def _tile(position: Column, total: Column, n: int) -> Column:
@@ -182,7 +188,7 @@ def framed(df: DataFrame, keys: list[str], order: list[Column], build, preceding
     if hot is None:
         return native(cold)
     page_rows = max(hot_rows, preceding, following, 1)
-    placed = numbered(hot.select(*df.columns), keys, order, row_number="_rn", hot_rows=hot_rows)
+    placed = _number_chunks(hot, keys, order, df.columns, [("_rn", F.row_number, "_n")])
     offset = (F.col("_rn") - 1) % page_rows
     page = F.floor((F.col("_rn") - 1) / page_rows).cast("long")
     copies = F.array(

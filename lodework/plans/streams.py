@@ -13,6 +13,11 @@ from lodework.streaming.replicate import read_copy, replicate_tables
 from lodework.streaming.views import incremental_view, read_view, rollup_buckets, run_to_end, time_bucket_agg
 
 
+def cores(spark) -> int:
+    """State partitions for a run over a whole table: one per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
+
+
 def as_stream(spark, df, files: int = 3):
     """The rows of a table as a stream of ``files`` micro-batches."""
     path = scratch_path(spark, "stream-source")
@@ -27,7 +32,7 @@ def incremental(spark, t):
     path = scratch_path(spark, "view")
     stream = as_stream(spark, t.orders.select("o_custkey", "o_totalprice"))
     aggs = [F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), F.max("o_totalprice").alias("largest")]
-    run_to_end(incremental_view(stream, ["o_custkey"], aggs), path)
+    run_to_end(incremental_view(stream, ["o_custkey"], aggs), path, partitions=cores(spark))
     return read_view(spark, path, ["o_custkey"]).withColumn("total", F.col("total").cast("double"))
 
 
@@ -41,7 +46,7 @@ def continuous_aggregate(spark, t):
     # files arrive in any order here, so the watermark leaves room for the whole span of the table
     hourly = time_bucket_agg(stream, "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")],
                              watermark="400 days")
-    run_to_end(hourly, path)
+    run_to_end(hourly, path, partitions=cores(spark))
     hours = read_view(spark, path, ["bucket", "event_type"])
     days = rollup_buckets(hours, "day", ["event_type"], ["n", "total"])
     both = hours.withColumn("step", F.lit("hour")).unionByName(days.withColumn("step", F.lit("day")))
@@ -111,5 +116,5 @@ def queue_lifecycle(spark, t):
            .unionByName(touched.select(queue, "msg_id", F.when(F.col("event_type") == "view", "read").otherwise("archive").alias("op"), "ts",
                                        F.lit(None).cast("string").alias("message"))))
     path = scratch_path(spark, "queue")
-    run_to_end(queue_state(as_stream(spark, ops), "1 hour"), path)
+    run_to_end(queue_state(as_stream(spark, ops), "1 hour"), path, partitions=cores(spark))
     return read_view(spark, path, ["queue", "msg_id"]).drop("message")

@@ -16,16 +16,25 @@ from lodework.session import scratch_path
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "update", checkpoint: str | None = None,
-               write: Callable[[DataFrame, int], None] | None = None) -> int:
-    """Process everything that is available now, then stop.  Returns how many rows came later than the watermark."""
+               write: Callable[[DataFrame, int], None] | None = None, partitions: int | None = None) -> int:
+    """Process everything that is available now, then stop.  Returns how many rows came later than the watermark.
+
+    ``partitions`` fixes the number of state partitions at the first start (default: that of the session).
+    """
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write or keep)
-             .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state")).trigger(availableNow=True).start())
-    query.awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, str(partitions or usual))
+        query = (stream.writeStream.outputMode(mode).foreachBatch(write or keep)
+                 .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state")).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, usual)
     return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
 
 
