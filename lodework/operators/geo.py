@@ -182,12 +182,26 @@ def hex_size(res: int) -> float:
     return 0.5 / 2 ** res
 
 
-def hex_cell(lon: Column, lat: Column, res: int) -> Column:
-    """Cell id of a point in degrees: resolution in the top bits, then the two axial coordinates."""
+def _axial(lon: Column, lat: Column, res: int) -> tuple[Column, Column]:
+    """Axial coordinates of a point, not yet rounded."""
     size = hex_size(res)
     x, y = F.radians(lon), F.sin(F.radians(lat))
-    q = (math.sqrt(3) / 3 * x - y / 3) / size
-    r = (2.0 / 3 * y) / size
+    return (math.sqrt(3) / 3 * x - y / 3) / size, (2.0 / 3 * y) / size
+
+
+def hex_cell(lon: Column, lat: Column, res: int) -> Column:
+    """Cell id of a point in degrees: resolution in the top bits, then the two axial coordinates."""
+    return _nearest_cell(*_axial(lon, lat, res), res)
+
+
+def with_hex_cell(df: DataFrame, lon: Column, lat: Column, res: int, name: str = "cell") -> DataFrame:
+    """Adds the cell id; the coordinates are computed once as columns, since rounding mentions them often."""
+    q, r = _axial(lon, lat, res)
+    placed = df.withColumns({"_q": q, "_r": r})
+    return placed.withColumn(name, _nearest_cell(F.col("_q"), F.col("_r"), res)).drop("_q", "_r")
+
+
+def _nearest_cell(q: Column, r: Column, res: int) -> Column:
     s = -q - r
     rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(s + 0.5)
     dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
@@ -224,10 +238,10 @@ def hex_boundary(cell: Column) -> Column:
 
 def hex_bins(df: DataFrame, lon: str, lat: str, res: int, *aggs: Column) -> DataFrame:
     """(cell, points and further aggregates) per hex cell."""
-    return df.groupBy(hex_cell(F.col(lon), F.col(lat), res).alias("cell")).agg(F.count(F.lit(1)).alias("points"), *aggs)
+    return with_hex_cell(df, F.col(lon), F.col(lat), res).groupBy("cell").agg(F.count(F.lit(1)).alias("points"), *aggs)
 
 
 def hex_rollup(cells: DataFrame, res: int) -> DataFrame:
     """Counts per coarser cell; a cell belongs to the coarser cell that holds its centre."""
-    centre = hex_centre(F.col("cell"))
-    return cells.groupBy(hex_cell(centre["lon"], centre["lat"], res).alias("cell")).agg(F.sum("points").alias("points"))
+    placed = cells.withColumn("_at", hex_centre(F.col("cell")))
+    return with_hex_cell(placed, F.col("_at.lon"), F.col("_at.lat"), res).groupBy("cell").agg(F.sum("points").alias("points"))

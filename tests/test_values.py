@@ -418,8 +418,11 @@ def test_polygons_against_brute_force(spark):
 
 def test_hex_cells_hold_their_centres(spark):
     cells = spark.range(200).select(geo.hex_cell(F.col("id") * 1.7 - 170, F.col("id") * 0.8 - 80, 4).alias("c"))
-    centre = geo.hex_centre(F.col("c"))
-    assert cells.where(geo.hex_cell(centre["lon"], centre["lat"], 4) != F.col("c")).count() == 0
+    centres = cells.withColumn("at", geo.hex_centre(F.col("c")))
+    again = geo.with_hex_cell(centres, F.col("at.lon"), F.col("at.lat"), 4, "again").select("c", "again").collect()
+    assert len(again) == 200 and all(r["c"] == r["again"] for r in again)
+    counted = geo.hex_bins(spark.range(200).select((F.col("id") * 1.7 - 170).alias("lon"), (F.col("id") * 0.8 - 80).alias("lat")), "lon", "lat", 4)
+    assert geo.hex_rollup(counted, 2).agg(F.sum("points")).first()[0] == 200
 
 
 def test_shortest_path(spark):
