@@ -34,11 +34,11 @@ from lodework.llm.common import blocks, id_and_text, worker_store
 from lodework.llm.pieces import SpacedEncoder
 from lodework.session import scratch_path
 
-#: Ids after which a shard is closed.
-SHARD = 1 << 21
+#: Ids after which a shard is closed: its arrays stay in a core's cache.
+SHARD = 1 << 18
 #: Rounds of replacement; a pair must occur once in so many ids of the shard.
 ROUNDS, RARITY = 5, 4096
-HASHED = 1 << 20
+HASHED = 1 << 16  # 2 ** 32 >> 16: the shift below
 
 SHARDS = ("task int, shard int, base bigint, n_docs int, n_ids bigint, wide boolean, terminals int, doc_ids binary, "
           "doc_sizes binary, doc_symbols binary, rules binary, lengths binary, symbols binary")
@@ -56,7 +56,7 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, first: int, rounds: int = R
         if len(ids) < 4:
             break
         left, right = ids[:-1], ids[1:]
-        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(12)
+        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(16)
         least = max(4, len(ids) // rarity)
         tally = np.bincount(slot, minlength=HASHED)
         where = np.flatnonzero((tally >= least)[slot] & ~last[:-1])
