@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodework.llm import bpe, decontaminate, licenses, repair, rules, secret_scan, simhash, token_counts
+from lodework.llm import bpe, decontaminate, html_text, licenses, repair, rules, secret_scan, simhash, token_counts
 from lodework.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.notices(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
