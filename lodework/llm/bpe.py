@@ -117,12 +117,7 @@ class ByteCodec:
         self.encoder = SpacedEncoder(self.many)
 
     def many(self, chunks: list[str]) -> list[bytes]:
-        known, out = self.encoder.tail.get, []
-        for chunk in chunks:
-            matches = self.find(chunk)
-            # a word may be known from where it stood without the marks around it
-            out.append(self.pack(chunk) if len(matches) == 1 else b"".join([known(m[1:]) or self.pack(m) if m[0] == " " and len(m) > 1 else self.pack(m) for m in matches]))
-        return out
+        return [b"".join(map(self.pack, self.find(chunk))) for chunk in chunks]
 
     def pack(self, match: str) -> bytes:
         width = self.width

@@ -7,15 +7,18 @@ if no match of the pattern crosses a border of two pieces.  Pieces repeat, so a
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from itertools import chain
 
 #: Python's \s has these, the tokenizers' pattern has not: such texts are never cut.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: What can be cut from any text without crossing a match of the byte-level pattern.
 CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A word and a mark after it, which a pattern of letters and of marks takes one by one.
+MARKS = ",."
+MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.])").fullmatch
 #: Entries of one generation of a cache.  A worker holds two.
-GENERATION = 400_000
+GENERATION = 600_000
 
 
 class PieceCache(dict):
@@ -26,11 +29,12 @@ class PieceCache(dict):
         self.encode_many, self.generation, self.older = encode_many, generation, {}
         self.fixed = fixed or {}
 
-    def learn(self, pieces: Iterable[list[str]]) -> None:
+    def learn(self, pieces: list[list[str]]) -> None:
         """Afterwards every piece has its result here."""
-        wanted = set(chain.from_iterable(pieces)).difference(self)
+        found = set().union(*pieces)
+        wanted = found.difference(self)
         if len(self) - len(self.fixed) + len(wanted) > self.generation:
-            wanted = set(chain.from_iterable(pieces)).difference(self.fixed)
+            wanted = found.difference(self.fixed)
             self.older = {k: v for k, v in self.items() if k not in self.fixed}
             self.clear()
             self.update(self.fixed)
@@ -63,14 +67,31 @@ def as_written(tail: str) -> str:
 
 
 class SpacedEncoder:
-    """Ids of texts as packed little-endian integers, by worker caches over ``encode_many``."""
+    """Ids of texts as packed little-endian integers, by worker caches over ``encode_many``.
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], generation: int = GENERATION):
+    Texts with one of ``whole`` in them are never cut.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], generation: int = GENERATION, whole: tuple[str, ...] = ()):
+        self.encode_many, self.whole = encode_many, whole
+        self.marks = dict(zip(MARKS, encode_many(list(MARKS)), strict=True))
         self.plain = PieceCache(encode_many, generation // 4)
-        self.tail = PieceCache(lambda tails: encode_many([as_written(t) for t in tails]), generation)
+        self.tail = PieceCache(self.tails, generation)
+
+    def tails(self, tails: list[str]) -> list[bytes]:
+        """Results of pieces that follow a space; a word before a mark is looked up without the mark."""
+        marked = {t: m for t in tails if (m := MARKED(t))}
+        known = {}
+        for stem in {m[1] for m in marked.values()}:
+            held = self.tail.get(stem) or self.tail.older.get(stem)
+            if held:
+                known[stem] = held
+        fresh = [t for t in dict.fromkeys([*(m[1] for m in marked.values()), *(t for t in tails if t not in marked)]) if t not in known]
+        known.update(zip(fresh, self.encode_many([as_written(t) for t in fresh]), strict=True))
+        return [known[m[1]] + self.marks[m[2]] if (m := marked.get(t)) else known[t] for t in tails]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [spaced(t) for t in texts]
+        cut = [([t], []) if any(w in t for w in self.whole) else spaced(t) for t in texts]
         self.plain.learn([c[0] for c in cut])
         self.tail.learn([c[1] for c in cut])
         plain, tail = self.plain.__getitem__, self.tail.__getitem__

@@ -37,7 +37,7 @@ from lodework.session import scratch_path
 #: Ids after which a shard is closed: its arrays stay in a core's cache.
 SHARD = 1 << 18
 #: Rounds of replacement; a pair must occur once in so many ids of the shard.
-ROUNDS, RARITY = 5, 4096
+ROUNDS, RARITY = 4, 4096
 HASHED = 1 << 16  # 2 ** 32 >> 16: the shift below
 
 SHARDS = ("task int, shard int, base bigint, n_docs int, n_ids bigint, wide boolean, terminals int, doc_ids binary, "
@@ -148,6 +148,45 @@ def read_at(row: dict, position: int, count: int) -> np.ndarray:
     return expand(symbols[a : b + 1], rules, lengths, row["terminals"])[position - start : position - start + count]
 
 
+class Spelling:
+    """Ids of pieces of text by the tokenizer, packed.
+
+    Pieces that open with their only white space are encoded many at a time, as one text: no match of the byte-level
+    pattern reaches over such a border, so each piece's ids are those from one token that opens so to the next.
+    """
+
+    TOGETHER = 4096
+
+    def __init__(self, tokenizer: Tokenizer, width: str):
+        self.tokenizer, self.width = tokenizer, width
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        # fixed value: a space and a line feed as the byte-level alphabet writes them
+        self.opens[[i for token, i in vocab.items() if token[0] in "\u0120\u010a"]] = True
+
+    def single(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for a, b in blocks(pieces) for e in self.tokenizer.encode_batch_fast(pieces[a:b], add_special_tokens=False)]
+
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.width)
+        at = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * ids.itemsize
+        if len(at) != len(pieces) + 1:
+            return self.single(pieces)
+        packed, at = ids.tobytes(), at.tolist()
+        return [packed[a:b] for a, b in zip(at, at[1:])]
+
+    def many(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [p[0] in " \n" and p.split() == [p[1:]] for p in pieces]
+        for way, size, of in ((self.joined, self.TOGETHER, True), (self.single, max(len(pieces), 1), False)):
+            places = [i for i, x in enumerate(plain) if x == of]
+            for at in range(0, len(places), size):
+                some = places[at : at + size]
+                for i, ids in zip(some, way([pieces[i] for i in some]), strict=True):
+                    out[i] = ids
+        return out
+
+
 def write_ids(docs: DataFrame, vocab_path: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id`` and write the shards as a Parquet table at ``path``."""
     with open(vocab_path, encoding="utf-8") as f:
@@ -158,7 +197,8 @@ def write_ids(docs: DataFrame, vocab_path: str, path: str, end_id: int = 0, id_c
 
     def encoder() -> SpacedEncoder:
         tokenizer = Tokenizer.from_str(shared.value)
-        return SpacedEncoder(lambda chunks: [np.array(e.ids, width).tobytes() for a, b in blocks(chunks) for e in tokenizer.encode_batch_fast(chunks[a:b], add_special_tokens=False)])
+        special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        return SpacedEncoder(Spelling(tokenizer, width).many, whole=special)
 
     def run(batches):
         known, end = worker_store(f"ids {hash(config)}", encoder), np.array([end_id], width).tobytes()
