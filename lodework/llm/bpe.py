@@ -15,6 +15,7 @@ import base64
 import hashlib
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -173,11 +174,9 @@ def decode_ids(encoded: DataFrame, vocab_path: str, pattern: str, id_col: str =
         run, "doc_id bigint, text string, bytes binary")
 
 
-def round_trip(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode every text in one pass, keeping digests: ids as little-endian unsigned 32-bit integers,
-    decoded bytes, and whether these are the text's own."""
-    import numpy as np
-
+    decoded bytes, and whether these are the text's own; with ``keep_ids`` the ids too, as ``array<int>``."""
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(vocab_path), pattern))
 
     def run(batches):
@@ -185,17 +184,21 @@ def round_trip(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "do
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in blocks(texts):
+                encoded = [np.asarray(x) for x in codec.encode(texts[a:b])]
                 n, digests, decoded, sizes, same = [], [], [], [], []
-                for text, found in zip(texts[a:b], codec.encode(texts[a:b]), strict=True):
+                for text, found in zip(texts[a:b], encoded, strict=True):
                     raw, own = codec.decode(found.tolist()), text.encode("utf-8", "surrogatepass")
                     n.append(len(found))
-                    digests.append(hashlib.sha256(np.asarray(found).astype("<u4").tobytes()).hexdigest())
+                    digests.append(hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
                     decoded.append(hashlib.sha256(raw).hexdigest())
                     sizes.append(len(own))
                     same.append(raw == own)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()),
-                     pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "round_trip"])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, RESULT)
+                columns = [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()),
+                           pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "round_trip"]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate(encoded).astype(np.int32)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, RESULT + ", ids array<int>" * keep_ids)
