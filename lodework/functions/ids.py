@@ -15,6 +15,20 @@ def _mix(half: Column, salt: str, turn: int) -> Column:
     return F.xxhash64(F.lit(f"{salt}|{turn}"), half).bitwiseAND(F.lit(HALF - 1))
 
 
+def _round(salt: str, turn: int, forward: bool):
+    if forward:
+        return lambda s: F.struct(s.r.alias("l"), s.l.bitwiseXOR(_mix(s.r, salt, turn)).alias("r"))
+    return lambda s: F.struct(s.r.bitwiseXOR(_mix(s.l, salt, turn)).alias("l"), s.l.alias("r"))
+
+
+def _halves(value: Column, salt: str, turns, forward: bool) -> Column:
+    """The keyed permutation, with the two halves as lambda variables: no column of the table is touched."""
+    state = F.struct(F.shiftright(value, HALF_BITS).alias("l"), value.bitwiseAND(F.lit(HALF - 1)).alias("r"))
+    for turn in turns:
+        state = F.transform(F.array(state), _round(salt, turn, forward))[0]
+    return F.transform(F.array(state), lambda s: F.shiftleft(s.l, HALF_BITS).bitwiseOR(s.r))[0]
+
+
 def encode_ids(df: DataFrame, column: str, salt: str, name: str = "code") -> DataFrame:
     """Short text for each integer id in [0, 2^62): a keyed permutation (Feistel rounds) in base 36.
 
@@ -22,18 +36,11 @@ def encode_ids(df: DataFrame, column: str, salt: str, name: str = "code") -> Dat
     """
     value = F.col(column).cast("long")
     bad = F.raise_error(F.concat(F.lit("id out of range: "), value.cast("string"))).cast("long")
-    df = df.withColumn("_id", F.when((value >= 0) & (value < HALF * HALF), value).when(value.isNotNull(), bad))
-    df = df.withColumn("_l", F.shiftright("_id", HALF_BITS)).withColumn("_r", F.col("_id").bitwiseAND(F.lit(HALF - 1)))
-    for turn in range(ROUNDS):
-        df = df.withColumns({"_l": F.col("_r"), "_r": F.col("_l").bitwiseXOR(_mix(F.col("_r"), salt, turn))})
-    mixed = F.shiftleft("_l", HALF_BITS).bitwiseOR(F.col("_r"))
-    return df.withColumn(name, F.lower(F.conv(mixed.cast("string"), 10, 36))).drop("_id", "_l", "_r")
+    known = F.when((value >= 0) & (value < HALF * HALF), value).when(value.isNotNull(), bad)
+    mixed = _halves(known, salt, range(ROUNDS), True)
+    return df.withColumn(name, F.lower(F.conv(mixed.cast("string"), 10, 36)))
 
 
 def decode_ids(df: DataFrame, column: str, salt: str, name: str = "id") -> DataFrame:
     """Ids back from their texts."""
-    df = df.withColumn("_m", F.conv(F.col(column), 36, 10).cast("long"))
-    df = df.withColumn("_l", F.shiftright("_m", HALF_BITS)).withColumn("_r", F.col("_m").bitwiseAND(F.lit(HALF - 1)))
-    for turn in reversed(range(ROUNDS)):
-        df = df.withColumns({"_r": F.col("_l"), "_l": F.col("_r").bitwiseXOR(_mix(F.col("_l"), salt, turn))})
-    return df.withColumn(name, F.shiftleft("_l", HALF_BITS).bitwiseOR(F.col("_r"))).drop("_m", "_l", "_r")
+    return df.withColumn(name, _halves(F.conv(F.col(column), 36, 10).cast("long"), salt, reversed(range(ROUNDS)), False))

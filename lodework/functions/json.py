@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodework.operators.ordered import HOT_ROWS, paged
-from lodework.session import widen
 
 COMPARE = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b,
@@ -43,14 +42,17 @@ def path_test(parsed: Column, path: str, op: str, value=None) -> Column:
     shape = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
     same_kind = {"string": shape == "STRING", "boolean": shape == "BOOLEAN"}.get(
         kind, shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
-    if kind == "bigint":
-        found = F.try_variant_get(parsed, path, "double" if op != "in" else kind)
+    if kind == "bigint" and op != "in":
+        # whole numbers compare as such, fractions as doubles
+        whole = shape.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$")
+        exact = COMPARE[op](F.try_variant_get(parsed, path, "decimal(38,0)"), F.lit(value).cast("decimal(38,0)"))
+        return F.coalesce(same_kind & F.when(whole, exact).otherwise(COMPARE[op](F.try_variant_get(parsed, path, "double"), F.lit(float(value)))), F.lit(False))
     return F.coalesce(same_kind & COMPARE[op](found, list(value) if op == "in" else F.lit(value)), F.lit(False))
 
 
 def json_where(df: DataFrame, column: str, path: str, op: str, value=None) -> DataFrame:
     """Rows whose JSON text satisfies a predicate on a path such as ``$.a.b``; bad JSON never does."""
-    return (widen(df).withColumn("_v", F.try_parse_json(column)).where(path_test(F.col("_v"), path, op, value)).drop("_v"))
+    return (df.withColumn("_v", F.try_parse_json(column)).where(path_test(F.col("_v"), path, op, value)).drop("_v"))
 
 
 # Names of the JSON types and the VARIANT shapes they cover.
@@ -67,6 +69,11 @@ def _member(name: str) -> str:
     return f'$["{name}"]' if "'" in name else f"$['{name}']"
 
 
+def _as_json(value) -> Column:
+    """A constant as the text a VARIANT of it has."""
+    return F.to_json(F.parse_json(F.lit(json.dumps(value))))
+
+
 def _violations(schema: dict, value: Column, path: str) -> list[tuple[str, Column]]:
     """(rule, violated) for one schema node; a rule on another type than the value's is met."""
     shape = F.schema_of_variant(value)
@@ -86,9 +93,9 @@ def _violations(schema: dict, value: Column, path: str) -> list[tuple[str, Colum
         whole = F.coalesce(number == F.floor(number), F.lit(False)) if "integer" in names else F.lit(False)
         rule("type", ~(reduce(lambda a, b: a | b, [shape.rlike(TYPE_SHAPES[n]) for n in names]) | whole))
     if "enum" in schema:
-        rule("enum", ~F.to_json(value).isin([json.dumps(e, separators=(",", ":")) for e in schema["enum"]]))
+        rule("enum", ~F.to_json(value).isin([_as_json(e) for e in schema["enum"]]))
     if "const" in schema:
-        rule("const", F.to_json(value) != json.dumps(schema["const"], separators=(",", ":")))
+        rule("const", F.to_json(value) != _as_json(schema["const"]))
     bounds = {"minimum": lambda b: number < b, "maximum": lambda b: number > b,
               "exclusiveMinimum": lambda b: number <= b, "exclusiveMaximum": lambda b: number >= b,
               "multipleOf": lambda b: number % b != 0,
@@ -117,7 +124,7 @@ def _any(rules: list[tuple[str, Column]]) -> Column:
 
 def validate_json(df: DataFrame, column: str, schema: dict, name: str = "violations") -> DataFrame:
     """Adds the list of rules each JSON text breaks (empty when it is valid; ``$ json`` if it is no JSON)."""
-    parsed, df = F.try_parse_json(column), widen(df)
+    parsed = F.try_parse_json(column)
     rules = _violations(schema, F.col("_v"), "$")
     broken = F.filter(F.array(F.when(F.col("_v").isNull() & F.col(column).isNotNull(), F.lit("$ json")),
                               *[F.when(violated, F.lit(rule)) for rule, violated in rules]), lambda x: x.isNotNull())

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodework.session import widen
 
 # Latin letters that fold to more than one ASCII letter.
 LIGATURES = {
@@ -42,7 +41,7 @@ def fold_ascii(column: Column) -> Column:
 
 def fold_keys(df: DataFrame, column: str, name: str = "match_key") -> DataFrame:
     """Key for matching and removing duplicates: folded, lower case, single spaces."""
-    return widen(df).withColumn(name, F.trim(F.regexp_replace(F.lower(fold_ascii(F.col(column))), r"\s+", " ")))
+    return df.withColumn(name, F.trim(F.regexp_replace(F.lower(fold_ascii(F.col(column))), r"\s+", " ")))
 
 
 @F.pandas_udf(T.StringType())
@@ -55,6 +54,6 @@ def char_inventory(df: DataFrame, column: str) -> DataFrame:
 
     Characters are counted before the shuffle; only the distinct ones are named.
     """
-    counted = (widen(df.select(column)).select(F.explode(F.split(F.col(column), "")).alias("char")).where(F.col("char") != "")
+    counted = (df.select(column).select(F.explode(F.split(F.col(column), "")).alias("char")).where(F.col("char") != "")
                .groupBy("char").agg(F.count(F.lit(1)).alias("uses")))
     return counted.withColumn("code_point", F.ascii("char").cast("long")).withColumn("char_name", _char_name("char"))

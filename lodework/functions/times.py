@@ -15,13 +15,26 @@ def _part(rule: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(F.upper(rule), rf"(?:^|[;:]){name}=([^;]*)", 1), F.lit(""))
 
 
+# The parts of a recurrence rule that are read, and what they may hold.
+RULE_PARTS = (r"FREQ=(DAILY|WEEKLY|MONTHLY|YEARLY)", r"INTERVAL=[1-9]\d*", r"COUNT=[1-9]\d*", r"UNTIL=\d{8}(T\d{6}Z?)?",
+              r"BYDAY=(MO|TU|WE|TH|FR|SA|SU)(,(MO|TU|WE|TH|FR|SA|SU))*", r"WKST=MO")
+
+
+def _understood(rule: Column) -> Column:
+    """The rule, if every part of it is one of ``RULE_PARTS`` and it has a frequency; else an error."""
+    part = "(" + "|".join(RULE_PARTS) + ")"
+    good = F.upper(rule).rlike(rf"^(RRULE:)?{part}(;{part})*;?$") & F.upper(rule).rlike(r"(^|[;:])FREQ=")
+    return F.when(good | rule.isNull(), rule).otherwise(F.raise_error(F.concat(F.lit("recurrence rule not understood: "), rule)))
+
+
 def rrule_occurrences(rules: DataFrame, rule: str, start: str, horizon: dt.date | str) -> DataFrame:
     """One row per occurrence: all columns, ``seq`` from 1 and ``occurrence``.
 
     Reads FREQ (DAILY, WEEKLY, MONTHLY, YEARLY), INTERVAL, COUNT, UNTIL and plain BYDAY.  Weeks begin on
     Monday.  A month or year without the day of the start is skipped.  Nothing lies after ``horizon``.
+    A rule with any other part, or one of these that is not well formed, raises.
     """
-    text, begin = F.col(rule), F.col(start).cast("timestamp_ntz")
+    text, begin = _understood(F.col(rule)), F.col(start).cast("timestamp_ntz")
     until_text = F.rpad(F.regexp_replace(_part(text, "UNTIL"), "[TZ]", ""), 14, "235959")
     # the parts become columns first: the array functions below would read the text once per element
     parsed = rules.select(
@@ -85,13 +98,34 @@ def cron_field(field: Column, lo: int, hi: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.split(field, ","), one)))
 
 
+# Names in cron schedules.
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+DAYS = ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT")
+
+
+def _schedule(text: Column) -> Column:
+    """A cron schedule with names as numbers; an error if it is not five well-formed fields within their ranges."""
+    plain = F.upper(F.trim(text))
+    for names, first in ((MONTHS, 1), (DAYS, 0)):
+        for i, name in enumerate(names, first):
+            plain = F.regexp_replace(plain, rf"\b{name}\b", str(i))
+    number = {"min": r"[0-5]?\d", "hour": r"([01]?\d|2[0-3])", "dom": r"(0?[1-9]|[12]\d|3[01])", "mon": r"(0?[1-9]|1[0-2])", "dow": r"[0-7]"}
+    fields = []
+    for n in number.values():
+        item = rf"(\*|{n}(-{n})?)(/[1-9]\d*)?"
+        fields.append(rf"{item}(,{item})*")
+    return F.when(plain.rlike("^" + r"\s+".join(fields) + "$") | text.isNull(), plain).otherwise(
+        F.raise_error(F.concat(F.lit("schedule not understood: "), text)))
+
+
 def cron_runs(jobs: DataFrame, schedule: str, start: str, end: str) -> DataFrame:
     """Due times of each job in [start, end) as ``due`` (minute, hour, day of month, month, day of week).
 
     Days are filtered first, then only the hours and minutes of the schedule are produced.  If both day
-    fields are restricted a day matching either is due; Sunday is 0 or 7.
+    fields are restricted a day matching either is due; Sunday is 0 or 7, months and weekdays may have their
+    English names of three letters.  A schedule that is none of this raises.
     """
-    fields = F.split(F.trim(F.col(schedule)), r"\s+")
+    fields = F.split(_schedule(F.col(schedule)), r"\s+")
     dom, dow = fields.getItem(2), fields.getItem(4)
     # the value lists become columns first, so they are built once per job and not once per day
     compiled = jobs.select(

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from lodework.functions.json import path_test
 from lodework.operators.tabular import all_of
-from lodework.session import widen
 
 OPERATORS = {"$eq": "=", "$ne": "!=", "$gt": ">", "$gte": ">=", "$lt": "<", "$lte": "<=", "$in": "in"}
 
 
 def collection(df: DataFrame, id_col: str, json_text: str) -> DataFrame:
     """Collection from a table with an id and a JSON text."""
-    texts = widen(df.select(F.col(id_col).cast("string").alias("_id"), F.col(json_text).alias("_text")))
+    texts = df.select(F.col(id_col).cast("string").alias("_id"), F.col(json_text).alias("_text"))
     return texts.select("_id", once(F.parse_json("_text")).alias("doc"))
 
 
@@ -146,6 +145,14 @@ def _value(expr, kind: str = "double") -> Column:
     return F.lit(expr)
 
 
+def _sortable(field: str) -> list[Column]:
+    """Keys that sort a field's numbers by value, then its texts, after what has neither."""
+    value = F.try_variant_get("doc", _path(field), "variant")
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    kind = F.when(value.isNull(), None).when(number, 0).otherwise(1)
+    return [kind, F.when(number, F.try_variant_get("doc", _path(field), "double")), F.when(~number, _value("$" + field, "string"))]
+
+
 GROUPERS = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max}
 
 
@@ -181,8 +188,11 @@ def aggregate(coll: DataFrame, stages: list[dict]) -> DataFrame:
                                         .alias(f) for f, on in body.items() if on and f != "_id"])
             flat = True
         elif name == "$sort":
-            read = F.col if flat else (lambda f: _value("$" + f, "string"))
-            df = df.orderBy(*[read(f).asc_nulls_first() if way > 0 else read(f).desc_nulls_last() for f, way in body.items()])
+            by = []
+            for f, way in body.items():
+                for value in [F.col(f)] if flat or f == "_id" else _sortable(f):
+                    by.append(value.asc_nulls_first() if way > 0 else value.desc_nulls_last())
+            df = df.orderBy(*by)
         elif name == "$limit":
             df = df.limit(body)
         else:

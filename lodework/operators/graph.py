@@ -97,7 +97,7 @@ def reach(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     return known
 
 
-def shortest_paths(edges: DataFrame, source, max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, source) -> DataFrame:
     """(node, cost, hops, prev) of every node that ``source`` reaches over directed edges (source, target, cost).
 
     Bulk relaxation: nodes improved in one round offer their cost to their neighbours in the next; a node
@@ -112,7 +112,7 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int = 1000) -> DataFram
     start = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.struct(
         F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("prev")).alias("best"))
     settled = frontier = stage(start, "paths")
-    for _ in range(max_rounds):
+    while True:  # costs are not negative, so it ends
         offers = (frontier.join(lanes, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node"))
                   .agg(F.min(F.struct((F.col("best.cost") + lanes["cost"]).alias("cost"), (F.col("best.hops") + 1).alias("hops"),
                                       F.col("node").alias("prev"))).alias("offer")))
@@ -123,15 +123,14 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int = 1000) -> DataFram
         settled, frontier = merged.select("node", "best"), merged.where("improved").select("node", "best")
         if frontier.isEmpty():
             return settled.select("node", "best.cost", "best.hops", "best.prev")
-    raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 
-def dijkstra(edges: DataFrame, source, target, max_rounds: int = 1000) -> DataFrame:
+def dijkstra(edges: DataFrame, source, target) -> DataFrame:
     """(seq, node, cost, agg_cost) along the cheapest path; ``cost`` is that of the edge leaving the node.
 
     No rows when the target cannot be reached.
     """
-    spark, settled = edges.sparkSession, shortest_paths(edges, source, max_rounds)
+    spark, settled = edges.sparkSession, shortest_paths(edges, source)
     kind = edges.schema["source"].dataType.simpleString()
     steps, node = [], target
     while node is not None:  # one lookup per node of the path

@@ -112,8 +112,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column],
                               .alias(name) for name, (kind, c) in outputs.items()])
     on = null_safe(local, carry, [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_chunk", "_c")])
     joined = local.join(carry, on, "left")
+    kinds = native(hot.drop("_chunk")).schema  # a key's size must not change a type
     result = joined.select(*[joined[c] for c in df.columns],
-                           *[_combine(kind, joined[name], joined[f"_carry_{name}"]).alias(name)
+                           *[_combine(kind, joined[name], joined[f"_carry_{name}"]).cast(kinds[name].dataType).alias(name)
                              for name, (kind, _) in outputs.items()])
     if any(kind == "count" for kind, _ in outputs.values()):
         result = result.fillna(0, [n for n, (kind, _) in outputs.items() if kind == "count"])

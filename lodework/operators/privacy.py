@@ -51,6 +51,8 @@ def mask(df: DataFrame, rules: dict[str, tuple], secret: str = "") -> DataFrame:
     ("round", step) for numbers and ("trunc", unit) for times.
     """
     types = dict(df.dtypes)
+    if not secret and any(kind in ("fake", "hash") for kind, *_ in rules.values()):
+        raise ValueError("a keyed rule needs a secret")
 
     def masked(name: str) -> Column:
         value, (kind, *args) = F.col(name), rules[name]

@@ -73,6 +73,8 @@ def cidr_bounds(cidr: Column) -> Column:
     """struct(lo, hi) of an IPv4 network or single address text."""
     base = address_number(F.split_part(cidr, F.lit("/"), F.lit(1)))
     bits = F.coalesce(F.regexp_extract(cidr, r"/(\d+)$", 1).try_cast("int"), F.lit(32))
+    base = F.when(bits <= 32, base)
+    bits = F.least(bits, F.lit(32))
     size = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - bits)
     lo = base - F.pmod(base, size)
     return F.struct(lo.alias("lo"), (lo + size - 1).alias("hi"))
@@ -121,7 +123,7 @@ def prefix_join(numbers: DataFrame, prefixes: DataFrame, number: str, prefix: st
         known = prefixes.dropDuplicates([prefix])
         best = (spread.join(known.select(F.col(prefix).alias("_prefix")), F.col("_cut") == F.col("_prefix"))
                 .groupBy(number).agg(F.max_by("_prefix", F.length("_prefix")).alias(prefix)))
-        found = best.join(known, prefix)
+        found = best.join(prefixes, prefix)  # all rows of that prefix
     return numbers.join(found, number)
 
 
@@ -151,9 +153,13 @@ def interval_join(left: DataFrame, right: DataFrame, l_from: str, l_to: str, r_f
 
 
 def band_join(left: DataFrame, right: DataFrame, value: str, lo: Column, hi: Column, scale: int = 0) -> DataFrame:
-    """Non-equi join ``lo <= value < hi`` on numbers with ``scale`` decimal digits."""
+    """Non-equi join ``lo <= value < hi`` on numbers.
+
+    Blocks are found at ``scale`` decimal digits, rounded outwards; the bounds themselves are tested on the pairs.
+    """
     factor = 10 ** scale
-    points = left.withColumn("_v", F.round(F.col(value) * factor).cast("long"))
-    bands = (right.withColumn("_lo", F.round(lo * factor).cast("long"))
-             .withColumn("_hi", F.round(hi * factor).cast("long") - 1))
-    return range_join(points, bands, "_v", "_lo", "_hi").drop("_v", "_lo", "_hi")
+    points = left.withColumn("_v", F.floor(F.col(value) * factor).cast("long"))
+    bands = (right.withColumn("_from", lo).withColumn("_to", hi).where("_from < _to")
+             .withColumn("_lo", F.floor(F.col("_from") * factor).cast("long")).withColumn("_hi", F.floor(F.col("_to") * factor).cast("long")))
+    pairs = range_join(points, bands, "_v", "_lo", "_hi")
+    return pairs.where((F.col(value) >= F.col("_from")) & (F.col(value) < F.col("_to"))).drop("_v", "_lo", "_hi", "_from", "_to")

@@ -70,7 +70,7 @@ def semver_key(version: Column) -> Column:
     A release sorts above its pre-releases; identifiers of a pre-release compare one by one,
     numeric ones by value and below text; a shorter list sorts first; build text is ignored.
     """
-    text = F.regexp_extract(version, r"^v?(\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?)", 1)
+    text = F.regexp_extract(version, r"^v?((?:0|[1-9]\d*)\.(?:0|[1-9]\d*)\.(?:0|[1-9]\d*)(?:-[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?)(?:\+[0-9A-Za-z.-]+)?$", 1)
     core = [F.regexp_extract(text, rf"^(?:\d+\.){{{i}}}(\d+)", 1).cast("long") for i in range(3)]
     pre = F.regexp_extract(text, r"-(.*)$", 1)
     identifiers = F.transform(

@@ -124,12 +124,10 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-30)))
 
 
-def build_ann(df: DataFrame, id_col: str, vec: str, n_lists: int, metric: str = "l2", train_rows: int | None = None,
-              seed: int = 7) -> AnnIndex:
+def build_ann(df: DataFrame, id_col: str, vec: str, n_lists: int, metric: str = "l2", seed: int = 7) -> AnnIndex:
     """Cluster centres by k-means, then every vector goes to the folder of its nearest centre.
 
-    Only the training of the centres uses a bounded share of the rows (about 256 per list, picked by hash);
-    all rows are indexed.  Cosine uses unit vectors.
+    The centres are fitted on all rows, in parallel; cosine uses unit vectors.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -137,9 +135,7 @@ def build_ann(df: DataFrame, id_col: str, vec: str, n_lists: int, metric: str =
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     if metric == "cosine":
         rows = rows.withColumn("v", _unit(F.col("v")))
-    every = max(1, rows.count() // (train_rows or 256 * n_lists))
-    train = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    train = stage(train.select("v"), "ann-train").select(array_to_vector("v").alias("features"))
+    train = stage(rows.select("v"), "ann-train").select(array_to_vector("v").alias("features"))
     model = KMeans(k=n_lists, maxIter=10, seed=seed).fit(train)
     centres = np.stack(model.clusterCenters())
     frozen = centres.astype("float64")

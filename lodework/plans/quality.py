@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodework.operators import quality
 from lodework.plans.registry import plan
-from lodework.session import scratch_path
+from lodework.session import scratch_path, stage
 from lodework.sources.files import retain, write_partitioned
 
 
@@ -28,7 +28,7 @@ def data_checks(spark, t):
         quality.check_unique(t.customer, "customer key is unique", ["c_custkey"]),
         quality.check_unique(t.lineitem, "lines are unique", ["l_orderkey", "l_linenumber"]),
         quality.check_reference(t.orders, "orders refer to customers", "o_custkey", t.customer, "c_custkey"),
-        quality.check_same_rows(t.orders, t.orders.repartition(3), "orders stay the same")])
+        quality.check_same_rows(t.orders, stage(t.orders, "orders-copy"), "orders stay the same")])
 
 
 @plan("partition_retention", """

@@ -9,7 +9,7 @@ from lodework.functions.text import fold_ascii
 from lodework.operators.ordered import topk
 from lodework.operators.tabular import collated, insert_rows, rewrite, semver_key, semver_latest, table_diff
 from lodework.plans.registry import plan
-from lodework.session import widen
+from lodework.session import stage
 
 VERSION_SQL = ("(p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) || "
                "CASE WHEN p_partkey % 5 = 0 THEN '-rc1' WHEN p_partkey % 5 = 1 THEN '-rc.2' ELSE '' END)")
@@ -146,8 +146,9 @@ WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) A
 SELECT replace(lower(strip_accents(word)), 'ß', 'ss') AS folded, count(*) AS uses FROM w GROUP BY 1
 """)
 def collated_sort(spark, t):
-    words = widen(t.documents.select("text")).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), 0)).alias("word"))
-    plain = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), 0)).alias("word"))
+    # staged: the range sort reads its input twice
+    plain = stage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     return (plain.groupBy(collated("word").alias("key")).agg(F.min(fold_ascii(F.lower("word"))).alias("folded"),
                                                               F.sum("n").alias("uses"))
             .orderBy("key").select("folded", "uses"))

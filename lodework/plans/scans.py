@@ -124,7 +124,7 @@ WHERE o_orderkey IS NOT NULL
 """)
 def compacted(spark, t):
     path = scratch_path(spark, "bloated")
-    write_table(t.orders.repartition(16), path)
+    write_table(t.orders, path, maxRecordsPerFile=100_000)
     return compact(spark, path, scratch_path(spark, "compact"), ["o_custkey", "o_orderdate"])
 
 

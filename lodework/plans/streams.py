@@ -18,11 +18,17 @@ def cores(spark) -> int:
     return spark.sparkContext.defaultParallelism
 
 
-def as_stream(spark, df, files: int = 3):
-    """The rows of a table as a stream of ``files`` micro-batches."""
+def as_stream(spark, df):
+    """The rows of a table as a stream.
+
+    The table is written as it is partitioned, each task's rows over a few files; a micro-batch takes so many files
+    that a quarter of the cores read one each.
+    """
     path = scratch_path(spark, "stream-source")
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(3)).alias("_part")
+    df.select("*", part).write.partitionBy("_part").parquet(path)
+    files = max(1, spark.sparkContext.defaultParallelism // 4)
+    return spark.readStream.schema(f"{df._jdf.schema().toDDL()}, _part INT").option("maxFilesPerTrigger", files).parquet(path).drop("_part")
 
 
 @plan("incremental_view", """

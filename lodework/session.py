@@ -85,19 +85,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread rows of a scan of very few files over all cores before costly per-row work.
-
-    One Parquet row group is one task, so a small table would keep one core busy.  A scan with at least
-    as many files as cores, which is any large table, is returned as it is.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
-
-
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors,
     and gives the planner real sizes."""

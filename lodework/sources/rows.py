@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodework.operators.ordered import HOT_ROWS, paged
 
@@ -29,7 +30,13 @@ def time_series(bounds: DataFrame, lo: str, hi: str, every: str, name: str = "t"
 
 def values_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Inline rows with a declared schema; a local relation the optimizer can fold."""
-    return spark.createDataFrame(rows, schema)
+    fields = T.StructType.fromDDL(schema).fields
+    binds = {f"v{i}_{j}": value for i, row in enumerate(rows) for j, value in enumerate(row)}
+    tuples = ", ".join("(" + ", ".join(f":v{i}_{j}" for j in range(len(fields))) + ")" for i in range(len(rows)))
+    if not rows:
+        return spark.createDataFrame([], schema)
+    inline = spark.sql(f"SELECT * FROM VALUES {tuples} AS v({', '.join(f'c{j}' for j in range(len(fields)))})", args=binds)
+    return inline.select(*[F.col(f"c{j}").cast(f.dataType).alias(f.name) for j, f in enumerate(fields)])
 
 
 def sample_rows(df: DataFrame, n: int, key: str, direct: int = 10_000) -> DataFrame:
@@ -38,7 +45,7 @@ def sample_rows(df: DataFrame, n: int, key: str, direct: int = 10_000) -> DataFr
     A large ``n`` never gathers in one place: counts per hash bucket fix the bucket where the
     n-th row lies; whole buckets below it are kept by a filter and only that bucket is sorted.
     """
-    mixed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
+    mixed = df.withColumn("_h", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
     lowest = [F.col("_h"), F.col(key)]
     if n <= direct:
         return mixed.orderBy(*lowest).limit(n).drop("_h")

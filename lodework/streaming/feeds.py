@@ -42,11 +42,18 @@ def _typed(schema: str, source: str) -> list[Column]:
 
 
 def latest_changes(changes: DataFrame, table: str, keys: list[str], schema: str) -> DataFrame:
-    """(columns, kind): the last change of each key of a table by position; combines before the shuffle."""
+    """(columns, kind): the last change of each key of a table by position; combines before the shuffle.
+
+    An update that changes the key deletes the row of the old key and sets that of the new one.
+    """
     mine = changes.where(F.col("table") == table)
     rows = mine.select(*_typed(schema, "fields"), "kind", "pos", "step", "key")
-    keyed = rows.select(*[F.coalesce(F.try_element_at("key", F.lit(k)).try_cast(rows.schema[k].dataType), F.col(k)).alias(k) for k in keys],
-                        *[c for c in rows.columns if c not in (*keys, "key")])
+    named = {k: F.try_element_at("key", F.lit(k)).try_cast(rows.schema[k].dataType) for k in keys}
+    others = [c for c in rows.columns if c not in (*keys, "key", "kind")]
+    moved = (F.col("kind") == "update") & ~all_of([F.coalesce(named[k] == F.col(k), F.lit(True)) for k in keys])
+    new = [F.when(moved, F.col(k)).otherwise(F.coalesce(named[k], F.col(k))).alias(k) for k in keys]
+    left_behind = rows.where(moved).select(*[F.coalesce(named[k], F.col(k)).alias(k) for k in keys], F.lit("delete").alias("kind"), *others)
+    keyed = rows.select(*new, "kind", *others).unionByName(left_behind)
     values = [c for c in keyed.columns if c not in (*keys, "kind", "pos", "step")]
     last = keyed.groupBy(*keys).agg(F.max_by(F.struct("kind", "pos", *values), F.struct("pos", "step")).alias("_last"))
     return last.select(*keys, *[F.col("_last")[v].alias(v) for v in values], F.col("_last.kind").alias("kind"), F.col("_last.pos").alias("pos"))
