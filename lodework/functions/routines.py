@@ -6,9 +6,13 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+NAN = float("nan")  # one object, so that keys with it are equal
 
 
 def register_scalar(spark: SparkSession, name: str, fn: Callable, returns: str, vectorized: bool = False):
@@ -47,42 +51,48 @@ def grouped_agg(df: DataFrame, group: list[str], columns: list[str], partial: Ca
     keys = [df.schema[g] for g in group]
     state_schema = T.StructType([*keys, T.StructField("_state", T.BinaryType())])
     result_schema = T.StructType([*keys, T.StructField(name, T._parse_datatype_string(returns))])
+    state_arrow, result_arrow = to_arrow_schema(state_schema), to_arrow_schema(result_schema)
+
+    def made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, rows = [], 0
         for batch in batches:
             held.append(batch)
-            rows += len(batch)
+            rows += batch.num_rows
             if rows >= GATHER_ROWS:
-                yield pd.concat(held, ignore_index=True)
+                yield pa.Table.from_batches(held)
                 held, rows = [], 0
         if held:
-            yield pd.concat(held, ignore_index=True)
-
-    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in gathered(batches):
-            made = [(key, pickle.dumps(partial(rows))) for key, rows in batch.groupby(group, dropna=False, sort=False)]
-            out = pd.DataFrame([key for key, _ in made], columns=group)
-            out["_state"] = [state for _, state in made]
-            yield out
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield pa.Table.from_batches(held)
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches):
+            frame = table.to_pandas()
+            # keys as Python values: pandas would read whole numbers beside a null as floats
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(table.column(g).to_pylist() for g in group), strict=True)):
+                places.setdefault(tuple(v if v == v else NAN for v in key), []).append(i)
+            yield made([(*key, pickle.dumps(partial(frame.iloc[at]))) for key, at in places.items()], state_arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
             done = []
-            for row in batch.itertuples(index=False, name=None):
-                key = tuple(None if pd.isna(v) else v for v in row[:-1])
+            for *values, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = tuple(v if v == v else NAN for v in values)
                 if key != current:
                     if held:
                         done.append((*current, finish(merge(held))))
                     current, held = key, []
-                held.append(pickle.loads(row[-1]))
+                held.append(pickle.loads(state))
                 if len(held) >= 64:
                     held = [merge(held)]
             if done:
-                yield pd.DataFrame(done, columns=[*group, name])
+                yield made(done, result_arrow)
         if held:
-            yield pd.DataFrame([(*current, finish(merge(held)))], columns=[*group, name])
+            yield made([(*current, finish(merge(held)))], result_arrow)
 
-    states = df.select(*group, *[c for c in columns if c not in group]).mapInPandas(form, state_schema)
-    return states.repartition(*group).sortWithinPartitions(*group).mapInPandas(fold, result_schema)
+    states = df.select(*group, *[c for c in columns if c not in group]).mapInArrow(form, state_schema)
+    return states.repartition(*group).sortWithinPartitions(*group).mapInArrow(fold, result_schema)
