@@ -85,6 +85,22 @@ def cidr_join(addresses: DataFrame, networks: DataFrame, address: str = "ip", lo
     return range_join(addresses, networks, address, lo, hi, max_level=32)
 
 
+def network_overlap_join(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_lo: str, r_hi: str) -> DataFrame:
+    """Pairs of address ranges (integers, ends included, names unlike) that share an address, each pair once."""
+    inside = range_join(left, right, l_lo, r_lo, r_hi, max_level=32)
+    after = range_join(right, left.withColumn("_after", F.col(l_lo) + 1), r_lo, "_after", l_hi, max_level=32)
+    columns = [*left.columns, *right.columns]
+    return inside.select(*columns).unionByName(after.select(*columns))
+
+
+def ipv6_join(addresses: DataFrame, networks: DataFrame, address: str, network: str) -> DataFrame:
+    """(address row, network row) for each IPv6 address inside a network ``text/length``."""
+    length = F.split_part(F.col(network), F.lit("/"), F.lit(2)).try_cast("int")
+    a = addresses.withColumn("_bits", ipv6_bits(F.col(address)))
+    n = networks.withColumn("_prefix", F.left(ipv6_bits(F.col(network)), F.coalesce(length, F.lit(128))))
+    return prefix_join(a, n, "_bits", "_prefix", longest=False).drop("_bits", "_prefix")
+
+
 def ranges_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
     return (lo1 <= hi2) & (lo2 <= hi1)
 

@@ -39,13 +39,16 @@ def _terms_of(df: DataFrame, query: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(term, id, tf), lengths(id, len), terms(term, df)."""
+    """postings(term, id, tf, len) where len is the length of the text, terms(term, df)."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     documents: int
-    mean_length: float
+    total_length: int
+
+    @property
+    def mean_length(self) -> float:
+        return self.total_length / max(self.documents, 1)
 
 
 def build_bm25(df: DataFrame, id_col: str, text: str) -> Bm25Index:
@@ -55,21 +58,23 @@ def build_bm25(df: DataFrame, id_col: str, text: str) -> Bm25Index:
     come from the staged postings.  Texts without a word count as documents of length 0.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
-    postings = _by_term(words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    lengths = stage(postings.groupBy("id").agg(F.sum("tf").alias("len")), "lengths")
+    cut = texts.select("id", tokens(F.col("text")).alias("words"))
+    words = cut.select("id", F.size("words").cast("long").alias("len"), F.explode("words").alias("term"))
+    # rows that share an id are one text
+    counts = words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+    postings = _by_term(counts, "postings")
     terms = stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    documents, total = df.count(), lengths.agg(F.sum("len")).first()[0] or 0
-    return Bm25Index(postings, lengths, terms, documents, total / max(documents, 1))
+    documents, total = df.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    return Bm25Index(postings, terms, documents, total)
 
 
 def _scored(index: Bm25Index, hits: DataFrame, keys: list[str], k1: float, b: float) -> DataFrame:
-    """Sum of idf * tf part over matched terms; hits hold id, tf, df and the keys."""
+    """Sum of idf * tf part over matched terms; hits hold id, tf, len, df and the keys."""
     n = F.lit(float(index.documents))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = k1 * (1 - b + b * F.col("len") / index.mean_length)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return (hits.join(index.lengths, "id").groupBy(*keys, "id").agg(F.sum(part).alias("score"))
+    return (hits.groupBy(*keys, "id").agg(F.sum(part).alias("score"))
             .select(*keys, "id", F.round(-F.col("score"), 6).alias("distance")))
 
 
@@ -153,11 +158,11 @@ def bigram_candidates(index: BigramIndex, pattern: str) -> DataFrame:
     A pattern of one character has no 2-gram and is looked up by a scan.
     """
     words = sorted({pattern[i:i + 2] for i in range(len(pattern) - 1)})
-    texts = index.texts.where(F.col("text").contains(pattern))
     if not words:
-        return texts
+        return index.texts.where(F.col("text").contains(pattern))
     hits = index.grams.where(F.col("term").isin(words))
-    full = hits.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(words)).select("id")
-    return texts.join(full, "id", "left_semi")
+    # the pattern comes with the ids, so the texts are tested after the join and not in the scan
+    full = hits.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.lit(pattern)).alias("_pattern")).where(F.col("_n") == len(words))
+    return index.texts.join(full, "id").where(F.col("text").contains(F.col("_pattern"))).select("id", "text")
 
 

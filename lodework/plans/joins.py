@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodework.operators.joins import asof_join, hinted_join
-from lodework.operators.ranges import band_join, cidr_join, interval_join, prefix_join
+from lodework.operators.ranges import band_join, cidr_bounds, cidr_join, interval_join, ipv6_join, network_overlap_join, prefix_join
 from lodework.operators.tabular import full_outer
 from lodework.plans.registry import plan
 
@@ -98,6 +98,32 @@ def join_cidr(spark, t):
     return cidr_join(a, n).select("event_id", "ip", "s_suppkey")
 
 
+@plan("join_network_overlap", """
+WITH s AS (SELECT s_suppkey, (s_suppkey % 200) * 65536 AS lo, CASE WHEN s_suppkey % 3 = 0 THEN 131072 ELSE 16384 END AS size FROM supplier),
+b AS (SELECT s_suppkey, 167772160 + lo // size * size AS lo, 167772160 + lo // size * size + size - 1 AS hi FROM s)
+SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM b x JOIN b y ON x.lo <= y.hi AND y.lo <= x.hi
+""")
+def join_network_overlap(spark, t):
+    key = F.col("s_suppkey") % 200
+    text = F.concat(F.lit("10."), key.cast("string"), F.when(F.col("s_suppkey") % 3 == 0, ".0.0/15").otherwise(".0.0/18"))
+    nets = t.supplier.select("s_suppkey", cidr_bounds(text).alias("n"))
+    a = nets.select(F.col("s_suppkey").alias("a"), F.col("n.lo").alias("a_lo"), F.col("n.hi").alias("a_hi"))
+    b = nets.select(F.col("s_suppkey").alias("b"), F.col("n.lo").alias("b_lo"), F.col("n.hi").alias("b_hi"))
+    return network_overlap_join(a, b, "a_lo", "a_hi", "b_lo", "b_hi").select("a", "b")
+
+
+@plan("join_ipv6", """
+WITH a AS (SELECT event_id, user_id * 7919 % 65536 AS g FROM events),
+n AS (SELECT s_suppkey, s_suppkey * 7919 % 65536 AS g, s_suppkey % 2 AS odd FROM supplier)
+SELECT event_id, s_suppkey FROM a JOIN n ON CASE WHEN odd = 1 THEN a.g // 16 = n.g // 16 ELSE a.g = n.g END
+""")
+def join_ipv6(spark, t):
+    group = lambda key: F.lower(F.hex(F.col(key).cast("long") * 7919 % 65536))
+    a = t.events.select("event_id", F.concat(F.lit("2001:db8:"), group("user_id"), F.lit("::"), F.lower(F.hex(F.col("event_id") % 65536))).alias("ip"))
+    n = t.supplier.select("s_suppkey", F.concat(F.lit("2001:db8:"), group("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 1, "::/44").otherwise("::/48")).alias("net"))
+    return ipv6_join(a, n, "ip", "net").select("event_id", "s_suppkey")
+
+
 PHONE = "lpad(CAST(c_custkey * 7919 % 10000000000 AS string), 10, '0')"
 
 

@@ -49,3 +49,27 @@ UNION ALL SELECT o_orderkey, 'rest', CAST(floor(o_totalprice) - floor(o_totalpri
 def udtf_rows(spark, t):
     register_table(spark, "price_steps", PriceSteps, "order_key bigint, part string, amount bigint")
     return spark.sql("SELECT s.* FROM {orders} o, LATERAL price_steps(o.o_orderkey, o.o_totalprice) s", orders=t.orders)
+
+
+class Sittings:
+    """Of rows in time order, how many runs without a gap of more than an hour; keeps two numbers, not the rows."""
+
+    def __init__(self):
+        self.user, self.last, self.count = None, None, 0
+
+    def eval(self, row):
+        if self.last is None or (row["ts"] - self.last).total_seconds() > 3600:
+            self.count += 1
+        self.user, self.last = row["user_id"], row["ts"]
+
+    def terminate(self):
+        yield self.user, self.count
+
+
+@plan("udtf_table", """
+WITH g AS (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)
+SELECT user_id, count(*) FILTER (WHERE gap IS NULL OR gap > INTERVAL 1 HOUR) AS sittings FROM g GROUP BY 1
+""")
+def udtf_table(spark, t):
+    register_table(spark, "sittings", Sittings, "user_id bigint, sittings bigint")
+    return spark.sql("SELECT * FROM sittings(TABLE(SELECT user_id, ts FROM {events}) PARTITION BY user_id ORDER BY ts)", events=t.events)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodework.operators.search import (STOP_WORDS, bigram_candidates, bm25_topk, bm25_topk_many, build_bigrams, build_bm25,
@@ -28,9 +29,8 @@ SELECT term, df, tfs AS total_tf, documents, total_length FROM dfs JOIN (SELECT
 def bm25_index(spark, t):
     index = build_bm25(t.documents, "doc_id", "text")
     totals = index.postings.groupBy("term").agg(F.sum("tf").alias("total_tf"))
-    length = index.lengths.agg(F.sum("len")).scalar()
     return index.terms.join(totals, "term").select("term", "df", "total_tf", F.lit(index.documents).cast("long").alias("documents"),
-                                                   length.alias("total_length"))
+                                                   F.lit(index.total_length).cast("long").alias("total_length"))
 
 
 SEARCH_TEXT = "Onesen hention of nation"
@@ -73,6 +73,15 @@ def fts_match_ranked(spark, t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@plan("fts_top", f"""
+WITH {WORDS_SQL}, m AS (SELECT id, CAST(len(list_filter(ws, lambda x : x IN ('hention', 'tion', 'the'))) AS BIGINT) AS matches FROM w)
+SELECT row_number() OVER (ORDER BY matches DESC, id) AS rn, id, matches FROM m WHERE matches > 0 QUALIFY rn <= 40
+""")
+def fts_top(spark, t):
+    best = fts(build_positions(t.documents, "doc_id", "text"), ["hention", "tion", "the"], "or", 40)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("matches"), "id")).alias("rn").cast("long"), "id", "matches")
+
+
 @plan("bigram_search", "SELECT doc_id AS id, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE text LIKE '%tion the%'")
 def bigram_search(spark, t):
     return bigram_candidates(build_bigrams(t.documents, "doc_id", "text"), "tion the").select(

@@ -10,7 +10,7 @@ from lodework.session import scratch_path
 from lodework.streaming.feeds import ReplicationSet, parse_changes
 from lodework.streaming.queues import queue_state
 from lodework.streaming.replicate import read_copy, replicate_tables
-from lodework.streaming.views import incremental_view, read_view, rollup_buckets, run_to_end, time_bucket_agg
+from lodework.streaming.views import incremental_view, read_view, rollup_buckets, run_to_end, signed_view, time_bucket_agg
 
 
 def cores(spark) -> int:
@@ -42,6 +42,17 @@ def incremental(spark, t):
     return read_view(spark, path, ["o_custkey"]).withColumn("total", F.col("total").cast("double"))
 
 
+@plan("view_with_deletes", """
+SELECT o_custkey, count(*) AS row_count, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1
+""")
+def view_with_deletes(spark, t):
+    rows = t.orders.select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("price"), "o_orderkey")
+    signed = rows.withColumn("sign", F.lit(1)).unionByName(rows.where("o_orderkey % 5 = 0").withColumn("sign", F.lit(-1)))
+    path = scratch_path(spark, "signed")
+    run_to_end(signed_view(as_stream(spark, signed), ["o_custkey"], "sign", {"cents": "price"}), path, partitions=cores(spark))
+    return read_view(spark, path, ["o_custkey"]).where("row_count > 0")
+
+
 @plan("continuous_aggregate", """
 SELECT 'hour' AS step, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 2, 3
 UNION ALL SELECT 'day', date_trunc('day', ts)::TIMESTAMP, event_type, count(*), CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) FROM events GROUP BY 2, 3
