@@ -36,11 +36,11 @@ def documents(spark: SparkSession, docs: list[dict]) -> DataFrame:
 
 def insert(coll: DataFrame, docs: DataFrame) -> DataFrame:
     """Collection with more documents; an ``_id`` that occurs twice is refused."""
-    grown = coll.unionByName(docs)
-    twice = grown.groupBy("_id").count().where("count > 1").select("_id").head(1)
+    new = docs.select("_id")
+    twice = new.groupBy("_id").count().where("count > 1").select("_id").head(1) or coll.select("_id").join(new, "_id", "left_semi").head(1)
     if twice:
         raise ValueError(f"duplicate _id {twice[0][0]}")
-    return grown
+    return coll.unionByName(docs)
 
 
 def _path(field: str) -> str:

@@ -20,7 +20,7 @@ def vertex_id(label: str, *keys: str | Column) -> Column:
 
 
 def _props(columns: list[str]) -> Column:
-    return F.parse_json(F.to_json(F.struct(*columns))) if columns else F.parse_json(F.lit("{}"))
+    return F.to_variant_object(F.struct(*columns)) if columns else F.parse_json(F.lit("{}"))
 
 
 def create_vertices(df: DataFrame, label: str, key: list[str], props: list[str]) -> DataFrame:

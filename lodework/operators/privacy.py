@@ -1,15 +1,16 @@
 """Static masking and authenticated encryption of columns.
 
-Salts and keys are texts that begin with ``secret:``; the session setting
-``spark.sql.redaction.string.regex`` hides such literals, and the binary keys the optimizer folds from
-them, in plans.
+Salts and keys are texts that begin with ``secret:``.  They are one-row tables that expressions read as scalar
+subqueries, so a plan, which names columns of a table and not its rows, does not hold them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX = "secret:"
@@ -24,9 +25,14 @@ def as_secret(text: str) -> str:
     return text if text.startswith(PREFIX) else PREFIX + text
 
 
+def _held(value: str | bytes) -> Column:
+    """A value that expressions can use and plans do not show."""
+    return SparkSession.active().createDataFrame(pa.table({"held": [value]})).scalar()
+
+
 def keyed_hash(value: Column, secret: str) -> Column:
     """SHA-256 of the secret and the value as 64 hex characters; NULL stays NULL."""
-    return F.sha2(F.concat(F.lit(as_secret(secret)), F.lit("|"), value.cast("string")), 256)
+    return F.sha2(F.concat(_held(as_secret(secret)), F.lit("|"), value.cast("string")), 256)
 
 
 def fake(value: Column, pool: list[str], secret: str) -> Column:
@@ -81,17 +87,22 @@ def mask(df: DataFrame, rules: dict[str, tuple], secret: str = "") -> DataFrame:
 
 def _key(secret: str) -> Column:
     """256-bit key of a secret."""
-    return F.unhex(F.sha2(F.lit(as_secret(secret)).cast("binary"), 256))
+    return _held(hashlib.sha256(as_secret(secret).encode()).digest())
 
 
 def encrypt(df: DataFrame, columns: list[str], secret: str) -> DataFrame:
     """AES-GCM with a random nonce per value; the column name is authenticated, so values cannot be swapped
     between columns.  Values become binary."""
-    return df.select(*[F.aes_encrypt(F.col(c).cast("string").cast("binary"), _key(secret), F.lit("GCM"), F.lit("DEFAULT"),
+    key = _key(secret)
+    return df.select(*[F.aes_encrypt(F.col(c).cast("string").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"),
                                      F.lit(b""), F.lit(c).cast("binary")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def decrypt(df: DataFrame, types: dict[str, str], secret: str) -> DataFrame:
     """Plain values of encrypted columns; NULL where the key is wrong or the value was tampered with."""
-    return df.select(*[F.try_aes_decrypt(F.col(c), _key(secret), F.lit("GCM"), F.lit("DEFAULT"), F.lit(c).cast("binary"))
-                       .cast("string").cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+    return df.select(*[opened(F.col(c), c, secret).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+
+
+def opened(value: Column, name: str, secret: str) -> Column:
+    """Plain text of a value that was encrypted as column ``name``."""
+    return F.try_aes_decrypt(value, _key(secret), F.lit("GCM"), F.lit("DEFAULT"), F.lit(name).cast("binary")).cast("string")

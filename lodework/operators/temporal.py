@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodework.operators.ordered import HOT_ROWS, framed, running
+from lodework.operators.ordered import HOT_ROWS, framed, null_safe, running
 
 
 def apply_changes(current: DataFrame, history: DataFrame, changes: DataFrame, keys: list[str], ts: str, seq: str,
@@ -17,6 +17,10 @@ def apply_changes(current: DataFrame, history: DataFrame, changes: DataFrame, ke
     open a version, delete only closes one.  The next change of a key ends each version.
     """
     values = [c for c in current.columns if c not in (*keys, "valid_from")]
+    # keys without a change pass through
+    touched = changes.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    same = null_safe(current, touched, [(k, f"_k_{k}") for k in keys])
+    rest, current = current.join(touched, same, "left_anti"), current.join(touched, same, "left_semi")
     open_rows = current.select(*keys, *values, F.col("valid_from").alias("_at"), F.lit(-1).cast("long").alias("_seq"), F.lit("open").alias("_op"))
     new_rows = changes.select(*keys, *values, F.col(ts).alias("_at"), F.col(seq).cast("long").alias("_seq"), F.lower(F.col(op)).alias("_op"))
     ended = framed(open_rows.unionByName(new_rows), keys, [F.asc("_at"), F.asc("_seq")],
@@ -24,7 +28,7 @@ def apply_changes(current: DataFrame, history: DataFrame, changes: DataFrame, ke
     versions = ended.where("_op <> 'delete'")
     now = versions.where("_until IS NULL").select(*keys, *values, F.col("_at").alias("valid_from"))
     past = versions.where("_until IS NOT NULL").select(*keys, *values, F.col("_at").alias("valid_from"), F.col("_until").alias("valid_to"))
-    return now, history.unionByName(past)
+    return rest.select(*now.columns).unionByName(now), history.unionByName(past)
 
 
 def as_of(current: DataFrame, history: DataFrame, moment: Column) -> DataFrame:

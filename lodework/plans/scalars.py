@@ -143,8 +143,8 @@ def array_reduce(spark, t):
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, event_type AS kind, NULL::VARCHAR AS absent FROM events
 """)
 def map_lookup(spark, t):
-    text = F.concat(F.regexp_replace("props", r'[{}"\s]', ""), F.lit(",type:"), F.col("event_type"))
-    return (t.events.withColumn("m", F.str_to_map(text, F.lit(","), F.lit(":")))
+    held = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("type"), F.col("event_type")))
+    return (t.events.withColumn("m", held)
             .select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.try_element_at("m", F.lit("type")).alias("kind"),
                     F.try_element_at("m", F.lit("none")).alias("absent")))
 
