@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodework.functions.json import path_test
 from lodework.operators.tabular import all_of
@@ -145,28 +146,38 @@ def _value(expr, kind: str = "double") -> Column:
     return F.lit(expr)
 
 
-def _sortable(field: str) -> list[Column]:
-    """Keys that sort a field's numbers by value, then its texts, after what has neither."""
-    value = F.try_variant_get("doc", _path(field), "variant")
+def _sortable(value: Column) -> list[Column]:
+    """Keys that sort VARIANT numbers by value, then texts and the rest, after what is missing or null."""
     number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    kind = F.when(value.isNull(), None).when(number, 0).otherwise(1)
-    return [kind, F.when(number, F.try_variant_get("doc", _path(field), "double")), F.when(~number, _value("$" + field, "string"))]
+    kind = F.when(value.isNull() | F.is_variant_null(value), None).when(number, 0).otherwise(1)
+    return [kind, F.when(number, F.try_variant_get(value, "$", "double")), F.when(~number, F.try_variant_get(value, "$", "string"))]
 
 
-GROUPERS = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max}
+def _extreme(pick, expr) -> Column:
+    """The least or greatest value of a field as a VARIANT, so with the kind it has; NULL where no document has it."""
+    if not (isinstance(expr, str) and expr.startswith("$")):
+        return pick(F.lit(1), F.lit(1)) * F.lit(expr)
+    value = F.try_variant_get("doc", _path(expr[1:]), "variant")
+    kind, number, text = _sortable(value)
+    return pick(value, F.when(kind.isNotNull(), F.struct(kind, number, text)))
+
+
+GROUPERS = {"$sum": lambda e: F.sum(_value(e)), "$avg": lambda e: F.avg(_value(e)),
+            "$min": lambda e: _extreme(F.min_by, e), "$max": lambda e: _extreme(F.max_by, e)}
 
 
 def aggregate(coll: DataFrame, stages: list[dict]) -> DataFrame:
     """Fold $match, $group, $project, $sort and $limit over a collection.
 
     ``$match`` comes before ``$group`` and reads documents; after ``$group`` or ``$project`` the rows are
-    plain columns and ``$match`` compares those.
+    plain columns and ``$match`` compares those.  ``$min``, ``$max`` and ``$project`` keep a value's own kind and give
+    VARIANT columns; numbers come before texts.
     """
     df, flat = coll, False
     for stage_ in stages:
         (name, body), = stage_.items()
         if name == "$match":
-            df = df.where(all_of([_flat_test(f, w) for f, w in body.items()]) if flat else condition(body))
+            df = df.where(all_of([_flat_test(df, f, w) for f, w in body.items()]) if flat else condition(body))
         elif name == "$group":
             key = body["_id"]
             aggs = []
@@ -177,20 +188,20 @@ def aggregate(coll: DataFrame, stages: list[dict]) -> DataFrame:
                 if op == "$count" or (op == "$sum" and expr == 1):
                     aggs.append(F.count(F.lit(1)).alias(out))
                 else:
-                    aggs.append(GROUPERS[op](_value(expr)).alias(out))
+                    aggs.append(GROUPERS[op](expr).alias(out))
             keys = [F.lit(None).cast("string").alias("_id")] if key is None else [_value(key, "string").alias("_id")]
             df, flat = df.groupBy(*keys).agg(*aggs), True
         elif name == "$project":
             if flat:
                 df = df.select(*[F.col(f) for f, on in body.items() if on])
             else:
-                df = df.select("_id", *[(_value(on, "string") if isinstance(on, str) else F.try_variant_get("doc", _path(f), "string"))
-                                        .alias(f) for f, on in body.items() if on and f != "_id"])
+                df = df.select("_id", *[_value(on if isinstance(on, str) else "$" + f, "variant").alias(f) for f, on in body.items() if on and f != "_id"])
             flat = True
         elif name == "$sort":
             by = []
             for f, way in body.items():
-                for value in [F.col(f)] if flat or f == "_id" else _sortable(f):
+                plain = f == "_id" or flat and not isinstance(df.schema[f].dataType, T.VariantType)
+                for value in [F.col(f)] if plain else _sortable(F.col(f) if flat else F.try_variant_get("doc", _path(f), "variant")):
                     by.append(value.asc_nulls_first() if way > 0 else value.desc_nulls_last())
             df = df.orderBy(*by)
         elif name == "$limit":
@@ -200,9 +211,12 @@ def aggregate(coll: DataFrame, stages: list[dict]) -> DataFrame:
     return df
 
 
-def _flat_test(field: str, wanted) -> Column:
+def _flat_test(df: DataFrame, field: str, wanted) -> Column:
     from lodework.functions.json import COMPARE
 
+    if isinstance(df.schema[field].dataType, T.VariantType):
+        tests = wanted.items() if isinstance(wanted, dict) else [("$eq", wanted)]
+        return all_of([path_test(F.col(field), "$", OPERATORS[op], value) for op, value in tests])
     if isinstance(wanted, dict):
         return all_of([COMPARE[OPERATORS[op]](F.col(field), value if op == "$in" else F.lit(value)) for op, value in wanted.items()])
     return F.col(field) == F.lit(wanted)

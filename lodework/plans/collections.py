@@ -53,4 +53,5 @@ def doc_aggregate(spark, t):
     measures = {"n": {"$sum": 1}, "mean_k": {"$avg": "$props.k"}, "top": {"$max": "$value"}}
     groups = aggregate(docs, [{"$match": {"value": {"$gte": 10}}}, {"$group": {"_id": "$event_type", **measures}}, {"$sort": {"_id": 1}}])
     whole = aggregate(docs, [{"$match": {"value": {"$gte": 10}}}, {"$group": {"_id": None, **measures}}])
-    return groups.unionByName(whole).withColumn("mean_k", F.round("mean_k", 6))
+    both = groups.unionByName(whole).withColumn("mean_k", F.round("mean_k", 6))
+    return both.withColumn("top", F.variant_get("top", "$", "double"))

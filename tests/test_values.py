@@ -213,6 +213,10 @@ def test_collection(spark):
     # numbers sort by value, whatever their texts
     assert [r["_id"] for r in collections.aggregate(parts, [{"$sort": {"bar": -1}}, {"$limit": 3}]).collect()] == ["p2", "v1", "p1"]
     assert collections.aggregate(parts, [{"$sort": {"bar": 1}}, {"$limit": 1}]).first()["_id"] == "g1"
+    ends = collections.aggregate(parts, [{"$group": {"_id": "$part", "lo": {"$min": "$bar"}, "unit": {"$max": "$unit"}}}, {"$sort": {"lo": -1}}])
+    assert [(r["_id"], str(r["lo"]), r["unit"] and r["unit"].toPython()) for r in ends.collect()] == [("valve", "16", None), ("pump", "9.5", None), ("gauge", "None", "kPa")]
+    low = collections.aggregate(parts, [{"$project": {"bar": 1}}, {"$match": {"bar": {"$lt": 20}}}, {"$sort": {"bar": 1}}])
+    assert [(r["_id"], r["bar"].toPython()) for r in low.collect()] == [("p1", 9.5), ("v1", 16)]
     assert one(spark, collections.same_document(F.parse_json(F.lit('{"a":1,"b":2}')), F.parse_json(F.lit('{"b":2,"a":1}'))))[0]
     with pytest.raises(ValueError, match="duplicate"):
         collections.insert(parts, collections.documents(spark, [{"_id": "g1", "part": "clamp"}]))
