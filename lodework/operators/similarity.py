@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodework.operators.search import bigrams
+from lodework.session import stage
 
 
 def edit_sim(a: Column, b: Column) -> Column:
@@ -136,8 +137,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame, l_col: str, r_col: str, sim: s
 
     ``sim`` is bigram, jaccard (words) or edit (``minimum`` at least 0.5).  Elements are ordered by how
     rare they are; two texts that are alike enough must share several of their first rare elements, so
-    only those meet in an equi-join and pairs that share too few are dropped before scoring.  Copies of a text are compared once: join the pairs back to the
-    rows to spread them.
+    only those meet in an equi-join and pairs that share too few are dropped before scoring.  Copies of a text are
+    compared once: join the pairs back to the rows to spread them.
     """
     if sim == "edit" and minimum < 0.5:
         raise ValueError("edit similarity joins need a minimum of at least 0.5")
@@ -147,9 +148,10 @@ def fuzzy_join(left: DataFrame, right: DataFrame, l_col: str, r_col: str, sim: s
         values = df.select(F.col(column).alias(f"{tag}v")).where(F.col(column).isNotNull()).distinct()
         return values.withColumn(f"{tag}e", elements(F.col(f"{tag}v")))
 
-    lhs, rhs = side(left, l_col, "l"), side(right, r_col, "r")
-    uses = (lhs.select(F.explode("le").alias("e")).unionByName(rhs.select(F.explode("re").alias("e")))
-            .groupBy("e").agg(F.count(F.lit(1)).alias("uses")))
+    # each side is cut once and read again for the counts, the rare elements and the scores
+    lhs, rhs = stage(side(left, l_col, "l"), "fuzzy-left"), stage(side(right, r_col, "r"), "fuzzy-right")
+    uses = stage(lhs.select(F.explode("le").alias("e")).unionByName(rhs.select(F.explode("re").alias("e")))
+                 .groupBy("e").agg(F.count(F.lit(1)).alias("uses")), "fuzzy-uses")
 
     def prefix(df, tag):
         """Rows (value, size, element) of the rare elements that decide."""
