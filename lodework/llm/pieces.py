@@ -32,15 +32,15 @@ class PieceCache(dict):
     def learn(self, pieces: list[list[str]]) -> None:
         """Afterwards every piece has its result here."""
         found = set().union(*pieces)
-        wanted = found.difference(self)
+        wanted = [p for p in found if p not in self]  # set.difference() would walk through this dict
         if len(self) - len(self.fixed) + len(wanted) > self.generation:
-            wanted = found.difference(self.fixed)
+            wanted = [p for p in found if p not in self.fixed]
             self.older = {k: v for k, v in self.items() if k not in self.fixed}
             self.clear()
             self.update(self.fixed)
         known = [p for p in wanted if p in self.older]
         self.update((p, self.older[p]) for p in known)
-        fresh = list(wanted.difference(known))
+        fresh = [p for p in wanted if p not in self.older]
         self.update(zip(fresh, self.encode_many(fresh), strict=True))
 
 
