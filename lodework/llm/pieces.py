@@ -29,19 +29,23 @@ class PieceCache(dict):
         self.encode_many, self.generation, self.older = encode_many, generation, {}
         self.fixed = fixed or {}
 
-    def learn(self, pieces: list[list[str]]) -> None:
-        """Afterwards every piece has its result here."""
-        found = set().union(*pieces)
-        wanted = [p for p in found if p not in self]  # set.difference() would walk through this dict
-        if len(self) - len(self.fixed) + len(wanted) > self.generation:
-            wanted = [p for p in found if p not in self.fixed]
-            self.older = {k: v for k, v in self.items() if k not in self.fixed}
-            self.clear()
-            self.update(self.fixed)
-        known = [p for p in wanted if p in self.older]
-        self.update((p, self.older[p]) for p in known)
-        fresh = [p for p in wanted if p not in self.older]
-        self.update(zip(fresh, self.encode_many(fresh), strict=True))
+    def values(self, pieces: list[str]) -> list:
+        """The result of each piece; what is missing is encoded together."""
+        out = list(map(self.get, pieces))
+        missing = [i for i, v in enumerate(out) if v is None]
+        if missing:
+            new = dict.fromkeys(pieces[i] for i in missing)
+            if len(self) - len(self.fixed) + len(new) > self.generation:
+                self.older = {k: v for k, v in self.items() if k not in self.fixed}
+                self.clear()
+                self.update(self.fixed)
+            known = {p: self.older[p] for p in new if p in self.older}
+            fresh = [p for p in new if p not in known]
+            known.update(zip(fresh, self.encode_many(fresh), strict=True))
+            self.update(known)
+            for i in missing:
+                out[i] = known[pieces[i]]
+        return out
 
 
 def spaced(text: str) -> tuple[list[str], list[str]]:
@@ -80,7 +84,7 @@ class SpacedEncoder:
 
     def tails(self, tails: list[str]) -> list[bytes]:
         """Results of pieces that follow a space; a word before a mark is looked up without the mark."""
-        marked = {t: m for t in tails if (m := MARKED(t))}
+        marked = {t: m for t in tails if t[-1] in MARKS and (m := MARKED(t))}
         known = {}
         for stem in {m[1] for m in marked.values()}:
             held = self.tail.get(stem) or self.tail.older.get(stem)
@@ -92,7 +96,11 @@ class SpacedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [([t], []) if any(w in t for w in self.whole) else spaced(t) for t in texts]
-        self.plain.learn([c[0] for c in cut])
-        self.tail.learn([c[1] for c in cut])
-        plain, tail = self.plain.__getitem__, self.tail.__getitem__
-        return [b"".join(chain(map(plain, a), map(tail, b))) for a, b in cut]
+        plain = self.plain.values([p for c in cut for p in c[0]])
+        tail = self.tail.values(list(chain.from_iterable(c[1] for c in cut)))
+        out, a, b = [], 0, 0
+        for c in cut:
+            i, j = a + len(c[0]), b + len(c[1])
+            out.append(b"".join(chain(plain[a:i], tail[b:j])))
+            a, b = i, j
+        return out

@@ -74,8 +74,7 @@ def test_token_counts(spark):
 def test_cache_generations():
     cache = PieceCache(lambda new: [p.upper() for p in new], 4, {"fixed": "F"})
     for words in (["a", "b", "c"], ["c", "d"], ["e", "a", "fixed"], ["f", "g", "h", "i", "j"]):
-        cache.learn([words])
-        assert [cache[w] for w in words] == [{"fixed": "F"}.get(w, w.upper()) for w in words]
+        assert cache.values(words) == [{"fixed": "F"}.get(w, w.upper()) for w in words]
 
 
 def test_token_files(spark):
