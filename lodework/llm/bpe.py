@@ -134,14 +134,21 @@ class ByteCodec:
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint, round_trip boolean"
 
 
+def _share(df: DataFrame, vocab_path: str, pattern: str):
+    """The vocabulary and pattern for the workers, with a name for what they make of them."""
+    ranks = read_ranks(vocab_path)
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    return df.sparkSession.sparkContext.broadcast((ranks, pattern, name))
+
+
 def _codec(shared) -> ByteCodec:
-    ranks, pattern = shared.value
-    return worker_store(f"byte codec {hash(pattern)} {len(ranks)}", lambda: ByteCodec(ranks, pattern))
+    ranks, pattern, name = shared.value
+    return worker_store(f"byte codec {name}", lambda: ByteCodec(ranks, pattern))
 
 
 def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its ids as ``array<int>``; ``decode_ids`` is its inverse."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(vocab_path), pattern))
+    shared = _share(docs, vocab_path, pattern)
 
     def run(batches):
         codec = _codec(shared)
@@ -156,7 +163,7 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
 
 def decode_ids(encoded: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per document with its bytes decoded, as text where they are UTF-8 (else null) and as binary."""
-    shared = encoded.sparkSession.sparkContext.broadcast((read_ranks(vocab_path), pattern))
+    shared = _share(encoded, vocab_path, pattern)
 
     def run(batches):
         codec = _codec(shared)
@@ -177,7 +184,7 @@ def decode_ids(encoded: DataFrame, vocab_path: str, pattern: str, id_col: str =
 def round_trip(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode every text in one pass, keeping digests: ids as little-endian unsigned 32-bit integers,
     decoded bytes, and whether these are the text's own; with ``keep_ids`` the ids too, as ``array<int>``."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(vocab_path), pattern))
+    shared = _share(docs, vocab_path, pattern)
 
     def run(batches):
         codec = _codec(shared)

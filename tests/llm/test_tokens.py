@@ -61,6 +61,13 @@ def test_byte_bpe_rows(spark, encoding):
     assert bpe.round_trip(empty(spark), RANKS, public_tokenizers.PATTERN, keep_ids=True).count() == 0
 
 
+def test_vocabularies_of_one_size_stay_apart(spark):
+    other = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = documents(spark, [(1, "Straße und Überfluss")])
+    ids = [bpe.encode_texts(docs, path, public_tokenizers.PATTERN).where("doc_id = 1").first().ids for path in (RANKS, other, RANKS)]
+    assert ids[0] == ids[2] != ids[1]
+
+
 def test_token_counts(spark):
     library, known = Tokenizer.from_file(WORD), texts() | dict(enumerate(odd_texts(400), 1000))
     got = by_id(token_counts.count_tokens(documents(spark, known.items()), WORD))
