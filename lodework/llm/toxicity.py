@@ -17,6 +17,7 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -65,6 +66,11 @@ def words_of(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
+def shared_words(text: str) -> set[str]:
+    """The words, each held once in memory however many texts have it."""
+    return set(map(sys.intern, words_of(text)))
+
+
 def features(words: set[str]) -> set[str]:
     """A word is itself; a beginning has a mark that no word has."""
     return words | {"4-" + w[:4] for w in words} | {"5-" + w[:5] for w in words if len(w) > 4}
@@ -81,12 +87,12 @@ def fit(texts: list[set[str]], labels: list[int]) -> dict[str, float]:
     model = {"": float(np.log(base / (1 - base)))}
     if not 0 < y.sum() < len(y):
         return model
-    every = [features(t) for t in texts]
     seen, positive = Counter(), Counter()
-    for f, label in zip(every, labels, strict=True):
-        seen.update(f)
+    for words, label in zip(texts, labels, strict=True):
+        own = features(words)
+        seen.update(own)
         if label:
-            positive.update(f)
+            positive.update(own)
     share = y.mean()
     strength = {f: abs(positive[f] - n * share) / np.sqrt(n * share * (1 - share)) for f, n in seen.items() if n >= LEAST}
     chosen = sorted((f for f, s in strength.items() if s >= ASSOCIATED), key=lambda f: (-strength[f], f))[:FEATURES]
@@ -95,7 +101,8 @@ def fit(texts: list[set[str]], labels: list[int]) -> dict[str, float]:
     number = {f: i for i, f in enumerate(chosen)}
     rows, columns = [], []
     moved_rows, moved_columns, moved_signs, pairs = [], [], [], 0
-    for r, (words, own) in enumerate(zip(texts, every, strict=True)):
+    for r, words in enumerate(texts):
+        own = features(words)
         held = [number[f] for f in own if f in number]
         rows += [r] * len(held)
         columns += held
@@ -139,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     joined = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "_id").select("_id", "_label", "_text")
 
     def run(batches):
-        found = [(i, label, words_of(text)) for b in batches for i, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        found = [(i, label, shared_words(text)) for b in batches for i, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         found.sort(key=lambda x: (x[0], x[1]))
         model = fit([w for _, _, w in found], [label for _, label, _ in found])
         yield pa.RecordBatch.from_arrays([pa.array(list(model), pa.string()), pa.array(list(model.values()), pa.float64())], ["feature", "weight"])
