@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodework.operators.joins import asof_join
 from lodework.plans.registry import plan
@@ -28,7 +29,8 @@ def as_stream(spark, df):
     part = F.pmod(F.xxhash64(*df.columns), F.lit(3)).alias("_part")
     df.select("*", part).write.partitionBy("_part").parquet(path)
     files = max(1, spark.sparkContext.defaultParallelism // 4)
-    return spark.readStream.schema(f"{df._jdf.schema().toDDL()}, _part INT").option("maxFilesPerTrigger", files).parquet(path).drop("_part")
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).drop("_part")
 
 
 @plan("incremental_view", """

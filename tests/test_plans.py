@@ -60,3 +60,32 @@ def test_filters_reach_the_partitions(spark, t):
     part = write_partitioned(t.events, path, "ts", "day")
     plan = physical(spark.read.parquet(path).where(F.col(part) == F.lit("2024-01-05").cast("date")))
     assert "PartitionFilters: [isnotnull(ts_day" in plan
+
+
+@pytest.mark.parametrize("name", ["fold_ascii", "char_inventory", "json_path", "doc_insert_find", "bigram_search"])
+def test_text_is_not_dealt_out_first(spark, name):
+    """However few files a table has, its rows are worked on where they are read."""
+    assert "RoundRobin" not in physical(PLANS[name].run(spark, SMALL))
+
+
+def test_no_fixed_task_counts():
+    import pathlib
+    import re
+
+    import lodework
+
+    for path in pathlib.Path(lodework.__file__).parent.rglob("*.py"):
+        text = path.read_text()
+        assert not re.search(r"(repartition|coalesce)\((?!1\))\d+[,)]|inputFiles", text), path
+
+
+def test_inline_rows_are_broadcast(spark):
+    plan = physical(PLANS["inline_values"].run(spark, SMALL))
+    small = plan.split("BroadcastExchange")[1]
+    assert "LocalTableScan" in small and "lineitem" not in small.split("LocalTableScan")[0]
+
+
+def test_bigram_texts_are_tested_after_the_join(spark):
+    df = PLANS["bigram_search"].run(spark, SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (Contains(text" in plan and "Filter Contains(text" not in plan
