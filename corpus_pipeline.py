@@ -24,9 +24,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document of least id stays; of rows that repeat an id, one.  Rows without an id stay."""
     found = stage(simhash.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "dedup-found")
     others = found.where("doc_id != first OR n > 1").select("doc_id")
+    # as a rule too many to broadcast: the same join at every size
+    kept = docs.join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     repeated = found.where("doc_id = first AND n > 1").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns).unionByName(
-        docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
