@@ -88,6 +88,38 @@ def test_leaks_of_brute_force(spark):
     assert known == {}
 
 
+def aligned_pairs(docs, items):
+    want = set()
+    for d, text in docs.items():
+        words = decontaminate.words_of(text)
+        for i, item in items.items():
+            number = {w: k for k, w in enumerate(dict.fromkeys(item))}
+            _, matched, start, end = decontaminate.align(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in words], int))
+            if decontaminate.similarity(matched, len(item), end - start) >= 0.8:
+                want.add((d, i))
+    return want
+
+
+def test_leaks_of_templated_items(spark):
+    """Items that share all words but one: a copy with that word edited is a copy of each."""
+    r = random.Random(13)
+    frame = [r.choice(LIST) + str(r.randint(0, 300)) for _ in range(20)]
+    items = {i: frame[:10] + [f"own{i}"] + frame[11:] for i in range(40)}
+    docs = {1: " ".join(["before"] * 30 + frame[:10] + ["changed"] + frame[11:] + ["after"] * 30), 2: " ".join(items[7]), 3: " ".join(frame[:12])}
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), benchmark).collect()}
+    assert got == {(d, i) for d in (1, 2) for i in items} == aligned_pairs(docs, items)
+
+
+def test_cut_stretches_overlap(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH", 300)
+    item = [f"w{k}" for k in range(30)]
+    docs = {k: " ".join([f"f{j}" for j in range(k)] + item * 40) for k in range(6)}
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (1, "two words")], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), benchmark).collect()
+    assert sorted((x.doc_id, x.item_id, x.similarity, x.start) for x in got) == [(k, 1, 1.0, k) for k in range(6)]
+
+
 def test_rising_and_patience():
     assert [[3, 1, 2, 9, 4][i] for i in licenses.rising([3, 1, 2, 9, 4])] == [1, 2, 4]
     assert licenses.rising([]) == []
