@@ -100,6 +100,30 @@ def aligned_pairs(docs, items):
     return want
 
 
+def edited(r, item, gaps):
+    """A copy with as many words changed, or left out and put in, as similarity 0.8 allows, spread evenly or not."""
+    n, fresh = len(item), (f"new{k}" for k in range(1000))
+    for edits in range(n // 5, -1, -1):
+        places = {int((k + 0.5) * n / edits) for k in range(edits)} if r.random() < 0.5 else set(r.sample(range(n), edits))
+        copy = [w for k, word in enumerate(item) for w in ([] if k in places and gaps else [next(fresh)] if k in places else [word])]
+        for k in range(edits if gaps else 0):
+            copy.insert(r.randint(1, max(len(copy) - 1, 1)), next(fresh))
+        if aligned_pairs({0: " ".join(copy)}, {0: item}):
+            return copy
+
+
+def test_leaks_of_alignment_alone(spark):
+    """Copies edited as much as may be are found, short and long, whether or not they keep runs of words."""
+    r = random.Random(12)
+    items = {i: [r.choice(LIST) + str(r.randint(0, 300)) for _ in range(n)] for i, n in enumerate([1, 2, 3, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9, 10, 12, 15, 15, 19, 20, 20, 25, 30, 40, 59])}
+    fill = lambda: [r.choice(LIST) + str(r.randint(301, 600)) for _ in range(r.randint(0, 80))]
+    docs = {k: " ".join(fill() + edited(r, items[k % len(items)], k % 3 == 2) + fill()) for k in range(8 * len(items))}
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    want = aligned_pairs(docs, items)
+    assert len(want) >= len(docs)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), benchmark).collect()} == want
+
+
 def test_leaks_of_templated_items(spark):
     """Items that share all words but one: a copy with that word edited is a copy of each."""
     r = random.Random(13)
