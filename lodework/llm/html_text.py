@@ -1,12 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines: a block of text is a line, and where one section of the page ends and another begins
-there are ``BLOCK`` blank lines.  What the page marks as something else than its article (navigation, page header and
-footer, asides, forms, adverts, notices, comments, by element or by class, id and role) leaves blank lines.  The text
-lengths over windows of ``BLOCK`` lines form the distribution.  It surges where a window with text follows blank ones,
-and dives where it returns to zero; a stretch between the two is kept if the page marks it as its article, or else if
-some window in it exceeds ``SURGE`` characters that are not links, or is the page's fullest.  Every line of a kept
-stretch is kept.
+Markup is stripped into lines: a block of text is a line.  What the page marks as something else than its article
+(navigation, page header and footer, asides, forms, adverts, notices, comments, by element or by class, id and role)
+leaves ``BLOCK`` blank lines, and so does the border of an article; other sections follow each other without.  The text
+lengths over windows of ``BLOCK`` lines form the distribution, in which a line of an article counts ``WEIGHT`` times.
+It surges where a window with text follows blank ones, and dives where it returns to zero; a stretch between the two is
+kept if some window in it exceeds ``SURGE`` characters that are not links, or is the page's fullest.  Of a kept stretch
+with sections that exceed it alone, those before the first and after the last of these are left off; sections that are
+mostly links go, unless all are.  Every other line of a kept stretch is kept.
 
 Defined results: null html is the empty page; a page without text gives the empty text; an element that is never
 closed ends where its parent does, a paragraph before the next block, markup that is no element is text; equal rows give equal rows; pages are read whole;
@@ -16,6 +17,7 @@ an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html import unescape
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodework.llm.common import blocks
 
-BLOCK, SURGE = 3, 86
+BLOCK, SURGE, WEIGHT = 3, 86, 8
 
 # Elements by what they mean for the text.
 UNSEEN = frozenset("script style noscript template head iframe object svg math canvas audio video select textarea button datalist map".split())
@@ -60,10 +62,11 @@ def marked(rest: str) -> bool:
 
 
 class Page:
-    """The lines of one page: (text, characters outside links, within the article)."""
+    """The lines of one page: (text, characters outside links, within the article, number of its section)."""
 
     def __init__(self, html: str):
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
+        self.section = 0
         self.parts: list[str] = []
         self.free = 0
         self.stack: list[tuple[str, bool, bool]] = []  # open elements: name, within the article, left out
@@ -72,10 +75,10 @@ class Page:
     def close_line(self, blank: int = 0) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.free, bool(self.stack) and self.stack[-1][1]))
+            self.lines.append((text, self.free, bool(self.stack) and self.stack[-1][1], self.section))
         self.parts, self.free = [], 0
         if blank and self.lines and self.lines[-1][0]:
-            self.lines.extend([("", 0, False)] * blank)
+            self.lines.extend([("", 0, False, self.section)] * blank)
 
     def read(self, html: str) -> None:
         at, links = 0, 0
@@ -93,9 +96,10 @@ class Page:
             if not name:
                 continue
             inside = bool(self.stack) and self.stack[-1][1]
-            border = BLOCK if name in SECTIONS | OTHER and not inside else 0
+            border = BLOCK if name in ARTICLE | OTHER and not inside else 0
             if not out and name in BREAKS:
                 self.close_line(border)
+                self.section += name in SECTIONS and not inside
             if not token["end"]:
                 if name in VOID or token["rest"].endswith("/"):
                     continue
@@ -111,6 +115,8 @@ class Page:
             elif any(e[0] == name for e in self.stack):
                 while self.stack.pop()[0] != name:
                     pass
+                if inside and not out and not (self.stack and self.stack[-1][1]):
+                    self.close_line(BLOCK)
                 links = sum(e[0] == "a" for e in self.stack) if links else 0
         if not (self.stack and self.stack[-1][2]) and at < len(html):
             self.parts.append(unescape(html[at:]))
@@ -156,20 +162,33 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     lengths = np.array([len(x[0]) for x in lines])
-    free = np.array([min(x[1], len(x[0])) for x in lines])
-    article = np.array([x[2] for x in lines])
+    free = np.array([min(x[1], len(x[0])) * (WEIGHT if x[2] else 1) for x in lines])
     ones = np.ones(BLOCK, np.int64)
     sums = np.convolve(lengths, ones)[: len(lines)]  # a window that ends at each line
-    full = np.convolve(free, ones)[: len(lines)]
     # surge: a window with text after an empty one; dive: the first empty window after it
     text = np.concatenate([[False], sums > 0, [False]])
     surges, dives = np.flatnonzero(text[1:-1] & ~text[:-2]), np.flatnonzero(~text[1:] & text[:-1])
     stretches = list(zip(surges.tolist(), dives.tolist(), strict=True))
-    own = [(a, b) for a, b in stretches if article[a:b].any()]
-    if not own:
-        peaks = [int(full[a:b].max()) for a, b in stretches]
-        own = [s for s, p in zip(stretches, peaks, strict=True) if p > SURGE or p == max(peaks)]
-    return " ".join(lines[i][0] for a, b in own for i in range(a, b) if lines[i][0] and (article[i] or not article[a:b].any()))
+    peak = lambda a, b: int(np.convolve(free[a:b], ones).max())
+    peaks = [peak(a, b) for a, b in stretches]
+    out: list[str] = []
+    for (a, b), most in zip(stretches, peaks, strict=True):
+        if most > SURGE or most == max(peaks):
+            out.extend(kept_lines(lines[a:b], peak, a))
+    return " ".join(out)
+
+
+def kept_lines(lines: list, peak: Callable[[int, int], int], first: int) -> list[str]:
+    """Lines of a kept stretch, which starts at line ``first`` of the page."""
+    numbers = np.array([x[3] for x in lines])
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist()
+    sections = list(zip(starts, [*starts[1:], len(lines)], strict=True))
+    alone = [k for k, (a, b) in enumerate(sections) if peak(first + a, first + b) > SURGE]
+    if alone:
+        sections = sections[alone[0] : alone[-1] + 1]
+    # links weigh nothing; within an article they are its text
+    own = [(a, b) for a, b in sections if 2 * sum(min(x[1], len(x[0])) for x in lines[a:b]) >= sum(len(x[0]) for x in lines[a:b]) or any(x[2] for x in lines[a:b])]
+    return [x[0] for a, b in own or sections for x in lines[a:b] if x[0]]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url") -> DataFrame:

@@ -194,6 +194,24 @@ def test_pages(html):
     assert html_text.main_text(html) == PAGES[html]
 
 
+PLAIN = {
+    # the main text stands beside teasers that are articles
+    "<div id=story><p>" + "main " * 40 + "</p></div>" + "<article class=card><a href=x>Teaser one</a></article>" * 3: "main " * 40,
+    "<main>x</main><div><p>" + "main " * 40 + "</p></div>": "main " * 40,
+    # every paragraph in its own div, the short ones too
+    "<div>" + "<div>" + "long " * 30 + "</div><div>short one</div><div>" + "more " * 30 + "</div></div>": "long " * 30 + "short one " + "more " * 30,
+    "<div>first of the lines is short, as all are here</div><div>and so is the second line</div><div>third line, which ends it all</div><nav>menu</nav><div>x</div>":
+        "first of the lines is short, as all are here and so is the second line third line, which ends it all",
+    "<div>" + "long " * 30 + "</div><div><a>a link</a> <a>b link</a></div><div>" + "more " * 30 + "</div>": "long " * 30 + "more " * 30,
+    "<div><article>" + "own " * 40 + "</article>after</div>": "own " * 40,
+}
+
+
+@pytest.mark.parametrize("html", PLAIN)
+def test_distribution_decides(html):
+    assert html_text.main_text(html) == PLAIN[html].strip()
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, "x"), (2, None, "<p>é 😀", "x"), (2, None, "<p>é 😀", "x"), (None, "u", "<p>" + "w " * 50_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
