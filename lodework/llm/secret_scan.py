@@ -8,6 +8,11 @@ The null hypothesis is a *structured* token (word, identifier, number) over the
 * runs: changes between letters, digits and marks are as many as chance has them for a secret, a third for structure;
 * serial correlation: neighbouring codes of a secret are uncorrelated, of structure correlated by ``SERIAL`` or more.
 
+Tokens are runs of the base64 characters, and runs of the base64url characters with ``-`` or ``_`` in them, as wholes and
+by their base64 parts; of chosen tokens within each other the longest is the span.  Words can be joined by such marks, and
+a token that slashes cut into three or more short segments may be a path, so the tests see both without the marks between
+their segments.  A random identifier in groups, such as a UUID, counts as its digits.
+
 The three normal scores are added (Stouffer).  False discoveries are held to ``ALPHA`` by the Benjamini-Hochberg step
 over all tokens of the table, weighted by length: a longer token, whose tests have more power, gets a larger share.
 P-values are rounded up to 1/20 of a decade, so the step needs one count per bin, a few hundred numbers.
@@ -37,10 +42,13 @@ RANDOM = "random"
 #: Shortest token that is tested; what a token consists of, with what is before it.
 SHORTEST = 20
 TOKEN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{%d,}={0,2}" % SHORTEST
+URL_TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{%d,}={0,2}" % SHORTEST
+PATH = r"^(?:[^/]*/){3}(?:[^/]{0,19}/)*[^/]{0,19}$"
+#: Fewest characters that the tests are taken over.
+TESTED = 8
 #: (encoding, pattern, alphabet size, coincidence index of structured tokens), the first that fits; no index: no secret.
 ENCODINGS = (
     ("decimal", r"^[0-9]+$", 10, None),
-    ("path", r"^(?:[^/]*/){3}(?:[^/]{0,19}/)*[^/]{0,19}$", 64, None),
     ("hex", r"^(?:[0-9A-F]+|[0-9a-f]+)$", 16, 0.125),
     ("base32", r"^[A-Z2-7]+=*$", 32, 0.09),
     ("base36", r"^(?:[a-z0-9]+|[A-Z0-9]+)$", 36, 0.08),
@@ -150,8 +158,11 @@ def score(token: Column) -> Column:
 
 def tested_tokens(text: Column, known: Column) -> Column:
     """Tokens outside the known spans with a score: structs of ``s``, ``e``, ``z``."""
-    free = F.filter(located(text, TOKEN), lambda x: ~x.m.rlike("^[0-9a-f]+$") & ~F.exists(known, lambda b: (b.s < x.e) & (b.e > x.s)))
-    return F.filter(F.transform(free, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), score(x.m).alias("z"))), lambda x: x.z.isNotNull())
+    free = F.filter(F.concat(located(text, TOKEN), located(text, URL_TOKEN)),
+                    lambda x: ~x.m.rlike("^[0-9a-f]+$") & ~F.exists(known, lambda b: (b.s < x.e) & (b.e > x.s)))
+    judged = F.transform(free, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.when(x.m.rlike(PATH) | x.m.rlike("[_-]"), F.translate(x.m, "/_-", "")).otherwise(x.m).alias("m")))
+    long = F.filter(judged, lambda x: F.length(F.regexp_replace(x.m, "=+$", "")) >= TESTED)
+    return F.filter(F.transform(long, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), score(x.m).alias("z"))), lambda x: x.z.isNotNull())
 
 
 def _bin(z: Column, length: Column, mean: float) -> Column:
@@ -183,7 +194,8 @@ def scan(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, keep: tu
     found = docs.select(row, text.alias("text"), known_spans(text).alias("known"))
     found = stage(found.select("row", "known", tested_tokens(F.col("text"), F.col("known")).alias("tokens")), "secrets-found")
     mean, least = threshold(found.select(F.explode("tokens").alias("t")).select("t.*"), alpha)
-    chosen = F.filter("tokens", lambda t: _bin(t.z, t.e - t.s, mean) >= least)
+    found_ones = F.filter("tokens", lambda t: _bin(t.z, t.e - t.s, mean) >= least)
+    chosen = let(found_ones, lambda c: F.filter(c, lambda t: ~F.exists(c, lambda o: (o.s <= t.s) & (o.e >= t.e) & (o.e - o.s > t.e - t.s))))
     more = F.transform(chosen, lambda t: F.struct(t.s.alias("s"), F.lit(len(KINDS)).alias("k"), t.e.alias("e")))
     return found.select("row", "known", F.array_sort(F.concat("known", more)).alias("spans"))
 

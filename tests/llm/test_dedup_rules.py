@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -170,6 +171,23 @@ def test_secrets(spark):
     assert secret_scan.secret_report(empty(spark)).count() == 0
 
 
+def test_base64url_and_slashes(spark):
+    """Random tokens are found whole, with whatever marks they have; words joined by such marks are not."""
+    r = random.Random(6)
+    marks, plain = "-_", string.ascii_letters + string.digits
+    make = lambda n, extra: "".join(r.choices(plain + extra, k=n))
+    url = [t for t in (make(n, marks) for n in [32, 39, 43, 64] * 40) if "-" in t[1:-1] or "_" in t[1:-1]]
+    slashed = ["".join(c if (k + 1) % 9 else "/" for k, c in enumerate(make(64, "+"))) for _ in range(20)]
+    words = ["getting-started-with-the-new-release", "user_name_from_the_database_table", "how-to-write-better-commit-messages", "/usr/local/share/documents/readme",
+             "/home/someone/projects/website/images", "------------------------------", "________________________________", "////////////////////////"]
+    texts_ = url + slashed + words
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(texts_)], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secret_scan.secret_report(docs).collect()}
+    whole = [got[i] == f"random:4:{4 + len(t)}" for i, t in enumerate(texts_)]
+    assert sum(whole[: len(url)]) >= 0.9 * len(url) and all(whole[len(url) : len(url) + len(slashed)])
+    assert [texts_[i] for i in range(len(url) + len(slashed), len(texts_)) if got[i]] == []
+
+
 def test_masking(spark):
     docs = documents(spark, [(1, f"a token = \"abcdefghijkl\" b 0123456789abcdef0 é {SECRET}."), (2, "clean"), (3, None)])
     found = secret_scan.scan(docs).select("row.doc_id", secret_scan.masked(F.col("row.text"), F.col("spans")).alias("t"))
