@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodework.llm import bpe, collocations, decontaminate, html_text, licenses, repair, rules, secret_scan, simhash, token_counts, toxicity
+from lodework.llm import bpe, collocations, decontaminate, html_text, licenses, repair, rules, secret_scan, setsketch, simhash, token_counts, toxicity
 from lodework.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM m QUALIFY rank <= 2000)
 SELECT k.lang, rank, phrase, a, l, r, tot.n, score FROM k JOIN tot ON tot.lang = k.lang
 """
+
+
+@query
+def op13_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
