@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodework.llm import bpe, collocations, decontaminate, html_text, licenses, repair, rules, secret_scan, setsketch, simhash, token_counts, toxicity
+from lodework.llm import bpe, collocations, decontaminate, html_text, licenses, repair, rules, secret_scan, setsketch, simhash, token_counts, toxicity, turns
 from lodework.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ SELECT k.lang, rank, phrase, a, l, r, tot.n, score FROM k JOIN tot ON tot.lang =
 @query
 def op13_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(table(spark, sf_dir, "conversations"))
