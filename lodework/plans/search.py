@@ -28,9 +28,8 @@ SELECT term, df, tfs AS total_tf, documents, total_length FROM dfs JOIN (SELECT
 """)
 def bm25_index(spark, t):
     index = build_bm25(t.documents, "doc_id", "text")
-    totals = index.postings.groupBy("term").agg(F.sum("tf").alias("total_tf"))
-    return index.terms.join(totals, "term").select("term", "df", "total_tf", F.lit(index.documents).cast("long").alias("documents"),
-                                                   F.lit(index.total_length).cast("long").alias("total_length"))
+    return index.terms.select("term", "df", "total_tf", F.lit(index.documents).cast("long").alias("documents"),
+                              F.lit(index.total_length).cast("long").alias("total_length"))
 
 
 SEARCH_TEXT = "Onesen hention of nation"

@@ -42,15 +42,17 @@ def knn_exact(spark, t):
         F.col("qid").alias("label"), F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rn")
 
 
-@plan("ann_index", "SELECT m AS metric, true AS recall_ok FROM (VALUES ('cosine'), ('l2')) v(m)")
+@plan("ann_index", "SELECT m AS metric, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries, true AS recall_ok FROM (VALUES ('cosine'), ('l2')) v(m)")
 def ann_index(spark, t):
-    queries, out = label_centres(t), None
+    """Recall of the ten nearest rows of every row whose id is divisible by 50."""
+    queries, out = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("asked"), "embedding"), None
     for metric in ("cosine", "l2"):
-        index = build_ann(t.embeddings, "vec_id", "embedding", 16, metric)
-        found = ann_search(index, queries, "label", "centre", 10, probes=12).select("qid", "id")
-        exact = knn(t.embeddings, "vec_id", "embedding", queries, "label", "centre", 10, metric).select("qid", "id")
-        share = (exact.join(found.withColumn("hit", F.lit(1.0)), ["qid", "id"], "left")
-                 .agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall")))
-        row = share.select(F.lit(metric).alias("metric"), (F.col("recall") >= 0.9).alias("recall_ok"))
+        index = build_ann(t.embeddings, "vec_id", "embedding", metric=metric)
+        # these vectors have hardly any clusters: a tenth of the lists holds half of the neighbours
+        found = ann_search(index, queries, "asked", "embedding", 10, probes=-(-4 * len(index.sizes) // 5)).select("qid", "id")
+        exact = knn(t.embeddings, "vec_id", "embedding", queries, "asked", "embedding", 10, metric).select("qid", "id")
+        row = (exact.join(found.withColumn("hit", F.lit(1.0)), ["qid", "id"], "left")
+               .agg(F.count_distinct("qid").alias("queries"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+               .select(F.lit(metric).alias("metric"), "queries", (F.col("recall") >= 0.9).alias("recall_ok")))
         out = row if out is None else out.unionByName(row)
     return out
