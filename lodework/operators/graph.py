@@ -97,32 +97,94 @@ def reach(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     return known
 
 
+def _lanes(edges: DataFrame) -> DataFrame:
+    """Directed edges (source, target, cost), parallel ones once."""
+    lanes = stage(edges.groupBy("source", "target").agg(F.min(F.col("cost").cast("double")).alias("cost")), "lanes")
+    if not lanes.where("cost < 0").isEmpty():
+        raise ValueError("edge costs must not be negative")
+    return lanes
+
+
+def _offers(frontier: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(origin, node, offer): the least (cost, hops, prev) that the frontier's nodes offer their neighbours."""
+    return (frontier.join(lanes, F.col("node") == F.col("source")).groupBy("origin", F.col("target").alias("node"))
+            .agg(F.min(F.struct((F.col("best.cost") + lanes["cost"]).alias("cost"), (F.col("best.hops") + 1).alias("hops"),
+                                F.col("node").alias("prev"))).alias("best")))
+
+
+def shortest_path_trees(edges: DataFrame, origins: DataFrame, width: float | None = None) -> DataFrame:
+    """(origin, node, cost, hops, prev) of every node that each ``origin`` reaches over directed edges (source, target, cost).
+
+    Delta-stepping: nodes are settled in buckets of ``width`` of cost (by default four times the mean cost of an edge).
+    Within a bucket, nodes improved in one round make offers in the next; when it is still, its rows are written once
+    and never again, and their offers beyond the bucket join the pending ones.  A round touches the bucket and what it
+    offers, not what has been settled.  A node keeps the least (cost, hops, prev), which makes ties repeatable.
+    Negative costs raise.
+    """
+    kind = edges.schema["source"].dataType
+    lanes = _lanes(edges)
+    if width is None:
+        width = 4 * (lanes.agg(F.avg("cost")).first()[0] or 0.0) or 1.0
+    nothing = F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("prev"))
+    start = origins.select(F.col(origins.columns[0]).cast(kind).alias("origin")).where("origin IS NOT NULL").distinct()
+    pending = stage(start.select("origin", F.col("origin").alias("node"), nothing.alias("best")), "paths-pending")
+    settled = None
+    keys = ["origin", "node"]
+    while (least := pending.agg(F.min("best.cost")).first()[0]) is not None:
+        end = (least // width + 1) * width
+        # costs so large that a step is lost in rounding still move on
+        end = end if end > least else float("inf")
+        bucket = frontier = pending.where(F.col("best.cost") < end)
+        while True:
+            offers = _offers(frontier, lanes).where(F.col("best.cost") < end).withColumnRenamed("best", "offer")
+            if settled is not None:
+                # the offers are few: what is settled is looked through, not dealt out
+                done = settled.select(*keys).join(offers.select(*keys), keys, "left_semi")
+                offers = offers.join(done, keys, "left_anti")
+            merged = stage(bucket.join(offers, keys, "full").select(
+                *keys, F.least("best", "offer").alias("best"),
+                F.coalesce(F.col("best").isNull() | (F.col("offer") < F.col("best")), F.lit(False)).alias("improved")), "paths-bucket")
+            bucket, frontier = merged.select(*keys, "best"), merged.where("improved").select(*keys, "best")
+            if frontier.isEmpty():
+                break
+        settled = bucket if settled is None else settled.unionByName(bucket)
+        later = _offers(bucket, lanes).unionByName(pending).where(F.col("best.cost") >= end)
+        later = later.groupBy(*keys).agg(F.min("best").alias("best"))
+        pending = stage(later.join(settled.select(*keys), keys, "left_anti"), "paths-pending")
+    if settled is None:
+        return pending.select(*keys, "best.cost", "best.hops", "best.prev")
+    return settled.select(*keys, "best.cost", "best.hops", "best.prev")
+
+
 def shortest_paths(edges: DataFrame, source) -> DataFrame:
-    """(node, cost, hops, prev) of every node that ``source`` reaches over directed edges (source, target, cost).
+    """(node, cost, hops, prev) of every node that ``source`` reaches; see ``shortest_path_trees``."""
+    return shortest_path_trees(edges, edges.sparkSession.range(1).select(F.lit(source))).drop("origin")
+
 
-    Bulk relaxation: nodes improved in one round offer their cost to their neighbours in the next; a node
-    keeps the least (cost, hops, prev), which makes ties repeatable.  Negative costs raise.
+def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(origin, target, seq, node, cost, agg_cost) along the cheapest path of each pair (origin, target) of a table.
+
+    ``cost`` is that of the edge leaving the node.  The paths are read by pointer jumping: joins with the node 1, 2, 4, ..
+    steps before, so a path of a million nodes takes 20 of them.  No rows for a target that cannot be reached.
     """
     kind = edges.schema["source"].dataType
-    # parallel edges count once
-    lanes = stage(edges.groupBy("source", "target").agg(F.min(F.col("cost").cast("double")).alias("cost")), "lanes")
-    if not lanes.where("cost < 0").isEmpty():
-        raise ValueError("edge costs must not be negative")
-    spark = edges.sparkSession
-    start = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.struct(
-        F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("prev")).alias("best"))
-    settled = frontier = stage(start, "paths")
-    while True:  # costs are not negative, so it ends
-        offers = (frontier.join(lanes, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node"))
-                  .agg(F.min(F.struct((F.col("best.cost") + lanes["cost"]).alias("cost"), (F.col("best.hops") + 1).alias("hops"),
-                                      F.col("node").alias("prev"))).alias("offer")))
-        merged = settled.join(offers, "node", "full").select(
-            "node", F.least("best", "offer").alias("best"),
-            F.coalesce(F.col("best").isNull() | (F.col("offer") < F.col("best")), F.lit(False)).alias("improved"))
-        merged = stage(merged, "paths")
-        settled, frontier = merged.select("node", "best"), merged.where("improved").select("node", "best")
-        if frontier.isEmpty():
-            return settled.select("node", "best.cost", "best.hops", "best.prev")
+    asked = pairs.select(*(F.col(c).cast(kind).alias(name) for c, name in zip(pairs.columns, ("origin", "target")))).distinct()
+    trees = stage(shortest_path_trees(edges, asked.select("origin")), "paths-trees")
+    ends = stage(asked.join(trees, (trees["origin"] == asked["origin"]) & (F.col("node") == F.col("target"))).select(asked["origin"], "target", "node", "hops"), "paths-read")
+    longest = ends.agg(F.max("hops")).first()[0]
+    jumps = [trees.where("prev IS NOT NULL").select("origin", F.col("node").alias("at"), F.col("prev").alias("to"))]
+    while longest and 1 << len(jumps) <= longest:
+        last = jumps[-1]
+        jumps.append(stage(last.join(last.select("origin", F.col("at").alias("to"), F.col("to").alias("further")), ["origin", "to"])
+                           .select("origin", "at", F.col("further").alias("to")), "paths-jumps"))
+    found = ends.select("origin", "target", "node")
+    for jump in reversed(jumps) if longest else []:
+        before = found.join(jump, (found["origin"] == jump["origin"]) & (found["node"] == jump["at"])).select(found["origin"], "target", F.col("to").alias("node"))
+        found = stage(found.unionByName(before), "paths-read")
+    steps = found.join(trees, ["origin", "node"]).select("origin", "target", (F.col("hops") + 1).alias("seq"), "node", "cost")
+    after = steps.select("origin", "target", (F.col("seq") - 1).alias("seq"), F.col("cost").alias("next"))
+    return steps.join(after, ["origin", "target", "seq"], "left").select(
+        "origin", "target", "seq", "node", (F.coalesce("next", "cost") - F.col("cost")).alias("cost"), F.col("cost").alias("agg_cost"))
 
 
 def dijkstra(edges: DataFrame, source, target) -> DataFrame:
@@ -130,16 +192,5 @@ def dijkstra(edges: DataFrame, source, target) -> DataFrame:
 
     No rows when the target cannot be reached.
     """
-    spark, settled = edges.sparkSession, shortest_paths(edges, source)
-    kind = edges.schema["source"].dataType.simpleString()
-    steps, node = [], target
-    while node is not None:  # one lookup per node of the path
-        row = settled.where(F.col("node") == F.lit(node)).first()
-        if row is None:
-            steps = []
-            break
-        steps.append((row["node"], row["cost"]))
-        node = row["prev"]
-    steps.reverse()
-    rows = [(i + 1, n, (steps[i + 1][1] if i + 1 < len(steps) else c) - c, c) for i, (n, c) in enumerate(steps)]
-    return spark.createDataFrame(rows, f"seq long, node {kind}, cost double, agg_cost double")
+    pair = edges.sparkSession.range(1).select(F.lit(source).alias("origin"), F.lit(target).alias("target"))
+    return routes(edges, pair).drop("origin", "target")

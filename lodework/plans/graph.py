@@ -102,3 +102,18 @@ SELECT CAST(hops + 1 AS BIGINT) AS seq, node, coalesce(lead(agg_cost) OVER (ORDE
 """)
 def shortest_path(spark, t):
     return graph.dijkstra(trade_lanes(t), 0, 24)
+
+
+@plan("shortest_path_pairs", f"""
+WITH e AS MATERIALIZED (SELECT s_nationkey AS source, c_nationkey AS target, count(*)::DOUBLE AS cost FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE abs(s_nationkey - c_nationkey) BETWEEN 1 AND 5 GROUP BY 1, 2),
+d0 AS MATERIALIZED (SELECT n_nationkey AS origin, n_nationkey AS node, 0.0::DOUBLE AS cost FROM nation),
+{", ".join(f"d{i} AS MATERIALIZED (SELECT origin, node, min(cost) AS cost FROM (SELECT * FROM d{i - 1} UNION ALL SELECT origin, target, d{i - 1}.cost + e.cost FROM d{i - 1} JOIN e ON source = node) GROUP BY 1, 2)" for i in range(1, 25))}
+SELECT origin, node AS target, cost AS agg_cost FROM d24 WHERE origin <> node
+""")
+def shortest_path_pairs(spark, t):
+    """Least cost from every nation to every other, read at the last node of each path."""
+    ends = t.nation.select(F.lit(1).alias("k"), "n_nationkey")
+    pairs = ends.join(ends.withColumnRenamed("n_nationkey", "other"), "k").where("n_nationkey != other").select("n_nationkey", "other")
+    paths = graph.routes(trade_lanes(t), pairs)
+    return paths.where(F.col("node") == F.col("target")).select("origin", "target", "agg_cost")

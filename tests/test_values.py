@@ -567,3 +567,46 @@ def test_expired_reads(spark):
     run_to_end(expired_reads(stream, 30), out, mode="append")
     rows = spark.read.parquet(out).collect()
     assert [(r["queue"], r["msg_id"], r["visible_again"]) for r in rows] == [("q", 1, at(30))]
+
+
+@pytest.mark.parametrize("width", [0.5, 3.0, 1000.0])
+def test_routes_of_brute_force(spark, width):
+    """Buckets narrower and wider than an edge, edges of no cost, ties, unreachable targets, a long chain."""
+    import heapq
+    import random
+
+    r = random.Random(7)
+    edges = [(r.randrange(60), r.randrange(60), float(r.choice([0, 0, 1, 1, 2, 5, 9]))) for _ in range(150)]
+    edges += [(100 + i, 101 + i, 1.0) for i in range(40)] + [(5, 100, 0.0)]
+    lanes = {}
+    for a, b, c in edges:
+        lanes.setdefault(a, {})
+        lanes[a][b] = min(c, lanes[a].get(b, c))
+
+    def trees(origin):
+        best, heap = {}, [(0.0, 0, -1, origin)]
+        while heap:
+            cost, hops, prev, node = heapq.heappop(heap)
+            if node in best:
+                continue
+            best[node] = (cost, hops, None if prev < 0 else prev)
+            for to, c in lanes.get(node, {}).items():
+                heapq.heappush(heap, (cost + c, hops + 1, node, to))
+        return best
+
+    df = spark.createDataFrame(edges, "source long, target long, cost double")
+    origins = spark.createDataFrame([(0,), (5,), (999,), (None,)], "origin long")
+    got = {(x.origin, x.node): (x.cost, x.hops, x.prev) for x in graph.shortest_path_trees(df, origins, width).collect()}
+    want = {(o, n): b for o in (0, 5, 999) for n, b in trees(o).items()}
+    assert got == want
+    if width == 3.0:
+        pairs = [(5, 140), (0, 0), (0, 17), (140, 5), (5, 100)]
+        rows = {}
+        for x in graph.routes(df, spark.createDataFrame(pairs, "a long, b long")).collect():
+            rows.setdefault((x.origin, x.target), []).append((x.seq, x.node, x.agg_cost))
+        for o, target in pairs:
+            best, path, node = trees(o), [], target
+            while node is not None and target in best:
+                path.append((best[node][1] + 1, node, best[node][0]))
+                node = best[node][2]
+            assert sorted(rows.get((o, target), [])) == path[::-1]
