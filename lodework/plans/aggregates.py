@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lodework.operators.aggregates import bucketed_histogram, first_last, fraction_sum, ordered_array
 from lodework.operators.sketches import (bitmap_build, bitmap_cardinality, bitmap_combine, hll_build, hll_count,
-                                         hll_estimate, hll_pair_union, hll_rollup, quantile_build, quantile_read,
-                                         quantile_rollup, quantiles)
+                                         hll_estimate, hll_pair_union, hll_rollup, quantiles, tdigest_build,
+                                         tdigest_read, tdigest_rollup)
 from lodework.plans.registry import plan
 from lodework.session import stage
 
@@ -123,8 +123,8 @@ def tdigest_percentile(spark, t):
     probs = [0.5, 0.9, 0.99]
     rows = t.events.select("event_type", "value", F.col("ts").cast("date").alias("day"))
     direct = quantiles(rows, ["event_type"], "value", probs)
-    daily = stage(quantile_build(rows, ["event_type", "day"], "value"), "daily-quantiles")
-    rolled = quantile_read(quantile_rollup(daily, ["event_type"]), probs)
+    daily = stage(tdigest_build(rows, ["event_type", "day"], "value"), "daily-digests")
+    rolled = tdigest_read(tdigest_rollup(daily, ["event_type"]), probs)
     return (rank_check(rows, direct, ["event_type"], "value").withColumn("method", F.lit("direct"))
             .unionByName(rank_check(rows, rolled, ["event_type"], "value").withColumn("method", F.lit("rollup"))))
 

@@ -610,3 +610,27 @@ def test_routes_of_brute_force(spark, width):
                 path.append((best[node][1] + 1, node, best[node][0]))
                 node = best[node][2]
             assert sorted(rows.get((o, target), [])) == path[::-1]
+
+
+def test_tdigest(spark):
+    """Merged from many parts: ranks close everywhere and closest at the ends, least and greatest exact."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    numbers = {"a": r.lognormal(0, 2, 20000), "b": np.arange(1, 1001.0), "c": np.array([7.0]), "d": np.repeat([1.0, 2.0], 500)}
+    rows = [(k, i % 7, float(x)) for k, xs in numbers.items() for i, x in enumerate(xs)] + [("a", 0, None), ("e", 0, None), (None, 0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, part int, x double").repartition(6)
+    probs = [0.0, 0.001, 0.01, 0.5, 0.99, 0.999, 1.0]
+    merged = sketches.tdigest_rollup(sketches.tdigest_build(df, ["k", "part"], "x"), ["k"])
+    assert {d.k: len(d.means) <= sketches.DELTA + 2 for d in merged.collect()} == {k: True for k in ("a", "b", "c", "d", None)}
+    got = {(x.k, x.p): x.quantile for x in sketches.tdigest_read(merged, probs).collect()}
+    for k, xs in numbers.items():
+        xs = np.sort(xs)
+        assert (got[k, 0.0], got[k, 1.0]) == (xs[0], xs[-1])
+        for p in probs:
+            rank = (np.searchsorted(xs, got[k, p], "left") / len(xs), np.searchsorted(xs, got[k, p], "right") / len(xs))
+            slack = 0.03 * (p * (1 - p)) ** 0.5 + 1.5 / len(xs)
+            assert rank[0] - slack <= p <= rank[1] + slack, (k, p)
+    assert abs(got["b", 0.5] - 500) < 20 and got["b", 0.99] > 980 and got[None, 0.5] == 3.0
+    ranks = {(x.k, x.value): x["rank"] for x in sketches.tdigest_read(merged, [], [250.0, 2000.0]).collect()}
+    assert abs(ranks["b", 250.0] - 0.25) < 0.01 and ranks["b", 2000.0] == 1.0
