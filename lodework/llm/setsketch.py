@@ -8,12 +8,16 @@ share none of the 32 buckets with probability 6e-11.
 
 Nodes of a bucket meet in rounds.  In the first, all meet the bucket's least node, which links most groups of copies.
 In the later ones, every node outside the bucket's largest component meets every node of another component, a growing
-number of outsiders a round, until one component is left or all outsiders have met everyone.  So no link between
-different components is lost, and a group of a million copies of one text costs a row each, not all its pairs.
+number of outsiders a round, until one component is left or all outsiders have met everyone.  Before each of them, the
+shingles of the nodes still there are counted: those that no other component holds are a set's own and shared with none it
+could meet.  That bounds what two sets can have in common; nodes with more than 15 % of their own go, and pairs whose own
+parts are too large do not meet.  So no link between different components is lost, and neither a group of a million copies
+of one text nor many texts that share a passage and nothing else cost all their pairs.
 
 A pair that meets is compared by its sizes, then by the joint maximum likelihood of the similarity given which registers
 are less, equal or greater (a pair goes if 0.85 is less likely than the best value by a factor of exp(25)), and what is
-left is confirmed by intersecting the two whole sets.  Shingles count as equal if their XXH64 is.
+left is confirmed by intersecting the two whole sets, which are made anew from the texts of these nodes, so that no set of
+another text is ever stored or dealt out.  Shingles count as equal if their XXH64 is.
 
 Defined results: null and blank texts have no shingles, are linked with nothing and keep their own id; fewer than three
 words are one shingle; equal rows are in one component; a row without an id gets the least id of its component, null if
@@ -41,8 +45,9 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: How much less likely, as a logarithm, the wanted similarity may be than the best one.
 SLACK = 25.0
-#: Outsiders of a bucket that meet its other nodes in the second round; eight times as many in each later one.
-OUTSIDERS = 32
+#: Outsiders of a bucket that meet its other nodes in the second round, those with the least of their own; 64 times as many
+#: in each later one.
+OUTSIDERS = 4
 #: Shingles whose hashes are spread over all registers at a time.
 SPREAD = 1 << 10
 
@@ -102,24 +107,49 @@ def similarity_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.nda
                             - _log_likelihood(np.minimum(j, np.minimum(u / v, v / u)), u, v, less, equal, greater))
 
 
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two unsigned numbers."""
+    return divmod(xxhash.xxh3_128_intdigest(shingles.tobytes()), 1 << 64)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``row`` (a number of its own), ``id``, ``n`` (size of the set), ``d1``, ``d2`` (128-bit digest of the set), ``sketch``, ``shingles``."""
+    """``row`` (a number of its own), ``id``, ``n`` (size of the set), ``d1``, ``d2`` (digest of the set), ``sketch``."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
                 sets = [shingle_set(t, width) for t in texts[a:b]]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                digests = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                digests = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-                     pa.array([registers(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))],
-                    ["row", "id", "n", "d1", "d2", "sketch", "shingles"])
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
+                     pa.array([registers(s).tobytes() for s in sets], pa.binary())], ["row", "id", "n", "d1", "d2", "sketch"])
 
     texts = id_and_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "_id", "_text")
-    return texts.mapInArrow(run, "row bigint, id bigint, n bigint, d1 bigint, d2 bigint, sketch binary, shingles array<bigint>")
+    return texts.mapInArrow(run, "row bigint, id bigint, n bigint, d1 bigint, d2 bigint, sketch binary")
+
+
+def whole_sets(texts: DataFrame, wanted: DataFrame, width: int = 3) -> DataFrame:
+    """``row`` and ``shingles`` of the nodes ``wanted`` (row, id, d1, d2), from texts ``_id``, ``_text``.
+
+    The ids only choose which texts are read again; the digest decides which set is whose.
+    """
+    ids = stage(wanted.select("id").distinct(), "setsketch-ids")
+    near = texts.join(ids, texts["_id"].eqNullSafe(ids["id"]), "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            for a, b in blocks(found):
+                sets = [shingle_set(t, width) for t in found[a:b]]
+                digests = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["d1", "d2", "shingles"])
+
+    sets = near.select("_text").mapInArrow(run, "d1 bigint, d2 bigint, shingles array<bigint>")
+    # one set a node, however often its text is repeated under its id
+    return sets.join(wanted.select("row", "d1", "d2"), ["d1", "d2"]).select("row", "shingles").dropDuplicates(["row"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -141,8 +171,8 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("row", "n", "sketch").mapInArrow(run, "band int, key bigint, row bigint, n bigint")
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``u``, ``v`` of rows whose sets have that similarity or more."""
+def confirmed(pairs: DataFrame, rows: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` of rows whose sets have that similarity or more; ``sets_of`` gives the sets of some rows."""
 
     def likely(batches):
         for batch in batches:
@@ -153,58 +183,82 @@ def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             keep = (best >= percent / 100) | (below(percent / 100) <= SLACK)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
 
-    side = lambda name, what: rows.select(F.col("row").alias(name), F.col("n").alias(f"n{name}"), F.col(what).alias(f"{what}_{name}"))
-    met = pairs.join(side("v", "sketch"), "v").join(side("u", "sketch"), "u")
+    side = lambda name: rows.select(F.col("row").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    met = pairs.join(side("v"), "v").join(side("u"), "u")
     probable = stage(met.select("u", "v", "nu", "nv", "sketch_u", "sketch_v").mapInArrow(likely, "u bigint, v bigint"), "setsketch-probable")
-    both = probable.join(side("v", "shingles"), "v").join(side("u", "shingles"), "u")
+    if probable.isEmpty():
+        return probable
+    needed = stage(probable.select(F.col("u").alias("row")).union(probable.select("v")).distinct(), "setsketch-needed")
+    sets = sets_of(needed)
+    both = probable.join(sets.toDF("v", "shingles_v"), "v").join(sets.toDF("u", "shingles_u"), "u")
     shared = F.size(F.array_intersect("shingles_u", "shingles_v"))
-    return both.where(100 * shared >= percent * (F.col("nu") + F.col("nv") - shared)).select("u", "v")
+    return both.where(100 * shared >= percent * (F.size("shingles_u") + F.size("shingles_v") - shared)).select("u", "v")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, key, row, n) of the buckets that hold more than one component, with ``root`` and the ``largest`` one."""
+    placed = members.join(roots, members.row == roots.node, "left").select("band", "key", "row", "n", F.coalesce("root", "row").alias("root"))
+    counts = placed.groupBy("band", "key", "root").agg(F.count("*").alias("size"))
+    largest = counts.groupBy("band", "key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    return stage(placed.join(largest, ["band", "key"]), "setsketch-open")
 
 
-def links(rows: DataFrame, nodes: DataFrame, percent: int = 85) -> DataFrame:
+def with_partners(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with ``common``, how many of their shingles other components hold, without those too unlike all of them."""
+    rows = stage(members.groupBy("row").agg(F.min("n").alias("n"), F.min("root").alias("root")), "setsketch-left")
+    shingles = sets.join(rows, "row").select("row", "root", F.explode("shingles").alias("shingle"))
+    shared = shingles.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    common = shingles.join(shared, "shingle").groupBy("row").agg(F.count("*").alias("common"))
+    kept = stage(rows.join(common, "row").where(100 * F.col("common") >= percent * F.col("n")).select("row", "common"), "setsketch-common")
+    return members.join(kept, "row").select("band", "key", "row", "n", "root", "largest", "common")
+
+
+def links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
     """``node`` and ``root`` of all nodes that are linked with another one."""
+
+    def read_sets(needed: DataFrame) -> DataFrame:
+        wanted = stage(nodes.join(needed, "row", "left_semi").select("row", "id", "d1", "d2"), "setsketch-wanted")
+        return stage(whole_sets(texts, wanted, width), "setsketch-sets")
+
     entries = banded(rows.join(nodes.select("row"), "row", "left_semi"))
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("row").alias("least")).where("size > 1")
     members = stage(entries.join(shared, ["band", "key"]), "setsketch-buckets")
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     # the first round: all meet the least node
     leasts = members.where("row = least").select("band", "key", F.col("n").alias("m"))
-    pairs = members.where("row != least").join(leasts, ["band", "key"]).where(alike(F.col("n"), F.col("m"))).select(F.col("least").alias("u"), F.col("row").alias("v"))
-    members = members.select("band", "key", "row", "n")
+    others = members.where("row != least")
+    pairs = others.join(leasts, ["band", "key"]).where(alike(F.col("n"), F.col("m"))).select(F.col("least").alias("u"), F.col("row").alias("v"))
     met = stage(pairs.distinct(), "setsketch-pairs")
-    found = stage(confirmed(met, rows, percent), "setsketch-links")
+    found = stage(confirmed(met, rows, read_sets, percent), "setsketch-links")
     roots = stage(components(found), "setsketch-roots")
-    outsiders = OUTSIDERS
-    gone = members.groupBy("band", "key").agg(F.min("row").alias("row"))
-    while True:
-        members = members.join(gone, ["band", "key", "row"], "left_anti")
-        placed = members.join(roots, members.row == roots.node, "left").select("band", "key", "row", "n", F.coalesce("root", "row").alias("root"))
-        counts = placed.groupBy("band", "key", "root").agg(F.count("*").alias("size"))
-        # a bucket is open while it holds more than one component
-        largest = counts.groupBy("band", "key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        members = stage(placed.join(largest, ["band", "key"]), "setsketch-open")
-        if members.isEmpty():
-            return roots
-        chosen = topk(members.where("root != largest"), ["band", "key"], [F.asc("row")], outsiders, "turn")
-        chosen = stage(chosen.select("band", "key", F.col("row").alias("a"), F.col("n").alias("m"), F.col("root").alias("other")), "setsketch-outsiders")
-        pairs = (members.join(chosen, ["band", "key"]).where((F.col("root") != F.col("other")) & alike(F.col("n"), F.col("m")))
+    members, outsiders, sets = _open(others.select("band", "key", "row", "n"), roots), OUTSIDERS, None
+    while not members.isEmpty():
+        if sets is None:
+            sets = read_sets(stage(members.select("row").distinct(), "setsketch-needed"))
+        members = with_partners(members, sets, percent)
+        chosen = topk(members.where("root != largest"), ["band", "key"], [F.desc(F.col("common") / F.col("n")), F.asc("row")], outsiders, "turn")
+        chosen = stage(chosen.select("band", "key", F.col("row").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("common").alias("most")), "setsketch-outsiders")
+        most = F.least("common", "most")
+        pairs = (members.join(chosen, ["band", "key"])
+                 .where((F.col("root") != F.col("other")) & alike(F.col("n"), F.col("m")) & (100 * most >= percent * (F.col("n") + F.col("m") - most)))
                  .select(F.least("a", "row").alias("u"), F.greatest("a", "row").alias("v")).distinct())
         new = stage(pairs.join(met, ["u", "v"], "left_anti"), "setsketch-pairs")
         met = met.union(new)
-        more = stage(confirmed(new, rows, percent), "setsketch-links")
+        more = stage(confirmed(new, rows, lambda needed: sets, percent), "setsketch-links")
         if not more.isEmpty():
             found = found.union(more)
             roots = stage(components(found), "setsketch-roots")
         gone = chosen.select("band", "key", F.col("a").alias("row"))
-        members = members.select("band", "key", "row", "n")
-        outsiders *= 8
+        members = _open(members.select("band", "key", "row", "n").join(gone, ["band", "key", "row"], "left_anti"), roots)
+        outsiders *= 64
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the least id linked with it) and ``kept`` of every document."""
     rows = stage(sketches(docs, id_col, text_col, width), "setsketch-rows")
-    nodes = stage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min("id").alias("rep")), "setsketch-nodes")
-    roots = links(rows, nodes, percent)
+    nodes = stage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("row"), F.min_by("id", "row").alias("id"), F.min("id").alias("rep")), "setsketch-nodes")
+    roots = links(rows, nodes, id_and_text(docs, id_col, text_col), percent, width)
     placed = nodes.join(roots, nodes.row == roots.node, "left").select("d1", "d2", "rep", F.coalesce("root", "row").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = stage(placed.join(least, "root").select("d1", "d2", "component_id"), "setsketch-components")
