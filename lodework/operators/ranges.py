@@ -93,12 +93,108 @@ def network_overlap_join(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str
     return inside.select(*columns).unionByName(after.select(*columns))
 
 
+def ipv6_words(text: Column) -> Column:
+    """IPv6 text (``::`` and a dotted end allowed, a ``/length`` left out) as struct<hi, lo> of two 64-bit words; else NULL."""
+    bare = F.split_part(text, F.lit("/"), F.lit(1))
+    dotted = F.regexp_extract(bare, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    byte = lambda i: F.split_part(dotted, F.lit("."), F.lit(i)).try_cast("int")
+    pair = lambda i: F.lower(F.hex(byte(i) * 256 + byte(i + 1)))
+    bare = F.when(dotted != "", F.concat(F.left(bare, F.length(bare) - F.length(dotted)), pair(1), F.lit(":"), pair(3))).otherwise(bare)
+    halves = F.split(bare, "::")
+    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+    head = groups(halves.getItem(0))
+    tail = F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    gap = F.lit(8) - F.size(head) - F.size(tail)
+    # eight groups, or fewer around one ::
+    sound = F.when(F.size(halves) == 1, gap == 0).otherwise((F.size(halves) == 2) & (gap >= 0))
+    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), tail)
+    sound = sound & F.forall(full, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+
+    def word(first: int) -> Column:
+        parts = [F.shiftleft(F.conv(F.get(full, F.lit(first + i)), 16, 10).cast("long"), 48 - 16 * i) for i in range(4)]
+        return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
+
+    return F.when(sound, F.struct(word(0).alias("hi"), word(4).alias("lo")))
+
+
+def _masks(length: int) -> tuple[int, int]:
+    """The two words, signed, that keep the first ``length`` bits."""
+    keep = ((1 << length) - 1) << (128 - length)
+    return tuple(w - (1 << 64) if w >> 63 else w for w in (keep >> 64, keep & ((1 << 64) - 1)))
+
+
+def _masked(words: Column, length: int) -> Column:
+    hi, lo = _masks(length)
+    return F.struct(F.lit(length).alias("length"), words["hi"].bitwiseAND(F.lit(hi)).alias("hi"), words["lo"].bitwiseAND(F.lit(lo)).alias("lo"))
+
+
+def _limbs(words: Column) -> Column:
+    """An address as array of four limbs of 32 bits."""
+    return F.array(*[F.shiftrightunsigned(words[w], k).bitwiseAND(F.lit(0xFFFFFFFF)) for w in ("hi", "lo") for k in (32, 0)])
+
+
+def ipv6_pieces(a: Column, b: Column) -> Column:
+    """array<struct<limb, before, low, high>>: addresses a..b (limbs) as ranges of one limb behind the limbs before it.
+
+    Up to the first limb that differs the ends agree; there lie the whole values between them, and below it what is left
+    of the first and of the last value.
+    """
+    zero, one, top = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(0xFFFFFFFF)
+    piece = lambda i, before, low, high, when: F.when(when, F.struct(F.lit(i).alias("limb"), before.alias("before"), low.alias("low"), high.alias("high")))
+    out = []
+    for i in range(4):
+        agree = F.slice(a, 1, i) == F.slice(b, 1, i)
+        if i == 3:
+            out.append(piece(3, a, a[3], b[3], agree & (a[3] <= b[3])))
+            continue
+        parts = agree & (a[i] < b[i])
+        out.append(piece(i, a, a[i] + one, b[i] - one, parts))
+        for j in range(i + 1, 4):
+            step = one if j < 3 else zero
+            out += [piece(j, a, a[j] + step, top, parts), piece(j, b, zero, b[j] - step, parts)]
+    return F.filter(F.array(*out), lambda p: p.isNotNull() & (p["low"] <= p["high"]))
+
+
+def _piece_block(piece: Column, block: Column) -> Column:
+    """The aligned block (prefix length, words of its first address) of a block of a piece's limb."""
+    first = F.call_function("shiftleft", block["block"], block["level"])
+    limb = lambda i: F.when(piece["limb"] > i, piece["before"][i]).when(piece["limb"] == i, first).otherwise(F.lit(0).cast("long"))
+    return F.struct((32 * (piece["limb"] + 1) - block["level"]).alias("length"), F.shiftleft(limb(0), 32).bitwiseOR(limb(1)).alias("hi"), F.shiftleft(limb(2), 32).bitwiseOR(limb(3)).alias("lo"))
+
+
+def _blocks_join(addresses: DataFrame, cut: DataFrame, address: str) -> DataFrame:
+    """Addresses beside the rows of ``cut`` whose block ``_b`` holds them: an equi-join by (length, first address)."""
+    # at most 129 lengths
+    lengths = sorted(r[0] for r in cut.select("_b.length").distinct().collect() if r[0] is not None)
+    if not lengths:
+        return addresses.join(cut.drop("_b"), F.lit(False))
+    own = addresses.withColumn("_w", F.explode(F.array(ipv6_words(F.col(address))))).where("_w IS NOT NULL")
+    own = own.withColumn("_a", F.explode(F.array(*[_masked(F.col("_w"), n) for n in lengths]))).drop("_w")
+    on = (F.col("_a.length") == F.col("_b.length")) & (F.col("_a.hi") == F.col("_b.hi")) & (F.col("_a.lo") == F.col("_b.lo"))
+    return own.join(cut, on).drop("_a", "_b")
+
+
 def ipv6_join(addresses: DataFrame, networks: DataFrame, address: str, network: str) -> DataFrame:
-    """(address row, network row) for each IPv6 address inside a network ``text/length``."""
-    length = F.split_part(F.col(network), F.lit("/"), F.lit(2)).try_cast("int")
-    a = addresses.withColumn("_bits", ipv6_bits(F.col(address)))
-    n = networks.withColumn("_prefix", F.left(ipv6_bits(F.col(network)), F.coalesce(length, F.lit(128))))
-    return prefix_join(a, n, "_bits", "_prefix", longest=False).drop("_bits", "_prefix")
+    """(address row, network row) for each IPv6 address inside a network ``text/length``; without a length, the address."""
+    length = F.split_part(F.col(network), F.lit("/"), F.lit(2))
+    n = networks.withColumn("_n", F.explode(F.array(ipv6_words(F.col(network))))).withColumn("_length", F.when(length == "", 128).otherwise(length.try_cast("int")))
+    n = n.where("_n IS NOT NULL AND _length BETWEEN 0 AND 128")
+    lengths = sorted(r[0] for r in n.select("_length").distinct().collect())
+    block = F.coalesce(*[F.when(F.col("_length") == k, _masked(F.col("_n"), k)) for k in lengths]) if lengths else F.lit(None)
+    if not lengths:
+        return addresses.join(networks, F.lit(False))
+    return _blocks_join(addresses, n.withColumn("_b", block).drop("_n", "_length"), address)
+
+
+def ipv6_range_join(addresses: DataFrame, spans: DataFrame, address: str, first: str, last: str) -> DataFrame:
+    """(address row, span row) for each IPv6 address between two addresses, both included; spans need not be networks."""
+    # generators keep what they give from being written out anew wherever it is used
+    ends = spans.withColumn("_e", F.explode(F.array(F.struct(ipv6_words(F.col(first)).alias("a"), ipv6_words(F.col(last)).alias("b")))))
+    limbs = ends.where("_e.a IS NOT NULL AND _e.b IS NOT NULL").withColumn("_l", F.explode(F.array(F.struct(_limbs(F.col("_e.a")).alias("a"), _limbs(F.col("_e.b")).alias("b")))))
+    pieces = limbs.withColumn("_p", F.explode(ipv6_pieces(F.col("_l.a"), F.col("_l.b"))))
+    blocks = pieces.withColumn("_k", F.explode(range_blocks(F.col("_p.low"), F.col("_p.high"), 32)))
+    cut = blocks.withColumn("_b", F.explode(F.array(_piece_block(F.col("_p"), F.col("_k"))))).drop("_e", "_l", "_p", "_k")
+    return _blocks_join(addresses, cut, address)
 
 
 def ranges_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodework.operators.joins import asof_join, hinted_join
-from lodework.operators.ranges import band_join, cidr_bounds, cidr_join, interval_join, ipv6_join, network_overlap_join, prefix_join
+from lodework.operators.ranges import band_join, cidr_bounds, cidr_join, interval_join, ipv6_join, ipv6_range_join, network_overlap_join, prefix_join
 from lodework.operators.tabular import full_outer
 from lodework.plans.registry import plan
 
@@ -124,6 +124,21 @@ def join_ipv6(spark, t):
     return ipv6_join(a, n, "ip", "net").select("event_id", "s_suppkey")
 
 
+@plan("join_ipv6_ranges", """
+WITH a AS (SELECT event_id, user_id * 7919 % 65536 AS g, event_id % 65536 AS tail FROM events),
+n AS (SELECT s_suppkey, s_suppkey * 7919 % 65536 AS g, s_suppkey * 31 % 4096 AS d, s_suppkey % 7 AS w FROM supplier)
+SELECT event_id, s_suppkey FROM a JOIN n ON (a.g > n.g OR (a.g = n.g AND tail >= d)) AND (a.g < n.g + w OR (a.g = n.g + w AND tail <= d + 5000)) AND n.g + w < 65536
+""")
+def join_ipv6_ranges(spark, t):
+    """Spans that start and end anywhere, over several networks."""
+    text = lambda g, tail: F.concat(F.lit("2001:db8:"), F.lower(F.hex(g)), F.lit("::"), F.lower(F.hex(tail)))
+    a = t.events.select("event_id", text(F.col("user_id").cast("long") * 7919 % 65536, F.col("event_id") % 65536).alias("ip"))
+    key = F.col("s_suppkey").cast("long")
+    g, d, w = key * 7919 % 65536, key * 31 % 4096, key % 7
+    n = t.supplier.where(g + w < 65536).select("s_suppkey", text(g, d).alias("from"), text(g + w, d + 5000).alias("to"))
+    return ipv6_range_join(a, n, "ip", "from", "to").select("event_id", "s_suppkey")
+
+
 PHONE = "lpad(CAST(c_custkey * 7919 % 10000000000 AS string), 10, '0')"
 
 

@@ -634,3 +634,24 @@ def test_tdigest(spark):
     assert abs(got["b", 0.5] - 500) < 20 and got["b", 0.99] > 980 and got[None, 0.5] == 3.0
     ranks = {(x.k, x.value): x["rank"] for x in sketches.tdigest_read(merged, [], [250.0, 2000.0]).collect()}
     assert abs(ranks["b", 250.0] - 0.25) < 0.01 and ranks["b", 2000.0] == 1.0
+
+
+def test_ipv6_ranges_of_brute_force(spark):
+    import ipaddress
+    import random
+
+    r = random.Random(3)
+    near = [r.getrandbits(128) for _ in range(6)] + [0, (1 << 128) - 1, 1 << 64, (1 << 64) - 1, 1 << 96, (1 << 32) - 1]
+    some = lambda: max(0, min((1 << 128) - 1, r.choice(near) + r.choice([-1, 1]) * r.getrandbits(r.choice([1, 8, 31, 33, 63, 65, 97, 120]))))
+    points = [some() for _ in range(150)] + near
+    spans = [tuple(sorted((some(), some()))) for _ in range(60)] + [(n, n) for n in near] + [(5, 2), (0, (1 << 128) - 1)]
+    text = lambda n: r.choice([str, lambda a: a.exploded.upper()])(ipaddress.IPv6Address(n))
+    a = values_table(spark, [(i, text(p)) for i, p in enumerate(points)] + [(900, None), (901, "no"), (902, "1:2:3"), (903, "::1::2"), (904, "12345::")], "i int, ip string")
+    b = values_table(spark, [(j, text(x), text(y)) for j, (x, y) in enumerate(spans)] + [(900, None, "::1"), (901, "x", "y")], "j int, x string, y string")
+    got = sorted((x.i, x.j) for x in ranges.ipv6_range_join(a, b, "ip", "x", "y").select("i", "j").collect())
+    assert got == sorted((i, j) for i, p in enumerate(points) for j, (x, y) in enumerate(spans) if x <= p <= y)
+    nets = [ipaddress.IPv6Network((some(), n), strict=False) for n in (0, 1, 31, 32, 33, 63, 64, 65, 96, 127, 128) for _ in range(4)]
+    c = values_table(spark, [(j, str(n)) for j, n in enumerate(nets)] + [(900, "::/129"), (901, "::/x"), (902, None), (903, "::ffff:1.2.3.4")], "j int, net string")
+    got = sorted((x.i, x.j) for x in ranges.ipv6_join(a, c, "ip", "net").select("i", "j").collect())
+    assert got == sorted((i, j) for i, p in enumerate(points) for j, n in enumerate(nets) if ipaddress.IPv6Address(p) in n)
+    assert ranges.ipv6_join(values_table(spark, [(1, "::FFFF:102:304")], "i int, ip string"), c, "ip", "net").where("j = 903").count() == 1
