@@ -93,28 +93,33 @@ def network_overlap_join(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str
     return inside.select(*columns).unionByName(after.select(*columns))
 
 
-def ipv6_words(text: Column) -> Column:
-    """IPv6 text (``::`` and a dotted end allowed, a ``/length`` left out) as struct<hi, lo> of two 64-bit words; else NULL."""
-    bare = F.split_part(text, F.lit("/"), F.lit(1))
+def ipv6_hex(text: Column) -> Column:
+    """IPv6 text (``::`` and a dotted end allowed, a ``/length`` left out) as 32 hexadecimal digits; else anything else or NULL."""
+    bare = F.lower(F.split_part(text, F.lit("/"), F.lit(1)))
     dotted = F.regexp_extract(bare, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
     byte = lambda i: F.split_part(dotted, F.lit("."), F.lit(i)).try_cast("int")
     pair = lambda i: F.lower(F.hex(byte(i) * 256 + byte(i + 1)))
-    bare = F.when(dotted != "", F.concat(F.left(bare, F.length(bare) - F.length(dotted)), pair(1), F.lit(":"), pair(3))).otherwise(bare)
-    halves = F.split(bare, "::")
+    plain = F.when(F.contains(bare, F.lit(".")), F.concat(F.left(bare, F.length(bare) - F.length(dotted)), pair(1), F.lit(":"), pair(3))).otherwise(bare)
+    halves = F.split(plain, "::")
     groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+    none = F.array().cast("array<string>")
     head = groups(halves.getItem(0))
-    tail = F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    gap = F.lit(8) - F.size(head) - F.size(tail)
-    # eight groups, or fewer around one ::
-    sound = F.when(F.size(halves) == 1, gap == 0).otherwise((F.size(halves) == 2) & (gap >= 0))
-    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), tail)
-    sound = sound & F.forall(full, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    tail = F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(none)
+    gap = F.when(F.size(halves) > 1, F.array_repeat(F.lit("0"), F.lit(8) - F.size(head) - F.size(tail))).otherwise(none)
+    digits = F.array_join(F.transform(F.concat(head, gap, tail), lambda g: F.when(F.length(g) <= 4, F.lpad(g, 4, "0")).otherwise("?")), "")
+    return F.when(F.size(halves) <= 2, digits)
 
-    def word(first: int) -> Column:
-        parts = [F.shiftleft(F.conv(F.get(full, F.lit(first + i)), 16, 10).cast("long"), 48 - 16 * i) for i in range(4)]
-        return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
-    return F.when(sound, F.struct(word(0).alias("hi"), word(4).alias("lo")))
+def with_ipv6_words(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Rows whose ``text`` is an IPv6 address, with ``out``, struct<hi, lo> of its two 64-bit words.
+
+    The generator keeps the digits from being made anew for each word.
+    """
+    cut = rows.withColumn("_digits", F.explode(F.array(ipv6_hex(F.col(text))))).where(F.col("_digits").rlike("^[0-9a-f]{32}$"))
+    quarter = lambda i: F.conv(F.substring("_digits", 1 + 8 * i, 8), 16, 10).cast("long")
+    word = lambda i: F.shiftleft(quarter(i), 32).bitwiseOR(quarter(i + 1))
+    words = F.explode(F.array(F.struct(word(0).alias("hi"), word(2).alias("lo"))))
+    return cut.withColumn(out, words).drop("_digits")
 
 
 def _masks(length: int) -> tuple[int, int]:
@@ -168,7 +173,7 @@ def _blocks_join(addresses: DataFrame, cut: DataFrame, address: str) -> DataFram
     lengths = sorted(r[0] for r in cut.select("_b.length").distinct().collect() if r[0] is not None)
     if not lengths:
         return addresses.join(cut.drop("_b"), F.lit(False))
-    own = addresses.withColumn("_w", F.explode(F.array(ipv6_words(F.col(address))))).where("_w IS NOT NULL")
+    own = with_ipv6_words(addresses, address, "_w")
     own = own.withColumn("_a", F.explode(F.array(*[_masked(F.col("_w"), n) for n in lengths]))).drop("_w")
     on = (F.col("_a.length") == F.col("_b.length")) & (F.col("_a.hi") == F.col("_b.hi")) & (F.col("_a.lo") == F.col("_b.lo"))
     return own.join(cut, on).drop("_a", "_b")
@@ -177,8 +182,8 @@ def _blocks_join(addresses: DataFrame, cut: DataFrame, address: str) -> DataFram
 def ipv6_join(addresses: DataFrame, networks: DataFrame, address: str, network: str) -> DataFrame:
     """(address row, network row) for each IPv6 address inside a network ``text/length``; without a length, the address."""
     length = F.split_part(F.col(network), F.lit("/"), F.lit(2))
-    n = networks.withColumn("_n", F.explode(F.array(ipv6_words(F.col(network))))).withColumn("_length", F.when(length == "", 128).otherwise(length.try_cast("int")))
-    n = n.where("_n IS NOT NULL AND _length BETWEEN 0 AND 128")
+    n = with_ipv6_words(networks, network, "_n").withColumn("_length", F.when(length == "", 128).otherwise(length.try_cast("int")))
+    n = n.where("_length BETWEEN 0 AND 128")
     lengths = sorted(r[0] for r in n.select("_length").distinct().collect())
     block = F.coalesce(*[F.when(F.col("_length") == k, _masked(F.col("_n"), k)) for k in lengths]) if lengths else F.lit(None)
     if not lengths:
@@ -189,11 +194,11 @@ def ipv6_join(addresses: DataFrame, networks: DataFrame, address: str, network:
 def ipv6_range_join(addresses: DataFrame, spans: DataFrame, address: str, first: str, last: str) -> DataFrame:
     """(address row, span row) for each IPv6 address between two addresses, both included; spans need not be networks."""
     # generators keep what they give from being written out anew wherever it is used
-    ends = spans.withColumn("_e", F.explode(F.array(F.struct(ipv6_words(F.col(first)).alias("a"), ipv6_words(F.col(last)).alias("b")))))
-    limbs = ends.where("_e.a IS NOT NULL AND _e.b IS NOT NULL").withColumn("_l", F.explode(F.array(F.struct(_limbs(F.col("_e.a")).alias("a"), _limbs(F.col("_e.b")).alias("b")))))
+    ends = with_ipv6_words(with_ipv6_words(spans, first, "_f"), last, "_e")
+    limbs = ends.withColumn("_l", F.explode(F.array(F.struct(_limbs(F.col("_f")).alias("a"), _limbs(F.col("_e")).alias("b")))))
     pieces = limbs.withColumn("_p", F.explode(ipv6_pieces(F.col("_l.a"), F.col("_l.b"))))
     blocks = pieces.withColumn("_k", F.explode(range_blocks(F.col("_p.low"), F.col("_p.high"), 32)))
-    cut = blocks.withColumn("_b", F.explode(F.array(_piece_block(F.col("_p"), F.col("_k"))))).drop("_e", "_l", "_p", "_k")
+    cut = blocks.withColumn("_b", F.explode(F.array(_piece_block(F.col("_p"), F.col("_k"))))).drop("_f", "_e", "_l", "_p", "_k")
     return _blocks_join(addresses, cut, address)
 
 

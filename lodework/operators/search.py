@@ -190,11 +190,15 @@ def bm25_topk_many(index: Bm25Index, queries: DataFrame, qid: str, text: str, k:
     """
     score = _Scorer(index, k1, b)
     asked = _planned(index, queries, qid, text, k, score)
-    found = _parts(score, bm25_open(index, asked, score)).groupBy("q", "id").agg(F.sum("part").alias("score"))
-    # the bounds of the frequent terms decide which texts go on
+    found = stage(_parts(score, bm25_open(index, asked, score)).groupBy("q", "id").agg(F.sum("part").alias("score")), "bm25-found")
+    # what k texts have already lifts the threshold; the bounds of the frequent terms decide which texts go on
+    reached = topk(found, ["q"], [F.desc("score"), F.asc("id")], k).groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("score") - ROOM).otherwise(0.0).alias("reached"))
     frequent = asked.groupBy("q").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("more"))
-    going = stage(found.join(frequent, "q").where(F.col("score") + F.col("more") >= F.col("floor")).select("q", "id"), "bm25-candidates")
-    whole = _rest(index, score, going.join(asked.select("q", "term", "bits", "idf"), "q")).groupBy("q", "id").agg(F.sum("part").alias("score"))
+    limits = frequent.join(reached, "q", "left").select("q", "more", F.greatest("floor", F.coalesce("reached", F.lit(0.0))).alias("floor"))
+    going = stage(found.join(limits, "q").where(F.col("score") + F.col("more") >= F.col("floor")).select("q", "id", "score"), "bm25-candidates")
+    # a text of the result has all its essential parts, since none of its blocks stays closed; the frequent terms are added
+    rest = _rest(index, score, going.select("q", "id").join(asked.where("NOT essential").select("q", "term", "bits", "idf"), "q"))
+    whole = going.select("q", "id", F.col("score").alias("part")).unionByName(rest).groupBy("q", "id").agg(F.sum("part").alias("score"))
     rounded = whole.select(F.col("q").alias(qid), "id", F.round(-F.col("score"), 6).alias("distance"))
     return topk(rounded, [qid], [F.asc("distance"), F.asc("id")], k)
 
