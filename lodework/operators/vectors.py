@@ -18,7 +18,7 @@ from lodework.session import stage
 #: Centres of the exact search; vectors of a cell and queries that meet in one task.
 PIVOTS, CHUNK, ASKED = 64, 8192, 2048
 #: Vectors that the list index is fitted on, most lists, and code words of a part of a vector.
-FIT_ROWS, MOST_LISTS, WORDS = 1 << 16, 4096, 256
+FIT_ROWS, MOST_LISTS, WORDS = 1 << 15, 4096, 256
 
 
 def _fold(a: Column, b: Column, term) -> Column:
@@ -109,8 +109,7 @@ def _shares(queries: DataFrame) -> tuple[int, DataFrame]:
 
 def _sample(rows: DataFrame, count: int) -> np.ndarray:
     """That many vectors, those whose ids have the least hashes."""
-    found = rows.orderBy(F.xxhash64("id"), "id").limit(count).select("v").collect()
-    return np.array([r[0] for r in found], dtype=np.float64)
+    return _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(count).select("v").toArrow()["v"])
 
 
 BEST = "qid long, id long, distance double"
