@@ -20,22 +20,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.judge(docs).where("kept").select("row.*")
 
 
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The documents with a key of their own, which ids that are null or repeat are not, and the name of its column."""
+    key = "_row"
+    while key in docs.columns:
+        key = "_" + key
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), label), key
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of least id stays; of rows that repeat an id, one.  Rows without an id stay."""
-    found = stage(simhash.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "dedup-found")
-    others = found.where("doc_id != first OR n > 1").select("doc_id")
+    """Of each group one document stays, that of least id; of rows that share this id, one.
+
+    Groups are those of the texts: rows that share an id without being alike are judged one by one, rows without an id
+    like all others, and such a row stays only if its group has no id.
+    """
+    rows, key = numbered(docs, "dedup-rows")
+    found = simhash.near_duplicates(rows, key).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    # no texts: narrow rows, staged since the survivors are looked for in them
+    groups = stage(found.join(ids, "row"), "dedup-groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    others = groups.join(first, "component_id").where("row != first.row").select(F.col("row").alias(key))
     # as a rule too many to broadcast: the same join at every size
-    kept = docs.join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("doc_id = first AND n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    return rows.join(others.hint("merge"), key, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a copy of a benchmark item go, row by row: those without an id too, those that only share one not."""
+    rows, key = numbered(docs, "leak-rows")
+    leaked = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaked, key, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
