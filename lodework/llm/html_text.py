@@ -6,8 +6,10 @@ leaves ``BLOCK`` blank lines, and so does the border of an article; other sectio
 lengths over windows of ``BLOCK`` lines form the distribution, in which a line of an article counts ``WEIGHT`` times.
 It surges where a window with text follows blank ones, and dives where it returns to zero; a stretch between the two is
 kept if some window in it exceeds ``SURGE`` characters that are not links, or is the page's fullest.  Of a kept stretch
-with sections that exceed it alone, those before the first and after the last of these are left off; sections that are
-mostly links go, unless all are.  Every other line of a kept stretch is kept.
+with sections that exceed it alone, those before the first and after the last of these are left off if they have neither
+a heading or paragraph nor the end of a sentence; sections that are mostly links go, unless all are.  Every other line of
+a kept stretch is kept.  A class or id marks an element only as a whole: of the words that hyphens join, those that
+tell place or shape are passed over and all others must be marks, so ``site-footer`` is one, ``has-sidebar`` is not.
 
 Defined results: null html is the empty page; a page without text gives the empty text; an element that is never
 closed ends where its parent does, a paragraph before the next block, markup that is no element is text; equal rows give equal rows; pages are read whole;
@@ -17,6 +19,7 @@ an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from html import unescape
 
@@ -40,13 +43,26 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sp
                   "sidebar aside footer header masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay "
                   "comment comments respond replies disqus share sharing social related recommended newsletter subscribe signup login search "
                   "pagination pager widget toolbar skip".split())
+#: Words beside a mark in a class or id that tell its place or shape.
+NEUTRAL = frozenset("site page main global top bottom left right primary secondary box list links buttons bar block wrapper wrap container inner "
+                    "area section posts items item group panel form content text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 ARTICLE = frozenset("article main".split())
+BORDERED = ARTICLE | OTHER
+#: Elements of running text, and what a sentence ends in.
+RUNNING = tuple("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+ENDS = tuple(".!?\u2026\u3002\uff01\uff1f")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
                    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-NAMED = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-PARTS = re.compile(r"[A-Za-z0-9]+")
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+PARTS = re.compile(r"[a-z0-9]+")
+
+
+def is_mark(value: str) -> bool:
+    """Whether one class or id, as a whole, names something else than the article."""
+    words = [w for w in PARTS.findall(value) if w not in NEUTRAL and not w.isdigit()]
+    return bool(words) and MARKS.issuperset(words)
 
 
 def marked(rest: str) -> bool:
@@ -56,32 +72,43 @@ def marked(rest: str) -> bool:
         if name.lower() == "role":
             if value in ROLES:
                 return True
-        elif name.lower() in ("class", "id") and not MARKS.isdisjoint(PARTS.findall(value)):
+        elif any(map(is_mark, value.split())):
             return True
     return False
 
 
 class Page:
-    """The lines of one page: (text, characters outside links, within the article, number of its section)."""
+    """The lines of one page: (text, characters outside links, within the article, number of its section, running text)."""
 
     def __init__(self, html: str):
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, bool]] = []
         self.section = 0
         self.parts: list[str] = []
         self.free = 0
         self.stack: list[tuple[str, bool, bool]] = []  # open elements: name, within the article, left out
+        self.open: Counter[str] = Counter()  # how many of each name are open
+        self.breaks: list[int] = []  # depths of those that break lines
         self.read(html)
 
     def close_line(self, blank: int = 0) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.free, bool(self.stack) and self.stack[-1][1], self.section))
+            running = any(map(self.open.__getitem__, RUNNING)) or text.endswith(ENDS)
+            self.lines.append((text, self.free, bool(self.stack) and self.stack[-1][1], self.section, running))
         self.parts, self.free = [], 0
         if blank and self.lines and self.lines[-1][0]:
-            self.lines.extend([("", 0, False, self.section)] * blank)
+            self.lines.extend([("", 0, False, self.section, False)] * blank)
+
+    def cut(self, depth: int) -> None:
+        """Close the open elements from a depth on."""
+        for name, _, _ in self.stack[depth:]:
+            self.open[name] -= 1
+        del self.stack[depth:]
+        while self.breaks and self.breaks[-1] >= depth:
+            self.breaks.pop()
 
     def read(self, html: str) -> None:
-        at, links = 0, 0
+        at = 0
         tokens = list(TOKEN.finditer(html))
         outer = self.with_article(tokens)
         for k, token in enumerate(tokens):
@@ -89,14 +116,14 @@ class Page:
             if not out and token.start() > at:
                 text = unescape(html[at : token.start()])
                 self.parts.append(text)
-                if not links:
+                if not self.open["a"]:
                     self.free += len(text.strip())
             at = token.end()
             name = (token["name"] or "").lower()
             if not name:
                 continue
             inside = bool(self.stack) and self.stack[-1][1]
-            border = BLOCK if name in ARTICLE | OTHER and not inside else 0
+            border = BLOCK if name in BORDERED and not inside else 0
             if not out and name in BREAKS:
                 self.close_line(border)
                 self.section += name in SECTIONS and not inside
@@ -110,14 +137,17 @@ class Page:
                     name in OTHER or name == "header" and not inside or name not in ("html", "body", "article", "main") and self.elsewhere(token["rest"], inside)))
                 if left_out and not out:
                     self.close_line(0 if inside else BLOCK)
+                if name in BREAKS:
+                    self.breaks.append(len(self.stack))
                 self.stack.append((name, article, left_out))
-                links += name == "a"
-            elif any(e[0] == name for e in self.stack):
-                while self.stack.pop()[0] != name:
-                    pass
+                self.open[name] += 1
+            elif self.open[name]:
+                depth = len(self.stack) - 1
+                while self.stack[depth][0] != name:
+                    depth -= 1
+                self.cut(depth)
                 if inside and not out and not (self.stack and self.stack[-1][1]):
                     self.close_line(BLOCK)
-                links = sum(e[0] == "a" for e in self.stack) if links else 0
         if not (self.stack and self.stack[-1][2]) and at < len(html):
             self.parts.append(unescape(html[at:]))
             self.free += len(html) - at
@@ -126,12 +156,8 @@ class Page:
     def imply_end(self, name: str) -> None:
         """A paragraph ends before the next block, an item before the next item, unless a section stands between."""
         ended = "p" if name in BREAKS and name != "li" else name if name in ("li", "dt", "dd", "tr", "td", "th") else ""
-        for depth in range(len(self.stack) - 1, -1, -1) if ended else ():
-            if self.stack[depth][0] == ended:
-                del self.stack[depth:]
-                return
-            if self.stack[depth][0] in BREAKS:
-                return
+        if self.breaks and self.stack[self.breaks[-1]][0] == ended:
+            self.cut(self.breaks[-1])
 
     @staticmethod
     def elsewhere(rest: str, inside: bool) -> bool:
@@ -142,6 +168,7 @@ class Page:
     def with_article(tokens: list) -> set[int]:
         """Numbers of the opening tokens of elements around an article: these are never left out."""
         stack: list[tuple[str, int]] = []
+        held: Counter[str] = Counter()
         around: set[int] = set()
         for k, token in enumerate(tokens):
             name = (token["name"] or "").lower()
@@ -149,11 +176,18 @@ class Page:
                 continue
             if not token["end"]:
                 if name in ARTICLE:
-                    around.update(n for _, n in stack)
+                    # who stands around one that stands around this one is known
+                    for _, n in reversed(stack):
+                        if n in around:
+                            break
+                        around.add(n)
                 stack.append((name, k))
-            elif any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+                held[name] += 1
+            elif held[name]:
+                closed = None
+                while closed != name:
+                    closed = stack.pop()[0]
+                    held[closed] -= 1
         return around
 
 
@@ -185,7 +219,7 @@ def kept_lines(lines: list, peak: Callable[[int, int], int], first: int) -> list
     sections = list(zip(starts, [*starts[1:], len(lines)], strict=True))
     alone = [k for k, (a, b) in enumerate(sections) if peak(first + a, first + b) > SURGE]
     if alone:
-        sections = sections[alone[0] : alone[-1] + 1]
+        sections = [(a, b) for k, (a, b) in enumerate(sections) if alone[0] <= k <= alone[-1] or any(x[4] for x in lines[a:b])]
     # links weigh nothing; within an article they are its text
     own = [(a, b) for a, b in sections if 2 * sum(min(x[1], len(x[0])) for x in lines[a:b]) >= sum(len(x[0]) for x in lines[a:b]) or any(x[2] for x in lines[a:b])]
     return [x[0] for a, b in own or sections for x in lines[a:b] if x[0]]

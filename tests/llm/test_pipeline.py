@@ -56,6 +56,22 @@ def test_stages(spark, tmp_path):
     assert {(r.doc_id, r.ids_sha256) for r in whole.collect()} == {(i, r.ids_sha256) for i, r in seen["tokens"].items()}
 
 
+def test_rows_that_share_an_id(spark, tmp_path):
+    docs, item = corpus()
+    a, b, c = docs[1], docs[2], docs[6]
+    # id 5 is in the group of 3 and in that of 9; the last group has no id; equal rows are one
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c.upper()), (7, docs[7]), (7, docs[7]), (None, docs[7])]
+    table = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, _row long")
+    kept = corpus_pipeline.near_dedup(spark, table, "")
+    assert kept.columns == table.columns
+    got = sorted(((r.doc_id, r.text.lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (None, c), (7, docs[7])], key=str)
+    folder = in_folder(spark, tmp_path / "in", benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    leaky = [(1, a), (1, b + " " + item), (None, c + " " + item), (None, b)]
+    left = corpus_pipeline.decontamination(spark, spark.createDataFrame(leaky, "doc_id long, text string"), folder)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (None, b)], key=str)
+
+
 def test_empty_documents(spark, tmp_path):
     folder = in_folder(spark, tmp_path / "in", documents=empty(spark), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, folder).count() == 0

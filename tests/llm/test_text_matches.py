@@ -1,6 +1,8 @@
 """Benchmark leaks, licence notices, page texts and toxicity."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -212,6 +214,88 @@ def test_distribution_decides(html):
     assert html_text.main_text(html) == PLAIN[html].strip()
 
 
+#: Words that a class has beside others decide nothing; whole marks do.
+CLASSES = {
+    '<div id="page" class="has-sidebar"><p>{}</p></div>': True,
+    '<div class="layout social-news"><p>{}</p></div>': True,
+    '<div class="post-with-comments"><p>{}</p></div>': True,
+    '<article><div class="related-work"><p>{}</p></div></article>': True,
+    '<div class="site-footer"><p>{}</p></div>': False,
+    '<div class="wide cookie-banner"><p>{}</p></div>': False,
+    '<article><div class="related-posts"><p>{}</p></div></article>': False,
+}
+
+
+@pytest.mark.parametrize("html", CLASSES)
+def test_classes(html):
+    text = "word " * 60
+    assert html_text.main_text(html.format(text)) == (text.strip() if CLASSES[html] else "")
+
+
+def test_short_sections_at_the_ends():
+    long = "word " * 60
+    page = "<div>{}</div><div><p>" + long + "</p></div><div>{}</div>"
+    assert html_text.main_text(page.format("<h1>Title</h1>", "The end.")) == "Title " + long + "The end."
+    assert html_text.main_text(page.format("12 May", "<b>x</b> y")) == long.strip()
+
+
+@pytest.mark.parametrize("html", ["<b>" * 50_000 + "<i>x</i>" * 50_000, "<b>" * 50_000 + "<div></div>" * 50_000 + "x", "<div>" * 50_000 + "<article>" * 50_000 + "x"])
+def test_many_open_tags(html):
+    start = time.perf_counter()
+    assert set(html_text.main_text(html)) == {"x"}
+    assert time.perf_counter() - start < 20  # seconds; quadratic ways take minutes
+
+
+def brute_lines(html):
+    """Lines of a page by Python's parser, where every element is closed and nothing is marked by class."""
+    from html.parser import HTMLParser
+
+    lines, now, unseen = [], [], []
+
+    class Lines(HTMLParser):
+        def border(self):
+            lines.append(" ".join("".join(now).split()))
+            now.clear()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.UNSEEN | html_text.OTHER:
+                unseen.append(tag)
+            if tag in html_text.BREAKS:
+                self.border()
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BREAKS:
+                self.border()
+            if unseen and unseen[-1] == tag:
+                unseen.pop()
+
+        def handle_data(self, data):
+            if not unseen:
+                now.append(data)
+
+    parser = Lines(convert_charrefs=True)
+    parser.feed(html)
+    parser.close()
+    parser.border()
+    return [x for x in lines if x]
+
+
+def test_lines_of_brute_force():
+    r = random.Random(4)
+    names = ["p", "div", "section", "ul", "b", "i", "a", "span", "nav", "aside", "h2", "blockquote"]
+
+    def element(depth):
+        inner = "".join(element(depth + 1) if depth < 4 and r.random() < 0.5 else r.choice(["word ", "a &amp; b ", "&eacute;t\u00e9 &#x4e2d; ", "  two\n words ", ""]) for _ in range(r.randint(0, 4)))
+        name = r.choice(names)
+        if name == "p":  # paragraphs hold no blocks
+            inner = re.sub(r"</?(?:p|div|section|ul|nav|aside|h2|blockquote)>", "", inner)
+        return f"<{name}>{inner}</{name}>"
+
+    for _ in range(300):
+        html = "<body>" + "".join(element(0) for _ in range(r.randint(1, 4))) + "</body>"
+        assert [x[0] for x in html_text.Page(html).lines if x[0]] == brute_lines(html), html
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, "x"), (2, None, "<p>é 😀", "x"), (2, None, "<p>é 😀", "x"), (None, "u", "<p>" + "w " * 50_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
