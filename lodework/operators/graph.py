@@ -79,22 +79,31 @@ def match(vertices: DataFrame, edges: DataFrame, pattern: list[dict]) -> DataFra
 def reach(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     """(origin, id, hops): everything within ``max_hops`` edges of each source id, with the fewest hops.
 
-    Each round joins the newest ids with the edges, drops what is known and stages the rest, so lineage
-    stays short and a lost executor costs one round at most.
+    Origins are numbered and packed: 64 of them are one word, so a node that many origins reach is a row per word.  A
+    hop joins the newest words with the edges, OR-aggregates them by (node, block of origins), in each task before the
+    shuffle, and takes off the bits known before.  Each hop is staged, so lineage stays short and a lost executor costs
+    one round at most.  The words become rows only in the result.
     """
-    pairs = stage(edges.select("src", "dst").distinct(), "reach-edges")
-    frontier = stage(sources.select(F.col("id").alias("origin"), "id", F.lit(0).cast("long").alias("hops")).distinct(), "reach")
+    pairs = stage(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "reach-edges")
+    # numbers are dense within a task that wrote them: so are the blocks
+    numbers = stage(sources.select(F.col("id").alias("origin")).where("origin IS NOT NULL").distinct()
+                    .withColumn("_number", F.monotonically_increasing_id()), "reach-origins")
+    numbers = numbers.select("origin", F.shiftright("_number", 6).alias("block"), F.expr("CAST(_number & 63L AS INT)").alias("bit"))
+    frontier = stage(numbers.groupBy(F.col("origin").alias("id"), "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+                     .withColumn("hops", F.lit(0).cast("long")), "reach")
     known = frontier
     for hop in range(1, max_hops + 1):
-        step = (frontier.join(pairs, F.col("id") == F.col("src"))
-                .select("origin", F.col("dst").alias("id")).distinct()
-                .join(known.select("origin", "id"), ["origin", "id"], "left_anti")
-                .withColumn("hops", F.lit(hop).cast("long")))
+        met = frontier.join(pairs, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
+        both = met.select("id", "block", "bits", F.lit(0).cast("long").alias("old")).unionByName(
+            known.select("id", "block", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("old")))
+        new = both.groupBy("id", "block").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+        step = new.select("id", "block", F.expr("bits & ~old").alias("bits"), F.lit(hop).cast("long").alias("hops")).where("bits != 0")
         frontier = stage(step, "reach")
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
-    return known
+    every = F.filter(F.array(*[F.lit(b) for b in range(64)]), lambda b: F.getbit("bits", b) == 1)
+    return known.select("id", "block", "hops", F.explode(every).alias("bit")).join(numbers, ["block", "bit"]).select("origin", "id", "hops")
 
 
 def _lanes(edges: DataFrame) -> DataFrame:

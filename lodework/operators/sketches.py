@@ -1,4 +1,4 @@
-"""Mergeable summaries: distinct counts (HyperLogLog), quantiles (KLL and t-digest) and integer bitmaps."""
+"""Mergeable summaries: distinct counts (HyperLogLog), quantiles (KLL and t-digest)."""
 
 from __future__ import annotations
 
@@ -167,25 +167,3 @@ def tdigest_read(digests: DataFrame, probs: list[float], ranks_of: list[float] |
     found = digests.withColumn("_found", read(*DIGEST)).drop(*DIGEST)
     pairs = F.arrays_zip(F.array(*[F.lit(p) for p in asked]).alias(names[0]), F.col("_found").alias(names[1]))
     return found.select(*[c for c in found.columns if c != "_found"], F.inline(pairs).alias(*names))
-
-
-def bitmap_build(df: DataFrame, group: list[str], column: str) -> DataFrame:
-    """(group, bucket, bits): the set of integers of a group as bitmaps of 32768 values each."""
-    return df.where(F.col(column).isNotNull()).groupBy(*group, F.bitmap_bucket_number(column).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("bits"))
-
-
-def bitmap_cardinality(bitmaps: DataFrame, group: list[str], out: str = "cardinality") -> DataFrame:
-    return bitmaps.groupBy(*group).agg(F.sum(F.bitmap_count("bits")).alias(out))
-
-
-def bitmap_combine(left: DataFrame, right: DataFrame, keys: list[str], op: str) -> DataFrame:
-    """AND / OR of two bitmap tables per key; a bucket missing on one side is empty."""
-    both = left.select(*keys, "bucket", "bits").unionByName(right.select(*keys, "bucket", "bits"))
-    grouped = both.groupBy(*keys, "bucket")
-    if op == "or":
-        return grouped.agg(F.bitmap_or_agg("bits").alias("bits"))
-    if op == "and":
-        return (grouped.agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("_sides"))
-                .where("_sides = 2").drop("_sides"))
-    raise ValueError("op is 'and' or 'or'")

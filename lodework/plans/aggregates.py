@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodework.operators.aggregates import bucketed_histogram, first_last, fraction_sum, ordered_array
-from lodework.operators.sketches import (bitmap_build, bitmap_cardinality, bitmap_combine, hll_build, hll_count,
+from lodework.operators.bitmaps import bitmap_build, bitmap_cardinality, bitmap_combine, bitmap_contains, bitmap_rollup
+from lodework.operators.sketches import (hll_build, hll_count,
                                          hll_estimate, hll_pair_union, hll_rollup, quantiles, tdigest_build,
                                          tdigest_read, tdigest_rollup)
 from lodework.plans.registry import plan
@@ -149,6 +150,31 @@ def bitmap_and_or(spark, t):
     return both[0].unionByName(both[1])
 
 
+@plan("bitmap_xor_andnot", """
+WITH a AS (SELECT DISTINCT l_returnflag f, l_orderkey * 1000003 - 7000000000 k FROM lineitem WHERE l_linestatus = 'O'),
+b AS (SELECT DISTINCT l_returnflag f, l_orderkey * 1000003 - 7000000000 k FROM lineitem WHERE l_linestatus = 'F')
+SELECT f AS flag, 'andnot' AS op, count(*) AS cardinality FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY 1
+UNION ALL SELECT f, 'xor', count(*) FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)) GROUP BY 1
+""")
+def bitmap_xor_andnot(spark, t):
+    """Sparse 64-bit ids, negative ones too."""
+    lines = t.lineitem.select(F.col("l_returnflag").alias("flag"), "l_linestatus", (F.col("l_orderkey") * F.lit(1000003).cast("long") - F.lit(7000000000)).alias("id"))
+    a = stage(bitmap_build(lines.where("l_linestatus = 'O'"), ["flag"], "id"), "bitmaps")
+    b = stage(bitmap_build(lines.where("l_linestatus = 'F'"), ["flag"], "id"), "bitmaps")
+    both = [bitmap_cardinality(bitmap_combine(a, b, ["flag"], op), ["flag"]).select("flag", F.lit(op).alias("op"), "cardinality") for op in ("xor", "andnot")]
+    return both[0].unionByName(both[1])
+
+
+@plan("bitmap_contains", """
+WITH m AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45)
+SELECT o_orderpriority, count(*) AS orders FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM m) GROUP BY 1
+""")
+def bitmap_asked(spark, t):
+    """Sets per supplier, united, then asked for every order."""
+    sets = bitmap_build(t.lineitem.where("l_quantity > 45"), ["l_suppkey"], "l_orderkey")
+    return bitmap_contains(bitmap_rollup(sets, []), t.orders, [], "o_orderkey").groupBy("o_orderpriority").agg(F.count("*").alias("orders"))
+
+
 @plan("bucketed_histogram", """
 WITH c AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket_start,
                   CASE WHEN value < 0 THEN 0 WHEN value >= 50 THEN 11 ELSE CAST(floor(value / 5) AS BIGINT) + 1 END AS bin, count(*) AS n FROM events GROUP BY 1, 2),

@@ -15,7 +15,7 @@ from lodework.functions.routines import register_scalar
 from lodework.functions.text import char_inventory, fold_ascii
 from lodework.functions.times import (cron_runs, from_nanos, rrule_occurrences, schedule_job, to_nanos, unschedule_job,
                                       uuid7, uuid7_floor, uuid7_ts)
-from lodework.operators import aggregates, collections, geo, graph, ranges, search, similarity, sketches, tabular, vectors
+from lodework.operators import aggregates, bitmaps, collections, geo, graph, ranges, search, similarity, sketches, tabular, vectors
 from lodework.operators.ordered import running
 from lodework.operators.privacy import decrypt, encrypt, mask
 from lodework.operators.quality import check_value, run_checks
@@ -250,15 +250,15 @@ def test_quantiles(spark):
 
 def test_bitmaps(spark):
     def built(values):
-        return sketches.bitmap_build(values_table(spark, [(1, v) for v in values], "k int, x int"), ["k"], "x")
+        return bitmaps.bitmap_build(values_table(spark, [(1, v) for v in values], "k int, x int"), ["k"], "x")
 
     def size(b):
-        return sketches.bitmap_cardinality(b, ["k"]).first()["cardinality"]
+        return bitmaps.bitmap_cardinality(b, ["k"]).first()["cardinality"]
 
     assert size(built([1, 2, 3, 4, 5, 5])) == 5
-    assert size(sketches.bitmap_combine(built([1, 2, 3]), built([2, 3, 4]), ["k"], "and")) == 2
-    assert size(sketches.bitmap_combine(built([1, 2, 3]), built([3, 4, 5]), ["k"], "or")) == 5
-    assert sketches.bitmap_cardinality(sketches.bitmap_combine(built([1]), built([90000]), ["k"], "and"), ["k"]).count() == 0
+    assert size(bitmaps.bitmap_combine(built([1, 2, 3]), built([2, 3, 4]), ["k"], "and")) == 2
+    assert size(bitmaps.bitmap_combine(built([1, 2, 3]), built([3, 4, 5]), ["k"], "or")) == 5
+    assert bitmaps.bitmap_cardinality(bitmaps.bitmap_combine(built([1]), built([90000]), ["k"], "and"), ["k"]).count() == 0
 
 
 def test_fractions(spark):
