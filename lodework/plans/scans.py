@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodework.plans.registry import plan
 from lodework.session import scratch_path
+from lodework.sources.arrow_store import read_store, write_store
 from lodework.sources.files import (compact, read_files, read_table, write_partitioned, write_table)
 from lodework.sources.rows import csv_agg, run_sql, sample_rows, series, time_series, values_table
 
@@ -159,3 +160,19 @@ def written(spark, t):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@plan("federated_scan", """
+SELECT c_mktsegment, o_orderstatus, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+GROUP BY 1, 2
+""")
+def federated_scan(spark, t):
+    """Orders lie in a store that answers filters itself; customers are a local table."""
+    folder = scratch_path(spark, "store")
+    write_store(t.orders.repartitionByRange("o_orderdate"), folder, file_rows=1 << 16)
+    remote = read_store(spark, folder, "o_custkey bigint, o_orderdate timestamp_ntz, o_orderstatus string, o_orderpriority string, o_totalprice double")
+    year = remote.where("o_orderdate >= timestamp_ntz '1996-01-01' AND o_orderdate < timestamp_ntz '1997-01-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    return year.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "o_orderstatus").agg(
+        F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
