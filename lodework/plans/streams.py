@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from lodework.operators.joins import asof_join
 from lodework.plans.registry import plan
 from lodework.session import scratch_path
+from lodework.streaming.extremes import extremes_view, read_extremes
 from lodework.streaming.feeds import ReplicationSet, parse_changes
 from lodework.streaming.queues import queue_state
 from lodework.streaming.replicate import read_copy, replicate_tables
@@ -55,6 +56,17 @@ def view_with_deletes(spark, t):
     return read_view(spark, path, ["o_custkey"]).where("row_count > 0")
 
 
+@plan("extremes_with_deletes", """
+SELECT o_orderpriority, count(*) AS row_count, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1
+""")
+def extremes_with_deletes(spark, t):
+    rows = t.orders.select("o_orderpriority", "o_totalprice", "o_orderkey")
+    signed = rows.withColumn("sign", F.lit(1)).unionByName(rows.where("o_orderkey % 5 = 0").withColumn("sign", F.lit(-1)))
+    path = scratch_path(spark, "extremes")
+    run_to_end(extremes_view(as_stream(spark, signed), ["o_orderpriority"], "o_totalprice", "sign"), path, partitions=cores(spark))
+    return read_extremes(spark, path, ["o_orderpriority"])
+
+
 @plan("continuous_aggregate", """
 SELECT 'hour' AS step, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 2, 3
 UNION ALL SELECT 'day', date_trunc('day', ts)::TIMESTAMP, event_type, count(*), CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) FROM events GROUP BY 2, 3
