@@ -101,30 +101,34 @@ def bitmap_build(df: DataFrame, group: list[str], column: str) -> DataFrame:
     return _containers(rows.groupBy(*group, "high", "word").agg(F.bit_or("bits").alias("bits")), group)
 
 
-def bitmap_rollup(bitmaps: DataFrame, group: list[str]) -> DataFrame:
-    """The union of the sets of a coarser group."""
+def _words(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, high, word, bits) of some containers: the 64 bits of each word that has members."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            kinds, data = batch.column(len(group) + 1).to_pylist(), batch.column(len(group) + 2).to_pylist()
-            for start in range(0, len(kinds), 64):
-                rows, numbers, bits = [], [], []
-                for i in range(start, min(start + 64, len(kinds))):
-                    mask = np.zeros(SPAN, np.uint8)
-                    mask[unpack(kinds[i], data[i])] = 1
-                    words = np.packbits(mask, bitorder="little").view("<i8")
-                    used = np.flatnonzero(words)
-                    rows.append(np.full(len(used), i))
-                    numbers.append(used)
-                    bits.append(words[used])
-                at = pa.array(np.concatenate(rows))
-                columns = [batch.column(i).take(at) for i in range(len(group) + 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(numbers), pa.int32()), pa.array(np.concatenate(bits), pa.int64())],
-                                                 [*group, "high", "word", "bits"])
-
-    rows = bitmaps.select(*group, "high", "kind", "data")
-    words = rows.mapInArrow(run, _fields(rows, group) + "high bigint, word int, bits bigint")
-    return _containers(words.groupBy(*group, "high", "word").agg(F.bit_or("bits").alias("bits")), group)
+            kinds, data = batch.column(len(keys) + 1).to_pylist(), batch.column(len(keys) + 3).to_pylist()
+            ends = np.cumsum(batch.column(len(keys) + 2).to_numpy().astype(np.int64))
+            start = 0
+            while start < len(kinds):
+                before = int(ends[start - 1]) if start else 0
+                end = max(int(np.searchsorted(ends, before + TOGETHER, "right")), start + 1)
+                numbers = [unpack(k, d) for k, d in zip(kinds[start:end], data[start:end])]
+                row = np.repeat(np.arange(start, end), [len(x) for x in numbers])
+                numbers = np.concatenate(numbers)
+                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(numbers >> 6, prepend=-1) != 0))
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (numbers & 63).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+                at = pa.array(row[first])
+                columns = [batch.column(i).take(at) for i in range(len(keys) + 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array((numbers[first] >> 6).astype(np.int32)), pa.array(bits.view(np.int64))], [*keys, "high", "word", "bits"])
+                start = end
+
+    rows = bitmaps.select(*keys, *CONTAINER)
+    return rows.mapInArrow(run, _fields(rows, keys) + "high bigint, word int, bits bigint")
+
+
+def bitmap_rollup(bitmaps: DataFrame, group: list[str]) -> DataFrame:
+    """The union of the sets of a coarser group."""
+    return _containers(_words(bitmaps, group).groupBy(*group, "high", "word").agg(F.bit_or("bits").alias("bits")), group)
 
 
 def bitmap_cardinality(bitmaps: DataFrame, group: list[str], out: str = "cardinality") -> DataFrame:
@@ -174,29 +178,16 @@ def bitmap_members(bitmaps: DataFrame, keys: list[str], out: str = "member") ->
 
 
 def bitmap_contains(bitmaps: DataFrame, rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Those of ``rows`` whose number is in the set of their keys; each row meets one container."""
-
-    @F.pandas_udf("boolean")
-    def holds(kind: pd.Series, data: pd.Series, low: pd.Series) -> pd.Series:
-        out = []
-        for k, d, x in zip(kind, data, low):
-            if k == BITS:
-                out.append(bool(d[x >> 3] >> (x & 7) & 1))
-                continue
-            numbers = np.frombuffer(d, "<u2")
-            if k == ARRAY:
-                i = int(np.searchsorted(numbers, x))
-                out.append(i < len(numbers) and int(numbers[i]) == x)
-            else:
-                i = int(np.searchsorted(numbers[0::2], x, "right")) - 1
-                out.append(i >= 0 and int(numbers[2 * i + 1]) >= x)
-        return pd.Series(out, dtype=bool)
-
+    """Those of ``rows`` whose number is in the set of their keys; each row meets one word of 64 bits, not a container."""
+    fresh = "_asked"
+    while any(c.startswith(fresh) for c in rows.columns):
+        fresh = "_" + fresh
     x = F.col(column).cast("bigint")
-    asked = rows.select(F.struct("*").alias("_asked"), F.shiftright(x, 16).alias("_high"), x.bitwiseAND(F.lit(SPAN - 1)).cast("int").alias("_low"))
-    held = bitmaps.select(F.struct(*keys).alias("_keys"), F.col("high").alias("_at"), "kind", "data")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col("_asked")[k].eqNullSafe(F.col("_keys")[k])
-    met = asked.join(held, same & (F.col("_high") == F.col("_at")))
-    return met.where(holds("kind", "data", "_low")).select("_asked.*")
+    asked = rows.where(x.isNotNull())
+    held = _words(bitmaps, keys).select(*[F.col(k).alias(f"{fresh}{i}") for i, k in enumerate(keys)], F.col("high").alias(f"{fresh}_high"),
+                                        F.col("word").alias(f"{fresh}_word"), F.col("bits").alias(f"{fresh}_bits"))
+    same = (F.shiftright(x, 16) == F.col(f"{fresh}_high")) & (F.shiftright(x.bitwiseAND(F.lit(SPAN - 1)), 6).cast("int") == F.col(f"{fresh}_word"))
+    for i, k in enumerate(keys):
+        same = same & asked[k].eqNullSafe(F.col(f"{fresh}{i}"))
+    held_bit = F.expr(f"shiftrightunsigned(`{fresh}_bits`, CAST(CAST(`{column}` AS BIGINT) & 63L AS INT)) & 1L")
+    return asked.join(held, same).where(held_bit == 1).select(*[asked[c] for c in rows.columns])
