@@ -102,6 +102,11 @@ def _merged(table: pa.Table, keys: list[str], delta: int) -> pa.Table:
                      "low": pa.array(out["low"], pa.float64()), "high": pa.array(out["high"], pa.float64())})
 
 
+def _plain(kind: pa.DataType) -> pa.DataType:
+    """A type as ``_merged`` gives it."""
+    return pa.list_(kind.value_type) if pa.types.is_list(kind) else kind
+
+
 def _combined(rows: DataFrame, keys: list[str], schema: str, delta: int) -> DataFrame:
     """Digests merged within each task; what leaves it is one digest per key and ``GATHERED`` centroids."""
 
@@ -113,7 +118,8 @@ def _combined(rows: DataFrame, keys: list[str], schema: str, delta: int) -> Data
 
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
+                # Spark's lists and merged ones name their elements differently
+                held.append(pa.RecordBatch.from_arrays([c.cast(_plain(c.type)) for c in batch.columns], batch.schema.names))
                 size += len(batch.column(len(keys)).flatten())
                 if size > GATHERED:
                     held = merge().combine_chunks().to_batches()

@@ -22,3 +22,11 @@ def test_asked_numbers_meet_words_and_not_containers(spark):
     want = [(n % 2, n - 5000) for n in range(0, 200_000, 7) if (m := n - 4000) >= 0 and m % 3 == 0 and m % 2 == n % 2]
     assert sorted((r.k, r.y) for r in found.collect()) == sorted(want * 2) and found.columns == ["k", "y", "high"]
     assert "ArrowEvalPython" not in plan_of(found)
+
+
+def test_digest_of_a_long_task(spark):
+    """More rows than a task gathers before it merges."""
+    rows = spark.range(600_000).coalesce(1).selectExpr("id % 3 AS k", "CAST(id AS double) AS x")
+    found = {(r.k, r.p): r.quantile for r in sketches.tdigest_read(sketches.tdigest_build(rows, ["k"], "x"), [0.0, 0.5, 1.0]).collect()}
+    for k in range(3):
+        assert found[k, 0.0] == k and found[k, 1.0] == 599_997 + k and abs(found[k, 0.5] - 300_000) < 6000
