@@ -8,8 +8,7 @@ edits, added or missing words leave above that.
 Seeds are pairs of neighbouring words, which a copy need not keep longer runs than: at 0.8 a fifth of the item's words
 may be missing and as many others may stand between the rest.  That destroys a bounded number of an item's pairs
 (``destroyed``), so its seeds are the rarest of them, that many and up to ``TOGETHER`` more: a copy has as many of
-them as were added.  Rarity, counted in a sample of the documents and among the items, orders the search and drops no
-case.  Documents meet a bitmap of the seeds first, whose size has a fixed bound, so only stretches of text around
+them as were added.  Rarity, counted in all documents and among the items, orders the search and drops no case.  Documents meet a bitmap of the seeds first, whose size has a fixed bound, so only stretches of text around
 possible seeds leave their task.
 
 Defined results: null text has no words; an item of one word is its own seed, and an item without words is never
@@ -39,8 +38,6 @@ from lodework.session import stage
 SEED, SIMILARITY = 2, 0.8
 #: Seeds that must stand together, as far as edits are sure to leave so many.
 TOGETHER = 3
-#: One document in so many is read for how frequent seeds are.
-SAMPLE = 16
 PART = 4096
 #: Bits of the bitmap of seeds: so many for each seed (one n-gram in that many passes by chance), between these bounds.
 PER_SEED, BITS = 1 << 12, (1 << 16, 1 << 25)
@@ -142,8 +139,8 @@ def test_items(benchmark: DataFrame, id_col: str, text_col: str, least: float) -
     return id_and_text(benchmark, id_col, text_col).mapInArrow(run, "number bigint, item_id bigint, words string, n int, keys array<bigint>, size int, need int, keep int")
 
 
-def sampled(docs: DataFrame, items: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
-    """``key`` and ``times`` of n-grams of the items in a sample of the documents."""
+def frequencies(docs: DataFrame, items: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
+    """``key`` and ``times`` of n-grams of the items in all documents."""
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(items.select(F.explode("keys").alias("key")).distinct()))
     shift = shift_of(bitmap.value)
 
@@ -157,8 +154,7 @@ def sampled(docs: DataFrame, items: DataFrame, sizes: list[int], id_col: str, te
                 keys, times = np.unique(keys[in_bitmap(bits, keys, shift)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "times"])
 
-    some = id_and_text(docs, id_col, text_col).where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLE)) == 0)
-    return some.mapInArrow(run, "key bigint, times bigint").groupBy("key").agg(F.sum("times").alias("times"))
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "key bigint, times bigint").groupBy("key").agg(F.sum("times").alias("times"))
 
 
 def rare_seeds(items: DataFrame, times: DataFrame) -> DataFrame:
@@ -277,7 +273,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, id_c
     items = stage(test_items(benchmark, item_col, item_text_col, least), "leak-items")
     groups = items.groupBy("size", "need").agg(F.max("n").alias("most")).collect()  # at most 2 sizes times TOGETHER
     sizes = sorted({g.size for g in groups}) or [SEED]
-    seeds = stage(rare_seeds(items, sampled(docs, items, sizes, id_col, text_col)), "leak-seeds")
+    seeds = stage(rare_seeds(items, frequencies(docs, items, sizes, id_col, text_col)), "leak-seeds")
     salts = F.array(*[F.lit(int(salt_of(k).view(np.int64))) for k in range(TOGETHER + 1)])
     bitmap = bitmap_of(seeds.select(F.col("key").bitwiseXOR(salts[F.col("need")]).alias("key")).distinct())
     reach = span_of(max((g.most for g in groups), default=0), least)

@@ -30,3 +30,14 @@ def test_digest_of_a_long_task(spark):
     found = {(r.k, r.p): r.quantile for r in sketches.tdigest_read(sketches.tdigest_build(rows, ["k"], "x"), [0.0, 0.5, 1.0]).collect()}
     for k in range(3):
         assert found[k, 0.0] == k and found[k, 1.0] == 599_997 + k and abs(found[k, 0.5] - 300_000) < 6000
+
+
+def test_frequencies_of_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta number{i} gamma delta") for i in range(50)] + [(None, None)], "doc_id long, text string")
+    items = decontaminate.test_items(spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"), "item_id", "text", 0.8)
+    sizes = [r.size for r in items.select("size").collect()]
+    times = {r.key: r.times for r in decontaminate.frequencies(docs, items, sizes, "doc_id", "text").collect()}
+    known = decontaminate.word_cache()
+    keys = decontaminate.keys_of(decontaminate.hashes_of(["alpha", "beta", "gamma", "delta"], known), sizes[0]).view("int64").tolist()
+    every = {k: 50 for k in (keys if sizes[0] == 1 else [keys[0], keys[2]])}
+    assert {k: times[k] for k in every} == every
