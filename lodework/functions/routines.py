@@ -36,8 +36,8 @@ def register_table(spark: SparkSession, name: str, handler: type, returns: str):
     return made
 
 
-# rows a task gathers before it forms partial states
-GATHER_ROWS = 200_000
+# rows a task gathers before it forms partial states, and shares of a group that meet on their own first
+GATHER_ROWS, SHARES = 200_000, 16
 
 
 def grouped_agg(df: DataFrame, group: list[str], columns: list[str], partial: Callable[[pd.DataFrame], object],
@@ -45,8 +45,9 @@ def grouped_agg(df: DataFrame, group: list[str], columns: list[str], partial: Ca
     """User aggregate that never needs a whole group in one place.
 
     ``partial`` turns some rows of a group into a small state, ``merge`` folds a list of states, ``finish``
-    reads the result.  Each task forms one state per group and hands over; the states are shuffled by
-    group, sorted, and folded as they stream by, a few at a time.
+    reads the result.  The rows are dealt out by group and share, sorted, so the rows of a group stand together
+    and states are formed once a share or ``GATHER_ROWS`` rows, however many groups there are; the states are
+    shuffled by group, sorted, and folded as they stream by, a few at a time.
     """
     keys = [df.schema[g] for g in group]
     state_schema = T.StructType([*keys, T.StructField("_state", T.BinaryType())])
@@ -94,5 +95,8 @@ def grouped_agg(df: DataFrame, group: list[str], columns: list[str], partial: Ca
         if held:
             yield made([(*current, finish(merge(held)))], result_arrow)
 
-    states = df.select(*group, *[c for c in columns if c not in group]).mapInArrow(form, state_schema)
+    rows = df.select(*group, *[c for c in columns if c not in group])
+    # the rows of a task are dealt out by turns, so a group that is most of the table is no single task's
+    dealt = rows.repartition(*[F.col(g) for g in group], F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).sortWithinPartitions(*group)
+    states = dealt.mapInArrow(form, state_schema)
     return states.repartition(*group).sortWithinPartitions(*group).mapInArrow(fold, result_schema)

@@ -41,3 +41,12 @@ def test_frequencies_of_all_documents(spark):
     keys = decontaminate.keys_of(decontaminate.hashes_of(["alpha", "beta", "gamma", "delta"], known), sizes[0]).view("int64").tolist()
     every = {k: 50 for k in (keys if sizes[0] == 1 else [keys[0], keys[2]])}
     assert {k: times[k] for k in every} == every
+
+
+def test_states_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(routines, "GATHER_ROWS", 1000)
+    table = spark.range(60_000).coalesce(1).selectExpr("id * 7919 % 60 AS k", "id AS v")
+    states = routines.grouped_agg(table, ["k"], ["v"], lambda p: (1, int(p["v"].sum())), lambda s: tuple(map(sum, zip(*s))), list, "array<bigint>", "out").collect()
+    total = {k: sum(i for i in range(60_000) if i * 7919 % 60 == k) for k in range(60)}
+    assert {r.k: r.out[1] for r in states} == total
+    assert sum(r.out[0] for r in states) <= 60 * 16 + 120  # was one a group for each 1000 rows
