@@ -10,6 +10,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodework.session import stage
+
+#: Pairs of points of a cell that one task tests.
+PAIRS = 1 << 22
 EARTH_M = 6371008.8  # mean radius
 GRID_LIMIT = 85.05112877980659  # latitude limit of Web Mercator
 
@@ -86,17 +90,30 @@ def contains_join(points: DataFrame, polygons: DataFrame, x: str, y: str, ring:
 
 
 def _cell_join(a: DataFrame, b: DataFrame, a_at: list[Column], b_at: list[Column], size: float, near: Column) -> DataFrame:
-    """Pairs that satisfy ``near`` among points of equal or neighbouring cells; ``b`` visits its neighbours."""
+    """Pairs that satisfy ``near`` among points of equal or neighbouring cells; ``b`` visits its neighbours.
+
+    The points of ``a`` in a cell where more than ``PAIRS`` pairs meet are dealt into shares, each of which meets all of
+    ``b`` there, so no task has much more than that at once.
+    """
     dims = range(len(a_at))
     lhs = a.select("*", *[F.floor(c / size).cast("long").alias(f"_a{i}") for i, c in enumerate(a_at)])
     rhs = b.select("*", *[F.floor(c / size).cast("long").alias(f"_c{i}") for i, c in enumerate(b_at)])
     for i in dims:
         base = F.col(f"_c{i}")
         rhs = rhs.select("*", F.explode(F.array(base - 1, base, base + 1)).alias(f"_b{i}"))
-    on = near
-    for i in dims:
-        on = on & (F.col(f"_a{i}") == F.col(f"_b{i}"))
-    return lhs.join(rhs, on).select(*a.columns, *b.columns)
+    mine, theirs = [f"_a{i}" for i in dims], [f"_b{i}" for i in dims]
+    sizes = (lhs.groupBy(*mine).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+             .join(rhs.groupBy(*[F.col(t).alias(m) for m, t in zip(mine, theirs)]).agg(F.count(F.lit(1)).cast("double").alias("_m")), mine))
+    shares = F.ceil(F.col("_n") * F.col("_m") / PAIRS)
+    crowded = stage(sizes.select(*mine, F.least(shares, F.col("_n").cast("long")).alias("_shares")).where("_shares > 1"), "crowded-cells")
+    lhs = lhs.join(crowded, mine, "left").withColumn("_as", F.pmod(F.monotonically_increasing_id(), F.coalesce("_shares", F.lit(1))))
+    rhs = rhs.join(crowded.toDF(*theirs, "_others"), theirs, "left").withColumn("_bs", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_others", F.lit(1)) - 1)))
+    # the files may be few and the sides small, the pairs many: a fixed number of tasks, and no copy of ``b`` in each
+    lhs = lhs.repartition(4 * a.sparkSession.sparkContext.defaultParallelism, *mine, "_as")
+    on = near & (F.col("_as") == F.col("_bs"))
+    for m, t in zip(mine, theirs):
+        on = on & (F.col(m) == F.col(t))
+    return lhs.join(rhs.hint("merge"), on).select(*a.columns, *b.columns)
 
 
 def dwithin_join(a: DataFrame, b: DataFrame, ax: str, ay: str, bx: str, by: str, d: float) -> DataFrame:

@@ -50,3 +50,14 @@ def test_states_of_many_groups(spark, monkeypatch):
     total = {k: sum(i for i in range(60_000) if i * 7919 % 60 == k) for k in range(60)}
     assert {r.k: r.out[1] for r in states} == total
     assert sum(r.out[0] for r in states) <= 60 * 16 + 120  # was one a group for each 1000 rows
+
+
+def test_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(geo, "PAIRS", 500)
+    r = random.Random(4)
+    a = [(i, r.choice([0.0, r.uniform(-2, 2)]), r.choice([0.0, r.uniform(-2, 2)])) for i in range(250)] + [(900, None, 0.0), (901, 0.0, 0.0), (901, 0.0, 0.0)]
+    b = [(j, r.uniform(-1, 1), r.uniform(-1, 1)) for j in range(120)] + [(900, 0.0, None)]
+    found = geo.dwithin_join(spark.createDataFrame(a, "i long, ax double, ay double"), spark.createDataFrame(b, "j long, bx double, by double"), "ax", "ay", "bx", "by", 0.5)
+    want = sorted((i, j) for i, x, y in a for j, u, v in b if None not in (x, y, u, v) and (x - u) ** 2 + (y - v) ** 2 <= 0.25)
+    assert sorted((p.i, p.j) for p in found.collect()) == want
+    assert "_as" in plan_of(found)
