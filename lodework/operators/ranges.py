@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodework.session import stage
 
 MAX_LEVEL = 62
+#: Right rows of a key that every left row of the key is held against.
+FEW = 64
 
 
 def range_blocks(lo: Column, hi: Column, max_level: int = MAX_LEVEL) -> Column:
@@ -251,6 +254,8 @@ def interval_join(left: DataFrame, right: DataFrame, l_from: str, l_to: str, r_f
     Either the left start lies in the right period, or the right start lies inside the left period
     after its start; both cases are containment joins.  A NULL end is open.  Dates count in days;
     ``micros`` is for timestamps.  Columns of the two sides other than ``by`` have different names.
+
+    Rows of a ``by`` key that has at most ``FEW`` right rows meet all of these; blocks are for the other keys.
     """
     by = by or []
     number = (lambda c: F.unix_micros(F.col(c).cast("timestamp"))) if micros else (lambda c: F.unix_date(c).cast("long"))
@@ -262,11 +267,19 @@ def interval_join(left: DataFrame, right: DataFrame, l_from: str, l_to: str, r_f
                 .where(F.col(f"_{tag}s") <= F.col(f"_{tag}e")))
 
     lhs, rhs = bounded(left, l_from, l_to, "l"), bounded(right, r_from, r_to, "r")
+    columns = [*left.columns, *[c for c in right.columns if c not in by]]
+    if by:
+        crowded = stage(rhs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*by), "crowded-keys")
+        few = (side.join(crowded, by, "left_anti") for side in (lhs, rhs))
+        pairs = next(few).join(next(few), by).where(ranges_overlap(F.col("_ls"), F.col("_le"), F.col("_rs"), F.col("_re"))).select(*columns)
+        if crowded.isEmpty():
+            return pairs
+        lhs, rhs = (side.join(crowded, by, "left_semi") for side in (lhs, rhs))
     level = 60 if micros else 31
     first = range_join(lhs, rhs, "_ls", "_rs", "_re", by, max_level=level)
     later = range_join(rhs, lhs.withColumn("_l1", F.col("_ls") + 1), "_rs", "_l1", "_le", by, max_level=level)
-    columns = [*left.columns, *[c for c in right.columns if c not in by]]
-    return first.select(*columns).unionByName(later.select(*columns))
+    met = first.select(*columns).unionByName(later.select(*columns))
+    return pairs.unionByName(met) if by else met
 
 
 def band_join(left: DataFrame, right: DataFrame, value: str, lo: Column, hi: Column, scale: int = 0) -> DataFrame:

@@ -61,3 +61,17 @@ def test_crowded_cells(spark, monkeypatch):
     want = sorted((i, j) for i, x, y in a for j, u, v in b if None not in (x, y, u, v) and (x - u) ** 2 + (y - v) ** 2 <= 0.25)
     assert sorted((p.i, p.j) for p in found.collect()) == want
     assert "_as" in plan_of(found)
+
+
+@pytest.mark.parametrize("few", [3, 64])
+def test_periods_of_few_and_of_many(spark, monkeypatch, few):
+    monkeypatch.setattr(ranges, "FEW", few)
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 1, 2, 3, None]), i, r.randint(0, 60), r.choice([None, r.randint(0, 60)])) for i in range(120)]
+    days = "CAST(date_add(DATE'2024-01-01', {0}) AS date)"
+    p = spark.createDataFrame(rows, "k long, id long, f int, u int").selectExpr("k", "id", days.format("f") + " AS f", days.format("u") + " AS u")
+    got = ranges.interval_join(p.toDF("k", "a", "lf", "lu"), p.toDF("k", "b", "rf", "ru"), "lf", "lu", "rf", "ru", ["k"])
+    end = lambda u: 10 ** 6 if u is None else u
+    want = sorted((a, b) for k, a, f, u in rows for m, b, g, v in rows if k is not None and k == m and f < end(u) and g < end(v) and f < end(v) and g < end(u))
+    assert sorted((x.a, x.b) for x in got.collect()) == want
+    assert ("range_blocks" in str(got) or "explode" in plan_of(got)) == (few == 3)
