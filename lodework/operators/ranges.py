@@ -141,45 +141,38 @@ def _limbs(words: Column) -> Column:
     return F.array(*[F.shiftrightunsigned(words[w], k).bitwiseAND(F.lit(0xFFFFFFFF)) for w in ("hi", "lo") for k in (32, 0)])
 
 
-def ipv6_pieces(a: Column, b: Column) -> Column:
-    """array<struct<limb, before, low, high>>: addresses a..b (limbs) as ranges of one limb behind the limbs before it.
+def _masked_at(words: Column, length: Column) -> Column:
+    """``_masked`` for a length that differs from row to row."""
+    low = lambda n: F.call_function("shiftleft", F.lit(-1).cast("long"), n)
+    hi = F.when(length >= 64, F.lit(-1).cast("long")).when(length == 0, F.lit(0).cast("long")).otherwise(low(64 - length))
+    lo = F.when(length <= 64, F.lit(0).cast("long")).otherwise(low(128 - length))
+    return F.struct(length.alias("length"), words["hi"].bitwiseAND(hi).alias("hi"), words["lo"].bitwiseAND(lo).alias("lo"))
 
-    Up to the first limb that differs the ends agree; there lie the whole values between them, and below it what is left
-    of the first and of the last value.
+
+def _not_after(a: Column, b: Column) -> Column:
+    """a <= b for addresses as two words, which count without sign."""
+    flip = F.lit(-(1 << 63))
+    up = lambda words, w: words[w].bitwiseXOR(flip)
+    return (up(a, "hi") < up(b, "hi")) | ((a["hi"] == b["hi"]) & (up(a, "lo") <= up(b, "lo")))
+
+
+def _blocks_join(addresses: DataFrame, cut: DataFrame, address: str, within: tuple[str, str] | None = None) -> DataFrame:
+    """Addresses beside the rows of ``cut`` whose block ``_b`` holds them: an equi-join by (length, first address).
+
+    ``within`` names the words of the first and last address that are tested too.
     """
-    zero, one, top = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(0xFFFFFFFF)
-    piece = lambda i, before, low, high, when: F.when(when, F.struct(F.lit(i).alias("limb"), before.alias("before"), low.alias("low"), high.alias("high")))
-    out = []
-    for i in range(4):
-        agree = F.slice(a, 1, i) == F.slice(b, 1, i)
-        if i == 3:
-            out.append(piece(3, a, a[3], b[3], agree & (a[3] <= b[3])))
-            continue
-        parts = agree & (a[i] < b[i])
-        out.append(piece(i, a, a[i] + one, b[i] - one, parts))
-        for j in range(i + 1, 4):
-            step = one if j < 3 else zero
-            out += [piece(j, a, a[j] + step, top, parts), piece(j, b, zero, b[j] - step, parts)]
-    return F.filter(F.array(*out), lambda p: p.isNotNull() & (p["low"] <= p["high"]))
-
-
-def _piece_block(piece: Column, block: Column) -> Column:
-    """The aligned block (prefix length, words of its first address) of a block of a piece's limb."""
-    first = F.call_function("shiftleft", block["block"], block["level"])
-    limb = lambda i: F.when(piece["limb"] > i, piece["before"][i]).when(piece["limb"] == i, first).otherwise(F.lit(0).cast("long"))
-    return F.struct((32 * (piece["limb"] + 1) - block["level"]).alias("length"), F.shiftleft(limb(0), 32).bitwiseOR(limb(1)).alias("hi"), F.shiftleft(limb(2), 32).bitwiseOR(limb(3)).alias("lo"))
-
-
-def _blocks_join(addresses: DataFrame, cut: DataFrame, address: str) -> DataFrame:
-    """Addresses beside the rows of ``cut`` whose block ``_b`` holds them: an equi-join by (length, first address)."""
     # at most 129 lengths
     lengths = sorted(r[0] for r in cut.select("_b.length").distinct().collect() if r[0] is not None)
     if not lengths:
         return addresses.join(cut.drop("_b"), F.lit(False))
     own = with_ipv6_words(addresses, address, "_w")
-    own = own.withColumn("_a", F.explode(F.array(*[_masked(F.col("_w"), n) for n in lengths]))).drop("_w")
+    own = own.withColumn("_a", F.explode(F.array(*[_masked(F.col("_w"), n) for n in lengths])))
+    if within is None:
+        own = own.drop("_w")
     on = (F.col("_a.length") == F.col("_b.length")) & (F.col("_a.hi") == F.col("_b.hi")) & (F.col("_a.lo") == F.col("_b.lo"))
-    return own.join(cut, on).drop("_a", "_b")
+    if within is not None:
+        on = on & _not_after(F.col(within[0]), F.col("_w")) & _not_after(F.col("_w"), F.col(within[1]))
+    return own.join(cut, on).drop("_a", "_b", "_w")
 
 
 def ipv6_join(addresses: DataFrame, networks: DataFrame, address: str, network: str) -> DataFrame:
@@ -195,14 +188,22 @@ def ipv6_join(addresses: DataFrame, networks: DataFrame, address: str, network:
 
 
 def ipv6_range_join(addresses: DataFrame, spans: DataFrame, address: str, first: str, last: str) -> DataFrame:
-    """(address row, span row) for each IPv6 address between two addresses, both included; spans need not be networks."""
+    """(address row, span row) for each IPv6 address between two addresses, both included; spans need not be networks.
+
+    A span is filed under the length whose blocks are at least as large as it is, so it lies in one or two of them however
+    long it is; addresses are looked up once per length in use, and the ends decide.
+    """
     # generators keep what they give from being written out anew wherever it is used
     ends = with_ipv6_words(with_ipv6_words(spans, first, "_f"), last, "_e")
     limbs = ends.withColumn("_l", F.explode(F.array(F.struct(_limbs(F.col("_f")).alias("a"), _limbs(F.col("_e")).alias("b")))))
-    pieces = limbs.withColumn("_p", F.explode(ipv6_pieces(F.col("_l.a"), F.col("_l.b"))))
-    blocks = pieces.withColumn("_k", F.explode(range_blocks(F.col("_p.low"), F.col("_p.high"), 32)))
-    cut = blocks.withColumn("_b", F.explode(F.array(_piece_block(F.col("_p"), F.col("_k"))))).drop("_f", "_e", "_l", "_p", "_k")
-    return _blocks_join(addresses, cut, address)
+    # exact where limbs cancel, and never off by more than the room left below
+    gap = F.aggregate(F.zip_with("_l.b", "_l.a", lambda b, a: (b - a).cast("double")), F.lit(0.0), lambda acc, d: acc * float(1 << 32) + d)
+    sized = limbs.withColumn("_g", F.explode(F.array(gap))).where("_g >= 0")
+    level = F.when(F.col("_g") < 1, 0).otherwise(F.least(F.floor(F.log2(F.col("_g") * (1 + 1e-9))).cast("int") + 1, F.lit(128)))
+    filed = sized.withColumn("_n", F.explode(F.array(F.lit(128) - level)))
+    both = F.array_distinct(F.array(_masked_at(F.col("_f"), F.col("_n")), _masked_at(F.col("_e"), F.col("_n"))))
+    cut = filed.withColumn("_b", F.explode(both)).drop("_l", "_g", "_n")
+    return _blocks_join(addresses, cut, address, ("_f", "_e")).drop("_f", "_e")
 
 
 def ranges_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:

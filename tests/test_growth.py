@@ -75,3 +75,15 @@ def test_periods_of_few_and_of_many(spark, monkeypatch, few):
     want = sorted((a, b) for k, a, f, u in rows for m, b, g, v in rows if k is not None and k == m and f < end(u) and g < end(v) and f < end(v) and g < end(u))
     assert sorted((x.a, x.b) for x in got.collect()) == want
     assert ("range_blocks" in str(got) or "explode" in plan_of(got)) == (few == 3)
+
+
+def test_spans_are_filed_in_two_blocks(spark, monkeypatch):
+    filed = []
+    join = ranges._blocks_join
+    monkeypatch.setattr(ranges, "_blocks_join", lambda a, cut, *rest: filed.append(cut.count()) or join(a, cut, *rest))
+    spans = spark.createDataFrame([("2001:db8:1::7", "2001:db8:9::1:3"), ("::1", "::1"), ("::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"), ("::2", "::1")], "x string, y string")
+    points = spark.createDataFrame([("2001:db8:1::6",), ("2001:db8:1::7",), ("2001:db8:9::1:3",), ("2001:db8:9::1:4",), ("::1",)], "ip string")
+    got = sorted((r.ip, r.x) for r in ranges.ipv6_range_join(points, spans, "ip", "x", "y").collect())
+    every = ["2001:db8:1::6", "2001:db8:1::7", "2001:db8:9::1:3", "2001:db8:9::1:4", "::1"]
+    assert got == sorted([(ip, "::") for ip in every] + [("2001:db8:1::7", "2001:db8:1::7"), ("2001:db8:9::1:3", "2001:db8:1::7"), ("::1", "::1")])
+    assert filed[0] <= 6
