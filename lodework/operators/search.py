@@ -49,7 +49,7 @@ ROOM = 1e-5
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """blocks(term, block, max_tf, min_len, entries of id, tf, len) and terms(term, df, total_tf, bits, max_tf, min_len).
+    """blocks(term, block, texts, total_tf, max_tf, min_len, entries of id, tf, len) and terms(term, df, total_tf, bits, max_tf, min_len).
 
     len is the length of the text.  A term's postings are dealt into 2 ** bits blocks by the leading bits of a hash of the
     id, so the block that would hold a given id is known without a search.
@@ -72,29 +72,68 @@ def _block_of(id_col: str, bits: str) -> Column:
 def build_bm25(df: DataFrame, id_col: str, text: str) -> Bm25Index:
     """Term statistics and packed postings of a corpus.
 
-    The text is cut once; counts per (term, id) combine before the shuffle, and all other statistics
-    come from the staged postings.  Texts without a word count as documents of length 0.
+    The words of a text are counted where it is read and go straight to the task that packs their block; all statistics
+    come from the blocks.  How many blocks a term gets is counted beforehand, text by text, which is all but exact.  Texts
+    without a word count as documents of length 0.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     cut = texts.select("id", tokens(F.col("text")).alias("words"))
-    words = cut.select("id", F.size("words").cast("long").alias("len"), F.explode("words").alias("term"))
-    # rows that share an id are one text
-    postings = stage(words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len")), "postings")
-    many = F.col("df") / BLOCK_POSTINGS
-    terms = stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
-                  .withColumn("bits", F.when(many > 1, F.ceil(F.log2(many))).otherwise(0).cast("int")), "terms")
+    many = F.col("rows") / BLOCK_POSTINGS
     # only terms of more than one block have to be looked up
-    wide = postings.join(terms.where("bits > 0").select("term", "bits"), "term", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
-    placed = wide.select("term", _block_of("id", "bits").alias("block"), "id", "tf", "len")
+    wide = stage(cut.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+                 .where(many > 1).select("term", F.ceil(F.log2(many)).cast("int").alias("bits")), "terms-wide")
     kind = texts.schema["id"].dataType.simpleString()
-    blocks = stage(placed.repartition("term", "block").sortWithinPartitions("term", "block").mapInArrow(
-        _packed, f"term string, block bigint, max_tf bigint, min_len bigint, entries array<struct<id: {kind}, tf: bigint, len: bigint>>"), "postings-blocks")
+    counted = cut.mapInArrow(_counted, f"id {kind}, term string, tf bigint, len bigint")
+    placed = counted.join(wide, "term", "left").withColumn("bits", F.coalesce("bits", F.lit(0))).select("term", _block_of("id", "bits").alias("block"), "id", "tf", "len")
+    blocks = stage(placed.repartition("term", "block").sortWithinPartitions("term", "block", "id").mapInArrow(
+        _packed, f"term string, block bigint, texts bigint, total_tf bigint, max_tf bigint, min_len bigint, entries array<struct<id: {kind}, tf: bigint, len: bigint>>"), "postings-blocks")
+    stats = blocks.groupBy("term").agg(F.sum("texts").alias("df"), F.sum("total_tf").alias("total_tf"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    terms = stage(stats.join(wide, "term", "left").withColumn("bits", F.coalesce("bits", F.lit(0))), "terms")
     documents, total = df.count(), terms.agg(F.sum("total_tf")).first()[0] or 0
     return Bm25Index(blocks, terms, documents, total)
 
 
+#: Words that a task counts at a time.
+COUNTED_WORDS = 1 << 20
+
+
+def _counted(batches):
+    """Rows (id, words) to (id, term, tf, len), text by text."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(lists):
+            before = int(ends[start - 1]) if start else 0
+            end = max(int(np.searchsorted(ends, before + COUNTED_WORDS, "right")), start + 1)
+            words = pc.dictionary_encode(lists.slice(start, end - start).flatten())
+            kinds = max(len(words.dictionary), 1)
+            keys = np.repeat(np.arange(end - start), sizes[start:end]) * kinds + words.indices.to_numpy(zero_copy_only=False)
+            keys, tf = np.unique(keys, return_counts=True)
+            row = keys // kinds + start
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), words.dictionary.take(pa.array(keys % kinds)), pa.array(tf.astype(np.int64)), pa.array(sizes[row])],
+                                             ["id", "term", "tf", "len"])
+            start = end
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Which values differ from the one before; NULLs are equal, NaNs too."""
+    out = np.ones(len(values), bool)
+    if pa.types.is_nested(values.type):
+        rows = values.to_pylist()
+        out[1:] = [a != b for a, b in zip(rows[1:], rows)]
+        return out
+    a, b = values.slice(1), values.slice(0, len(values) - 1)
+    flags = lambda x, nan: pc.is_null(x, nan_is_null=nan).to_numpy(zero_copy_only=False)
+    unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    out[1:] = (flags(a, False) != flags(b, False)) | (unlike & ~(flags(a, True) & flags(b, True)))
+    return out
+
+
 def _packed(batches):
-    """Rows sorted by (term, block) to one row per block; the last block of a batch waits for the next batch."""
+    """Rows sorted by (term, block, id) to one row per block, rows that share an id as one text; the last block of a batch
+    waits for the next batch."""
     held = None
     for batch in _then_none(batches):
         table = held if batch is None else pa.Table.from_batches([batch])
@@ -104,8 +143,8 @@ def _packed(batches):
             continue
         table = table.combine_chunks()
         term, block = table.column(0).combine_chunks(), table.column(1).to_numpy()
-        starts = np.ones(len(table), bool)
-        starts[1:] = (block[1:] != block[:-1]) | pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+        starts = _changes(term)
+        starts[1:] |= block[1:] != block[:-1]
         at = np.flatnonzero(starts)
         whole = len(table)
         if batch is not None:
@@ -113,10 +152,14 @@ def _packed(batches):
         if not len(at):
             continue
         ids, tf, length = (table.column(i).combine_chunks().slice(0, whole) for i in (2, 3, 4))
-        entries = pa.StructArray.from_arrays([ids, tf, length], ["id", "tf", "len"])
+        texts = np.flatnonzero(_changes(ids) | starts[:whole])
+        tf, length = np.add.reduceat(tf.to_numpy(), texts), np.maximum.reduceat(length.to_numpy(), texts)
+        first = np.searchsorted(texts, at)  # of each block among the texts
+        entries = pa.StructArray.from_arrays([ids.take(pa.array(texts)), pa.array(tf), pa.array(length)], ["id", "tf", "len"])
         yield pa.RecordBatch.from_arrays(
-            [term.take(pa.array(at)), pa.array(block[at]), pa.array(np.maximum.reduceat(tf.to_numpy(), at)), pa.array(np.minimum.reduceat(length.to_numpy(), at)),
-             pa.ListArray.from_arrays(pa.array(np.append(at, whole).astype(np.int32)), entries)], ["term", "block", "max_tf", "min_len", "entries"])
+            [term.take(pa.array(at)), pa.array(block[at]), pa.array(np.diff(np.append(first, len(texts)))), pa.array(np.add.reduceat(tf, first)), pa.array(np.maximum.reduceat(tf, first)),
+             pa.array(np.minimum.reduceat(length, first)), pa.ListArray.from_arrays(pa.array(np.append(first, len(texts)).astype(np.int32)), entries)],
+            ["term", "block", "texts", "total_tf", "max_tf", "min_len", "entries"])
 
 
 def _then_none(batches):

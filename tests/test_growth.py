@@ -87,3 +87,15 @@ def test_spans_are_filed_in_two_blocks(spark, monkeypatch):
     every = ["2001:db8:1::6", "2001:db8:1::7", "2001:db8:9::1:3", "2001:db8:9::1:4", "::1"]
     assert got == sorted([(ip, "::") for ip in every] + [("2001:db8:1::7", "2001:db8:1::7"), ("2001:db8:9::1:3", "2001:db8:1::7"), ("::1", "::1")])
     assert filed[0] <= 6
+
+
+def test_postings_are_dealt_out_once(spark):
+    """Rows that share an id, NULL ids too, are one text; words are counted before they leave their task."""
+    rows = [(1, "b q q"), (1, "q c"), (None, "q"), (None, "q b"), (2, None), (3, "")] + [(i, "d") for i in range(10, 700)]
+    index = search.build_bm25(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", "text")
+    entries = {(r.term, r.id): (r.tf, r.len) for r in index.blocks.selectExpr("term", "inline(entries)").collect()}
+    assert {k: v for k, v in entries.items() if k[0] != "d"} == {("b", 1): (1, 3), ("c", 1): (1, 2), ("q", 1): (3, 3), ("q", None): (2, 2), ("b", None): (1, 2)} and len(entries) == 5 + 690
+    assert {r.term: (r.df, r.total_tf, r.bits) for r in index.terms.collect()} == {"b": (2, 2, 0), "q": (2, 5, 0), "c": (1, 1, 0), "d": (690, 690, 3)}
+    assert "total_tf" in index.blocks.columns and index.blocks.agg(F.sum("total_tf")).first()[0] == index.total_length
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([["x", "y", "x"], None])], ["id", "words"])
+    assert [b.to_pylist() for b in search._counted([batch])] == [[{"id": 7, "term": "x", "tf": 2, "len": 3}, {"id": 7, "term": "y", "tf": 1, "len": 3}]]
