@@ -8,6 +8,7 @@ from lodework.operators.joins import asof_join, hinted_join
 from lodework.operators.ranges import band_join, cidr_bounds, cidr_join, interval_join, ipv6_join, ipv6_range_join, network_overlap_join, prefix_join
 from lodework.operators.tabular import full_outer
 from lodework.plans.registry import plan
+from lodework.session import stage
 
 
 @plan("join_inner", """
@@ -26,7 +27,8 @@ UNION ALL SELECT 'right', o.k, name, orders FROM c RIGHT JOIN o ON c.k = o.k
 UNION ALL SELECT 'full', coalesce(c.k, o.k), name, orders FROM c FULL JOIN o ON c.k = o.k
 """)
 def join_outer(spark, t):
-    o = t.orders.groupBy((F.col("o_custkey") + 300).alias("k")).agg(F.count(F.lit(1)).alias("orders"))
+    # counted once for all joins, which are planned by its real size
+    o = stage(t.orders.groupBy((F.col("o_custkey") + 300).alias("k")).agg(F.count(F.lit(1)).alias("orders")), "orders-per-customer")
     c = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     kinds = {"left": c.join(o, "k", "left"), "right": c.join(o, "k", "right"), "full": full_outer(c, o, ["k"])}
     out = None

@@ -99,3 +99,13 @@ def test_postings_are_dealt_out_once(spark):
     assert "total_tf" in index.blocks.columns and index.blocks.agg(F.sum("total_tf")).first()[0] == index.total_length
     batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([["x", "y", "x"], None])], ["id", "words"])
     assert [b.to_pylist() for b in search._counted([batch])] == [[{"id": 7, "term": "x", "tf": 2, "len": 3}, {"id": 7, "term": "y", "tf": 1, "len": 3}]]
+
+
+def test_outer_joins_share_one_count(spark):
+    """The joins read the staged counts, whose size the planner knows, and do not group the orders anew."""
+    from lodework.plans import PLANS
+    from tests.harness import DATA
+
+    made = PLANS["join_outer"].run(spark, f"{DATA}/sf0.001")
+    assert "o_custkey" not in plan_of(made)
+    assert {r.kind for r in made.select("kind").distinct().collect()} == {"left", "right", "full"}
