@@ -1,11 +1,15 @@
 """Extremes kept through deletes, against recomputation."""
 
 import random
+from collections import Counter
+from decimal import Decimal
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lodework.session import scratch_path
-from lodework.streaming.extremes import Ends, extremes_view, read_extremes
+from lodework.streaming.extremes import Ends, ValueCounts, extremes_view, read_extremes
 from lodework.streaming.views import run_to_end
 
 
@@ -75,3 +79,72 @@ def test_expiry(spark):
     path = scratch_path(spark, "expiry-view")
     run_to_end(extremes_view(stream, ["k"], "x", "sign", shards=1, event_time="at", keep_ms=3_600_000 * 5), path, partitions=2)
     assert "old" not in {r.k for r in read_extremes(spark, path, ["k"]).collect()}
+
+
+class Kept:
+    """A map and a value as the state of one group, with the number of calls."""
+
+    def __init__(self):
+        self.map, self.one, self.calls = {}, None, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+    def exists(self):
+        return self.one is not None
+
+    def get(self):
+        return self.one
+
+    def update(self, value):
+        self.one = value
+
+
+def changes(values, signs):
+    return pd.DataFrame({"value_": values, "sign_": signs, "has_": [v is not None for v in values], "at_": 0})
+
+
+@pytest.mark.parametrize("value", [int, str, float, Decimal])
+def test_runs(value):
+    """Small parts, deletes before inserts, an emptied end: the ends are those of a recount."""
+    r = random.Random(5)
+    state, held, out = Kept(), Counter(), None
+    counts = ValueCounts(["k"], "any", 3, None, part=7)
+    counts.init(state)
+    for batch in range(60):
+        rows = [(r.randrange(-500, 500), r.choice([1, 1, -1])) for _ in range(r.randrange(1, 60))]
+        live = sorted(v for v, n in held.items() if n > 0)
+        rows += [(v, -held[v]) for v in (live[:8] if batch % 3 else live[-8:])]
+        for v, n in rows:
+            held[v] += n
+        out = next(counts.handleInputRows(("a",), iter([changes([value(v) for v, _ in rows], [n for _, n in rows])]), None))
+        live = sorted(value(v) for v, n in held.items() if n > 0)
+        assert out[["low", "high"]].values.tolist() == [[live[0], live[-1]] if live else [None, None]]
+        assert out.row_count.tolist() == [sum(held.values())]
+    assert sum(state.one[4]) <= 2 * len(held) and len(state.map) == sum(state.one[3])
+
+
+def test_state_calls():
+    """State is called for many values at once: before, two or three times for each."""
+    r = random.Random(6)
+    state = Kept()
+    counts = ValueCounts(["k"], "double", 32, None)
+    counts.init(state)
+    for _ in range(16):
+        list(counts.handleInputRows(("a",), iter([changes([r.random() for _ in range(10_000)], [1] * 10_000)]), None))
+    assert state.calls < 160_000 / 100
