@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Python's \s has these, the tokenizers' pattern has not: such texts are never cut.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
@@ -47,26 +49,31 @@ class PieceCache(dict):
                 out[i] = known[pieces[i]]
         return out
 
+    def distinct(self, pieces: pa.Array) -> tuple[pa.Array, list]:
+        """Each piece's place among the distinct ones, and the results of these: each is looked up once."""
+        coded = pieces.dictionary_encode()
+        return coded.indices, self.values(coded.dictionary.to_pylist())
+
 
-def spaced(text: str) -> tuple[list[str], list[str]]:
-    """A text's pieces for a byte-level pattern: (those as they stand, then those that follow one space).
+def spaced(text: str) -> tuple[list[str], str | None]:
+    """A text's pieces for a byte-level pattern: (those as they stand, then the others joined by spaces, or None).
 
     Texts whose white space is single spaces and line feeds within the text are cut by plain splitting: a piece of
-    the second list stands after a space that is not written in it, or starts with its line feed.  Any other text
-    gives the first list only.
+    the second kind stands after a space that is not written in it, or starts with its line feed.  Any other text
+    gives the first kind only.
     """
     if not text:
-        return [], []
+        return [], None
     if " ".join(text.split()) == text.replace("\n", " "):
-        head, *tail = text.replace("\n", " \n").split(" ")
-        return [head], tail
+        head, space, tail = text.replace("\n", " \n").partition(" ")
+        return [head], tail if space else None
     if ODD_SPACES.search(text):
-        return [text], []
-    return CHUNKS.findall(text), []
+        return [text], None
+    return CHUNKS.findall(text), None
 
 
 def as_written(tail: str) -> str:
-    """A piece of ``spaced``'s second list as the text has it."""
+    """A piece of ``spaced``'s second kind as the text has it."""
     return tail if tail[0] == "\n" else " " + tail
 
 
@@ -95,12 +102,15 @@ class SpacedEncoder:
         return [known[m[1]] + self.marks[m[2]] if (m := marked.get(t)) else known[t] for t in tails]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [([t], []) if any(w in t for w in self.whole) else spaced(t) for t in texts]
+        cut = [([t], None) if any(w in t for w in self.whole) else spaced(t) for t in texts]
         plain = self.plain.values([p for c in cut for p in c[0]])
-        tail = self.tail.values(list(chain.from_iterable(c[1] for c in cut)))
-        out, a, b = [], 0, 0
-        for c in cut:
-            i, j = a + len(c[0]), b + len(c[1])
-            out.append(b"".join(chain(plain[a:i], tail[b:j])))
-            a, b = i, j
+        tails = pc.split_pattern(pa.array([c[1] for c in cut], pa.large_string()), " ")  # none for None
+        place, found = self.tail.distinct(tails.flatten())
+        ends = pc.fill_null(pc.list_value_length(tails), 0).to_numpy().cumsum()
+        each = pa.LargeListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int64()), pa.array(found, pa.large_binary()).take(place))
+        out, a = [], 0
+        for c, tail in zip(cut, pc.binary_join(each, pa.scalar(b"", pa.large_binary())).to_pylist(), strict=True):
+            b = a + len(c[0])
+            out.append(b"".join(plain[a:b]) + tail)
+            a = b
         return out

@@ -38,6 +38,8 @@ from lodework.session import scratch_path
 SHARD = 1 << 18
 #: Rounds of replacement; a pair must occur once in so many ids of the shard.
 ROUNDS, RARITY = 4, 4096
+#: Characters that are encoded together; the more, the fewer of their pieces are distinct.
+TOGETHER = 1 << 23
 HASHED = 1 << 16  # 2 ** 32 >> 16: the shift below
 
 SHARDS = ("task int, shard int, base bigint, n_docs int, n_ids bigint, wide boolean, terminals int, doc_ids binary, "
@@ -56,33 +58,40 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, first: int, rounds: int = R
         if len(ids) < 4:
             break
         left, right = ids[:-1], ids[1:]
-        slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(16)
+        slot = left * np.uint32(0x9E3779B1)
+        slot ^= right * np.uint32(0x85EBCA6B)
+        slot >>= np.uint32(16)
+        slot = slot.astype(np.intp)  # once, for all that follows
         least = max(4, len(ids) // rarity)
         tally = np.bincount(slot, minlength=HASHED)
-        where = np.flatnonzero((tally >= least)[slot] & ~last[:-1])
+        often = (tally >= least)[slot]
+        often &= ~last[:-1]
+        where = np.flatnonzero(often)
         if not len(where):
             break
         sample = np.full(HASHED, -1, np.int64)
-        sample[slot[where]] = where
-        mine = sample[slot[where]]
-        where = where[(left[where] == left[mine]) & (right[where] == right[mine])]
-        exact = np.bincount(slot[where], minlength=HASHED)
+        slot = slot[where]
+        sample[slot] = where
+        mine = sample[slot]
+        same = (left[where] == left[mine]) & (right[where] == right[mine])
+        where, slot = where[same], slot[same]
+        exact = np.bincount(slot, minlength=HASHED)
         number = np.full(HASHED, -1, np.int64)
         frequent = np.flatnonzero(exact >= least)
         if not len(frequent):
             break
         number[frequent] = np.arange(len(frequent))
-        where = where[number[slot[where]] >= 0]
+        symbol = number[slot]
+        where, symbol = where[symbol >= 0], symbol[symbol >= 0]
         starts = np.ones(len(where), bool)
         starts[1:] = np.diff(where) != 1
         run = np.maximum.accumulate(np.where(starts, where, 0))
-        where = where[(where - run) % 2 == 0]
+        even = (where - run) & 1 == 0
+        where, symbol = where[even], symbol[even]
         at = sample[frequent]
-        rules.append(np.stack([left[at], right[at]], axis=1))
-        symbol = (number[slot[where]] + first).astype(np.uint32)
+        rules.append(np.stack([left[at], right[at]], axis=1))  # before the ids that these are views of change
+        ids[where] = (symbol + first).astype(np.uint32)
         first += len(frequent)
-        ids, last = ids.copy(), last.copy()
-        ids[where] = symbol
         last[where] = last[where + 1]
         stay = np.ones(len(ids), bool)
         stay[where + 1] = False
@@ -98,18 +107,28 @@ def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+def _repeats(n: int, places: np.ndarray, each: np.ndarray) -> np.ndarray:
+    out = np.ones(n, np.int64)
+    out[places] = each
+    return out
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
     """Ids that symbols stand for."""
     ends: list[bytes] = []
     for a, b in rules.tolist():
         ends.append((ends[a - terminals] if a >= terminals else a.to_bytes(4, "little")) + (ends[b - terminals] if b >= terminals else b.to_bytes(4, "little")))
-    flat = np.concatenate([np.arange(terminals, dtype=np.uint32), np.frombuffer(b"".join(ends), "<u4")])
-    sizes = np.concatenate([np.ones(terminals, np.int64), lengths.astype(np.int64)])
-    offsets = np.cumsum(sizes) - sizes
-    symbols = symbols.astype(np.int64)
-    each = sizes[symbols]
-    before = np.cumsum(each) - each
-    return flat[np.arange(int(each.sum())) + np.repeat(offsets[symbols] - before, each)]
+    flat, sizes = np.frombuffer(b"".join(ends), "<u4"), lengths.astype(np.int64)
+    # terminals stand for themselves: only the others are looked up
+    places = np.flatnonzero(symbols >= terminals)
+    ruled = symbols[places].astype(np.int64) - terminals
+    each = sizes[ruled]
+    out = np.repeat(symbols.astype(np.uint32), _repeats(len(symbols), places, each))
+    grown = np.cumsum(each) - each
+    starts = places + grown - np.arange(len(places))
+    within = np.arange(int(each.sum())) - np.repeat(grown, each)
+    out[np.repeat(starts, each) + within] = flat[np.repeat((np.cumsum(sizes) - sizes)[ruled], each) + within]
+    return out
 
 
 def pack_shard(doc_ids: list, packed: list[bytes], width: str, terminals: int) -> dict:
@@ -155,7 +174,7 @@ class Spelling:
     pattern reaches over such a border, so each piece's ids are those from one token that opens so to the next.
     """
 
-    TOGETHER = 4096
+    TOGETHER = 512
 
     def __init__(self, tokenizer: Tokenizer, width: str):
         self.tokenizer, self.width = tokenizer, width
@@ -210,7 +229,7 @@ def write_ids(docs: DataFrame, vocab_path: str, path: str, end_id: int = 0, id_c
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, TOGETHER):
                 for doc_id, found in zip(ids[a:b], known.encode(texts[a:b]), strict=True):
                     size = len(found) // len(end) + 1
                     if doc_ids and held + size > SHARD:

@@ -1,5 +1,6 @@
 """Token counts, token files and byte-level BPE against the libraries."""
 
+import tracemalloc
 import base64
 import hashlib
 import random
@@ -12,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from lodework.llm import bpe, repair, token_counts
-from lodework.llm.pieces import PieceCache
+from lodework.llm.pieces import PieceCache, SpacedEncoder
 from tests.llm.cases import by_id, documents, empty, texts
 
 RANKS, BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -111,3 +112,38 @@ def test_grammar_round_trip_and_random_access():
     ends = np.cumsum(np.frombuffer(row["doc_symbols"], "<u4").astype(int))
     sizes = np.array([lengths[s - 50257] if s >= 50257 else 1 for s in symbols.tolist()])
     assert (np.cumsum(sizes)[ends - 1] == np.cumsum(np.frombuffer(row["doc_sizes"], "<u4"))).all()
+
+
+def test_expansion_touches_few_bytes_a_symbol():
+    """Terminals, most of a shard, are copied and not looked up: one array of 8 bytes a symbol beside the results (five before)."""
+    r = np.random.default_rng(4)
+    n, terminals = 400_000, 50_000
+    rules = np.array([[1, 2], [terminals, 3], [terminals + 1, terminals]], np.uint32)
+    lengths = repair.rule_lengths(rules, terminals)
+    symbols = r.integers(0, terminals, n).astype(np.uint16)
+    symbols[r.integers(0, n, n // 100)] = terminals + r.integers(0, 3, n // 100)
+    tracemalloc.start()
+    got = repair.expand(symbols, rules, lengths, terminals)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    spelled = {terminals: [1, 2], terminals + 1: [1, 2, 3], terminals + 2: [1, 2, 3, 1, 2]}
+    assert got.tolist() == [i for s in symbols.tolist() for i in spelled.get(s, [s])]
+    assert peak < 24 * n
+
+
+def test_pieces_are_looked_up_once():
+    """Each distinct piece of the texts encoded together is looked up once, not at every place."""
+
+    class Counting(PieceCache):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    tokenizer = Tokenizer.from_file(BYTE)
+    encoder = SpacedEncoder(repair.Spelling(tokenizer, "<u2").many)
+    encoder.tail = Counting(encoder.tails)
+    some = ["one two two\nthree " * 500 + "end", "", "one", " lead", "two  spaces", "two two,"]
+    assert encoder.encode(some) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
+    assert encoder.tail.asked < 20
