@@ -44,11 +44,16 @@ PER_SEED, BITS = 1 << 12, (1 << 16, 1 << 25)
 #: Words after which a stretch is closed.
 STRETCH = 1 << 16
 WORDS = re.compile(r"\w+")
+#: What ``WORDS`` finds in ASCII is what stands between these spaces.
+ASCII_WORDS = "".join(chr(c) if WORDS.match(chr(c)) else " " for c in range(128))
+#: Characters whose words are looked up together; the more, the fewer of them are distinct.
+LOOKED_UP = 1 << 22
 MATCH, OTHER = 2, -1
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    text = text.lower()
+    return text.translate(ASCII_WORDS).split() if text.isascii() else WORDS.findall(text)
 
 
 def word_cache() -> PieceCache:
@@ -66,7 +71,8 @@ def keys_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def hashes_of(words: list[str], known: PieceCache) -> np.ndarray:
-    return np.array(known.values(words), np.uint64)
+    place, found = known.distinct(pa.array(words, pa.large_string()))
+    return np.array(found, np.uint64)[place.to_numpy()]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
@@ -148,7 +154,7 @@ def frequencies(docs: DataFrame, items: DataFrame, sizes: list[int], id_col: str
         known, bits = worker_store("decontaminate words", word_cache), bitmap.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, LOOKED_UP):
                 every = hashes_of(list(chain.from_iterable(words_of(t) for t in texts[a:b])), known)
                 keys = np.concatenate([keys_of(every, n) for n in sizes])
                 keys, times = np.unique(keys[in_bitmap(bits, keys, shift)], return_counts=True)
@@ -223,7 +229,7 @@ def stretches(docs: DataFrame, bitmap: np.ndarray, groups: list[tuple[int, int,
         known, bits, number = worker_store("decontaminate words", word_cache), shared.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, LOOKED_UP):
                 cut = [words_of(t) for t in texts[a:b]]
                 every = hashes_of(list(chain.from_iterable(cut)), known)
                 ends = np.cumsum([len(w) for w in cut])

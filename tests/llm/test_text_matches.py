@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+import xxhash
 
 from lodework.llm import decontaminate, html_text, licenses, toxicity
 from lodework.llm.pieces import PieceCache
@@ -342,3 +343,27 @@ def test_counterfactuals_move_scores_less(monkeypatch):
 
 def test_texts_are_whole():
     assert len(texts()[73].split()) == 20_000
+
+
+class Counting(PieceCache):
+    """A cache that counts what is looked up."""
+
+    asked = 0
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+def test_words_are_looked_up_once():
+    """Each distinct word of a stretch of text is looked up once, not at every place."""
+    known = Counting(decontaminate.word_cache().encode_many)
+    words = ["one", "two", "thrée"] * 1000
+    assert decontaminate.hashes_of(words, known).tolist() == [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    assert known.asked == 3 and len(decontaminate.hashes_of([], known)) == 0
+
+
+def test_words_of_ascii():
+    every = "".join(map(chr, range(128))) + " Two_words, 3rdK"
+    assert decontaminate.words_of(every) == re.findall(r"\w+", every.lower())
+    assert decontaminate.words_of(every[:-1]) == re.findall(r"\w+", every[:-1].lower())
