@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodework.llm.common import blocks, id_and_text, worker_store
-from lodework.llm.pieces import PieceCache
+from lodework.llm.common import blocks, id_and_text
 from lodework.session import stage
 
 SEED, SIMILARITY = 2, 0.8
@@ -46,8 +45,8 @@ STRETCH = 1 << 16
 WORDS = re.compile(r"\w+")
 #: What ``WORDS`` finds in ASCII is what stands between these spaces.
 ASCII_WORDS = "".join(chr(c) if WORDS.match(chr(c)) else " " for c in range(128))
-#: Characters whose words are looked up together; the more, the fewer of them are distinct.
-LOOKED_UP = 1 << 22
+#: Characters whose words are hashed together; the more, the fewer of them are distinct.
+HASHED = 1 << 22
 MATCH, OTHER = 2, -1
 
 
@@ -56,10 +55,6 @@ def words_of(text: str) -> list[str]:
     return text.translate(ASCII_WORDS).split() if text.isascii() else WORDS.findall(text)
 
 
-def word_cache() -> PieceCache:
-    return PieceCache(lambda words: [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words])
-
-
 def keys_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """One 64-bit key for each n-gram of word hashes."""
     count = max(len(hashes) - n + 1, 0)
@@ -70,9 +65,11 @@ def keys_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def hashes_of(words: list[str], known: PieceCache) -> np.ndarray:
-    place, found = known.distinct(pa.array(words, pa.large_string()))
-    return np.array(found, np.uint64)[place.to_numpy()]
+def hashes_of(words: list[str]) -> np.ndarray:
+    """XXH64 of each word; a distinct one is hashed once."""
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
@@ -129,7 +126,7 @@ def test_items(benchmark: DataFrame, id_col: str, text_col: str, least: float) -
     n-grams in order, the ``size`` of these, and how many to ``keep`` and to ``need`` together."""
 
     def run(batches):
-        known, number = worker_store("decontaminate words", word_cache), TaskContext.get().partitionId() << 36
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -137,7 +134,7 @@ def test_items(benchmark: DataFrame, id_col: str, text_col: str, least: float) -
                 for at in range(0, len(words), PART):
                     own = words[at : at + PART]
                     size, need, keep = seed_plan(len(own), least)
-                    rows.append((number, item_id, " ".join(own), len(own), keys_of(hashes_of(own, known), size).view(np.int64).tolist(), size, need, keep))
+                    rows.append((number, item_id, " ".join(own), len(own), keys_of(hashes_of(own), size).view(np.int64).tolist(), size, need, keep))
                     number += 1
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["number", "item_id", "words", "n", "keys", "size", "need", "keep"])
@@ -151,11 +148,11 @@ def frequencies(docs: DataFrame, items: DataFrame, sizes: list[int], id_col: str
     shift = shift_of(bitmap.value)
 
     def run(batches):
-        known, bits = worker_store("decontaminate words", word_cache), bitmap.value
+        bits = bitmap.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts, LOOKED_UP):
-                every = hashes_of(list(chain.from_iterable(words_of(t) for t in texts[a:b])), known)
+            for a, b in blocks(texts, HASHED):
+                every = hashes_of(list(chain.from_iterable(words_of(t) for t in texts[a:b])))
                 keys = np.concatenate([keys_of(every, n) for n in sizes])
                 keys, times = np.unique(keys[in_bitmap(bits, keys, shift)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "times"])
@@ -226,12 +223,12 @@ def stretches(docs: DataFrame, bitmap: np.ndarray, groups: list[tuple[int, int,
     kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "first": pa.int64(), "words": pa.string(), "keys": pa.list_(pa.int64()), "at": pa.list_(pa.int32())}
 
     def run(batches):
-        known, bits, number = worker_store("decontaminate words", word_cache), shared.value, TaskContext.get().partitionId() << 36
+        bits, number = shared.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts, LOOKED_UP):
+            for a, b in blocks(texts, HASHED):
                 cut = [words_of(t) for t in texts[a:b]]
-                every = hashes_of(list(chain.from_iterable(cut)), known)
+                every = hashes_of(list(chain.from_iterable(cut)))
                 ends = np.cumsum([len(w) for w in cut])
                 places, found = [], []
                 for n, need, near in groups:

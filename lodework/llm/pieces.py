@@ -52,7 +52,7 @@ class PieceCache(dict):
     def distinct(self, pieces: pa.Array) -> tuple[pa.Array, list]:
         """Each piece's place among the distinct ones, and the results of these: each is looked up once."""
         coded = pieces.dictionary_encode()
-        return coded.indices, self.values(coded.dictionary.to_pylist())
+        return coded.indices, self.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
 
 
 def spaced(text: str) -> tuple[list[str], str | None]:
