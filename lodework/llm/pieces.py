@@ -91,15 +91,12 @@ class SpacedEncoder:
 
     def tails(self, tails: list[str]) -> list[bytes]:
         """Results of pieces that follow a space; a word before a mark is looked up without the mark."""
-        marked = {t: m for t in tails if t[-1] in MARKS and (m := MARKED(t))}
-        known = {}
-        for stem in {m[1] for m in marked.values()}:
-            held = self.tail.get(stem) or self.tail.older.get(stem)
-            if held:
-                known[stem] = held
-        fresh = [t for t in dict.fromkeys([*(m[1] for m in marked.values()), *(t for t in tails if t not in marked)]) if t not in known]
-        known.update(zip(fresh, self.encode_many([as_written(t) for t in fresh]), strict=True))
-        return [known[m[1]] + self.marks[m[2]] if (m := marked.get(t)) else known[t] for t in tails]
+        stems = [m[1] if t[-1] in MARKS and (m := MARKED(t)) else t for t in tails]
+        newer, older = self.tail.get, self.tail.older.get
+        known = {s: held for s, t in zip(stems, tails) if s is not t and (held := newer(s) or older(s))}
+        fresh = [s for s in dict.fromkeys(stems) if s not in known]
+        known.update(zip(fresh, self.encode_many([as_written(s) for s in fresh]), strict=True))
+        return [known[s] if s is t else known[s] + self.marks[t[-1]] for s, t in zip(stems, tails)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [([t], None) if any(w in t for w in self.whole) else spaced(t) for t in texts]

@@ -20,6 +20,7 @@ writes no shard and reads as no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -40,6 +41,8 @@ SHARD = 1 << 18
 ROUNDS, RARITY = 4, 4096
 #: Characters that are encoded together; the more, the fewer of their pieces are distinct.
 TOGETHER = 1 << 23
+#: A piece that opens with its only white space.
+OPENED = re.compile(r"[ \n]\S+").fullmatch
 HASHED = 1 << 16  # 2 ** 32 >> 16: the shift below
 
 SHARDS = ("task int, shard int, base bigint, n_docs int, n_ids bigint, wide boolean, terminals int, doc_ids binary, "
@@ -196,7 +199,7 @@ class Spelling:
 
     def many(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        plain = [p[0] in " \n" and p.split() == [p[1:]] for p in pieces]
+        plain = [OPENED(p) is not None for p in pieces]
         for way, size, of in ((self.joined, self.TOGETHER, True), (self.single, max(len(pieces), 1), False)):
             places = [i for i, x in enumerate(plain) if x == of]
             for at in range(0, len(places), size):
