@@ -6,13 +6,18 @@ that is hardly above their Jaccard similarity, since the spacing (``BASE``) is f
 shingle set.  Bands of four registers, 64 bits together, deal the nodes into buckets; two sets of similarity 0.85
 share none of the 32 buckets with probability 6e-11.
 
-Nodes of a bucket meet in rounds.  In the first, all meet the bucket's least node, which links most groups of copies.
-In the later ones, every node outside the bucket's largest component meets every node of another component, a growing
-number of outsiders a round, until one component is left or all outsiders have met everyone.  Before each of them, the
-shingles of the nodes still there are counted: those that no other component holds are a set's own and shared with none it
-could meet.  That bounds what two sets can have in common; nodes with more than 15 % of their own go, and pairs whose own
-parts are too large do not meet.  So no link between different components is lost, and neither a group of a million copies
-of one text nor many texts that share a passage and nothing else cost all their pairs.
+The hub of a bucket is its node with the most neighbours over all buckets, such as the text that edited copies were made
+from; nodes with a hub in common are a group.  First every node meets its hubs, which links most groups of copies.  What
+is left to be found are links from a node outside the hub's component to a node of another component.  For them, the
+shingles of the nodes of such groups are counted: those that no other component holds are a set's own and shared with none
+it could meet, and nodes with more than 15 % of their own go.  In a group with few nodes outside, these meet all others but
+those that the own parts rule out.  In larger ones a set is taken as its difference from the hub.  Two sets differ by what
+just one of the two differences holds, and if both are together small enough to link the sets by that alone, both sets
+are linked with the hub already.  So all other links need shingles that both differences hold; their number follows from
+the sizes, and the first of them, in the order of rarity within the group, lies so far ahead in both that as many can
+follow.  Nodes meet in such shingles, if bit marks of the differences do not tell that too few are in common.  So no link between different components is lost, and neither a group of a million
+copies of one text, nor as many that are nearly but not quite alike, nor many texts that share a passage and nothing else
+cost all their pairs.
 
 A pair that meets is compared by its sizes, then by the joint maximum likelihood of the similarity given which registers
 are less, equal or greater (a pair goes if 0.85 is less likely than the best value by a factor of exp(25)), and what is
@@ -31,12 +36,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodework.llm.common import blocks, id_and_text
 from lodework.llm.simhash import components
-from lodework.operators.ordered import topk
 from lodework.session import stage
 
 #: Registers of a sketch, and how many of them make a band.
@@ -45,9 +49,10 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: How much less likely, as a logarithm, the wanted similarity may be than the best one.
 SLACK = 25.0
-#: Outsiders of a bucket that meet its other nodes in the second round, those with the least of their own; 64 times as many
-#: in each later one.
+#: Nodes outside the hub's component that meet the other nodes of a group whole; if there are more, they meet in shingles.
 OUTSIDERS = 4
+#: Words of 64 bits, each bit for the shingles of a difference that fall on it; a power of two.
+MARKS = 8
 #: Shingles whose hashes are spread over all registers at a time.
 SPREAD = 1 << 10
 
@@ -195,22 +200,85 @@ def confirmed(pairs: DataFrame, rows: DataFrame, sets_of, percent: int) -> DataF
     return both.where(100 * shared >= percent * (F.size("shingles_u") + F.size("shingles_v") - shared)).select("u", "v")
 
 
+def _alike(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can have that similarity."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def grouped(entries: DataFrame) -> DataFrame:
+    """``hub``, ``m`` (its size), ``row``, ``n``: the nodes that share a bucket with a hub, once each, without the hub itself."""
+    shared = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = stage(entries.join(shared, ["band", "key"]), "setsketch-buckets")
+    ranked = buckets.join(buckets.groupBy("row").agg(F.sum("size").alias("met")), "row")
+    hubs = ranked.groupBy("band", "key").agg(F.max_by(F.struct("row", "n"), F.struct("met", -F.col("row"))).alias("hub"))
+    placed = buckets.join(hubs, ["band", "key"]).where("row != hub.row")
+    return stage(placed.select(F.col("hub.row").alias("hub"), F.col("hub.n").alias("m"), "row", "n").distinct(), "setsketch-members")
+
+
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (band, key, row, n) of the buckets that hold more than one component, with ``root`` and the ``largest`` one."""
-    placed = members.join(roots, members.row == roots.node, "left").select("band", "key", "row", "n", F.coalesce("root", "row").alias("root"))
-    counts = placed.groupBy("band", "key", "root").agg(F.count("*").alias("size"))
-    largest = counts.groupBy("band", "key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    return stage(placed.join(largest, ["band", "key"]), "setsketch-open")
+    """Members of the groups that hold more than one component, with ``root`` and ``inside`` (it is the hub's)."""
+    placed = (members.join(roots.toDF("row", "own"), "row", "left").join(roots.toDF("hub", "center"), "hub", "left")
+              .select("hub", "m", "row", "n", F.coalesce("own", "row").alias("root"), F.coalesce("center", "hub").alias("center")))
+    several = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub")
+    return stage(placed.join(several, "hub").select("hub", "m", "row", "n", "root", (F.col("root") == F.col("center")).alias("inside")), "setsketch-open")
 
 
 def with_partners(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members with ``common``, how many of their shingles other components hold, without those too unlike all of them."""
+    """Members with ``common``, how many of their shingles other components hold, without those too unlike all of them, and
+    with ``outside``, how many of their group are not inside."""
     rows = stage(members.groupBy("row").agg(F.min("n").alias("n"), F.min("root").alias("root")), "setsketch-left")
     shingles = sets.join(rows, "row").select("row", "root", F.explode("shingles").alias("shingle"))
     shared = shingles.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     common = shingles.join(shared, "shingle").groupBy("row").agg(F.count("*").alias("common"))
     kept = stage(rows.join(common, "row").where(100 * F.col("common") >= percent * F.col("n")).select("row", "common"), "setsketch-common")
-    return members.join(kept, "row").select("band", "key", "row", "n", "root", "largest", "common")
+    left = stage(members.join(kept, "row"), "setsketch-partners")
+    return left.join(left.where("NOT inside").groupBy("hub").agg(F.count("*").alias("outside")), "hub")
+
+
+def met_whole(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u < v``, maybe repeated, of the members outside and all of their group that their own shingles leave."""
+    chosen = members.where("NOT inside").select("hub", F.col("row").alias("a"), F.col("n").alias("k"), F.col("root").alias("other"), F.col("common").alias("most"))
+    most = F.least("common", "most")
+    return (members.join(chosen, "hub")
+            .where((F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("k"), percent) & (100 * most >= percent * (F.col("n") + F.col("k") - most)))
+            .select(F.least("a", "row").alias("u"), F.greatest("a", "row").alias("v")))
+
+
+def met_in_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u < v``, maybe repeated, of members of different components whose differences from their hub can have enough
+    in common.
+
+    Sets of n and k shingles are linked if they differ by (100 - percent) / (100 + percent) * (n + k) at most, and differ by
+    the sizes of their differences less twice what these have in common.  ``over`` is a member's share in what has to be
+    in common, times 2 * (100 + percent).  A shingle of which ``rest`` and those behind it are as many in both is the first
+    common one of a link only if that many are enough; a bit that one has and the other has not is a shingle of its own.
+    """
+    less, more = 100 - percent, 100 + percent
+    held = members.join(sets.toDF("row", "mine"), "row").join(sets.toDF("hub", "its"), "hub")
+    apart = held.select("hub", "m", "row", "n", "root", "inside", F.concat(F.array_except("mine", "its"), F.array_except("its", "mine")).alias("apart"))
+    each = stage(apart.select("hub", "m", "row", "n", "root", "inside", F.size("apart").cast("long").alias("d"), F.explode("apart").alias("shingle")), "setsketch-apart")
+    counts = each.groupBy("hub", "shingle").agg(F.count("*").alias("holders"), F.min("root").alias("low"), F.max("root").alias("high"))
+    own = Window.partitionBy("hub", "row")
+    at = F.row_number().over(own.orderBy("holders", "shingle")).cast("long")
+    bit = lambda k: F.expr(f"IF(shingle & {MARKS - 1} = {k}, shiftleft(1L, CAST(shiftrightunsigned(shingle, 32) & 63 AS INT)), 0L)")
+    marks = {f"mark{k}": F.bit_or(bit(k)).over(own) for k in range(MARKS)}
+    placed = each.join(counts, ["hub", "shingle"]).withColumns({"at": at, **marks}).where("low < high")
+    placed = placed.withColumn("rest", F.col("d") - F.col("at") + 1).withColumn("over", more * F.col("d") - less * F.col("n"))
+    # no partner's share is less than what its size leaves; one outside is further from the hub than a link
+    near = percent * (F.col("at") - 1) <= less * F.col("n")
+    outer = ~F.col("inside") | (2 * more * F.col("rest") > F.col("over") + less * F.col("m"))
+    firsts = stage(placed.where(near & outer).select("hub", "shingle", "row", "n", "root", "inside", "d", "at", "rest", "over", *marks), "setsketch-firsts")
+    # of a pair, the smaller difference is on the right; it has at least half of what has to be in common
+    short = firsts.where(2 * percent * (F.col("at") - 1) <= less * F.col("n")).select(
+        "hub", "shingle", F.col("row").alias("a"), F.col("n").alias("k"), F.col("root").alias("other"), F.col("inside").alias("within"), F.col("d").alias("e"), F.col("rest").alias("left"), F.col("over").alias("beyond"),
+        *[F.col(m).alias(f"its_{m}") for m in marks])
+    lone = lambda a, b: sum((F.bit_count(F.col(a.format(m)).bitwiseAND(F.bitwise_not(b.format(m)))) for m in marks), F.lit(0))
+    common = F.least("rest", "left", F.col("d") - lone("{}", "its_{}"), F.col("e") - lone("its_{}", "{}"))
+    fits = ((F.col("root") != F.col("other")) & ((F.col("e") < F.col("d")) | ((F.col("e") == F.col("d")) & (F.col("a") < F.col("row"))))
+            & _alike(F.col("n"), F.col("k"), percent) & (2 * more * common >= F.col("over") + F.col("beyond")))
+    found = firsts.where("NOT inside").join(short, ["hub", "shingle"]).where(fits).union(
+        firsts.where("inside").join(short.where("NOT within"), ["hub", "shingle"]).where(fits))
+    return found.select(F.least("a", "row").alias("u"), F.greatest("a", "row").alias("v"))
 
 
 def links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
@@ -220,38 +288,21 @@ def links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = 85
         wanted = stage(nodes.join(needed, "row", "left_semi").select("row", "id", "d1", "d2"), "setsketch-wanted")
         return stage(whole_sets(texts, wanted, width), "setsketch-sets")
 
-    entries = banded(rows.join(nodes.select("row"), "row", "left_semi"))
-    shared = entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("row").alias("least")).where("size > 1")
-    members = stage(entries.join(shared, ["band", "key"]), "setsketch-buckets")
-    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    # the first round: all meet the least node
-    leasts = members.where("row = least").select("band", "key", F.col("n").alias("m"))
-    others = members.where("row != least")
-    pairs = others.join(leasts, ["band", "key"]).where(alike(F.col("n"), F.col("m"))).select(F.col("least").alias("u"), F.col("row").alias("v"))
+    members = grouped(banded(rows.join(nodes.select("row"), "row", "left_semi")))
+    pairs = members.where(_alike(F.col("n"), F.col("m"), percent)).select(F.least("hub", "row").alias("u"), F.greatest("hub", "row").alias("v"))
     met = stage(pairs.distinct(), "setsketch-pairs")
     found = stage(confirmed(met, rows, read_sets, percent), "setsketch-links")
     roots = stage(components(found), "setsketch-roots")
-    members, outsiders, sets = _open(others.select("band", "key", "row", "n"), roots), OUTSIDERS, None
-    while not members.isEmpty():
-        if sets is None:
-            sets = read_sets(stage(members.select("row").distinct(), "setsketch-needed"))
-        members = with_partners(members, sets, percent)
-        chosen = topk(members.where("root != largest"), ["band", "key"], [F.desc(F.col("common") / F.col("n")), F.asc("row")], outsiders, "turn")
-        chosen = stage(chosen.select("band", "key", F.col("row").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("common").alias("most")), "setsketch-outsiders")
-        most = F.least("common", "most")
-        pairs = (members.join(chosen, ["band", "key"])
-                 .where((F.col("root") != F.col("other")) & alike(F.col("n"), F.col("m")) & (100 * most >= percent * (F.col("n") + F.col("m") - most)))
-                 .select(F.least("a", "row").alias("u"), F.greatest("a", "row").alias("v")).distinct())
-        new = stage(pairs.join(met, ["u", "v"], "left_anti"), "setsketch-pairs")
-        met = met.union(new)
-        more = stage(confirmed(new, rows, lambda needed: sets, percent), "setsketch-links")
-        if not more.isEmpty():
-            found = found.union(more)
-            roots = stage(components(found), "setsketch-roots")
-        gone = chosen.select("band", "key", F.col("a").alias("row"))
-        members = _open(members.select("band", "key", "row", "n").join(gone, ["band", "key", "row"], "left_anti"), roots)
-        outsiders *= 64
-    return roots
+    members = _open(members, roots)
+    if members.isEmpty():
+        return roots
+    sets = read_sets(stage(members.select("row").union(members.select("hub")).distinct(), "setsketch-needed"))
+    members = stage(with_partners(members, sets, percent), "setsketch-outsiders")
+    pairs = met_whole(members.where(F.col("outside") <= OUTSIDERS), percent).union(
+        met_in_shingles(members.where(F.col("outside") > OUTSIDERS), sets, percent))
+    new = stage(pairs.distinct().join(met, ["u", "v"], "left_anti"), "setsketch-pairs")
+    more = stage(confirmed(new, rows, lambda needed: sets, percent), "setsketch-links")
+    return roots if more.isEmpty() else stage(components(found.union(more)), "setsketch-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3) -> DataFrame:

@@ -88,6 +88,26 @@ def test_group_without_a_common_neighbour(spark):
     assert got == brute(rows)
 
 
+def test_crowd_of_texts_nearly_alike_makes_few_pairs(spark, monkeypatch):
+    """Hardly any two are linked, but for every tenth and a copy of it with one more edit; all pairs would be 54,000."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    made = [edited(base, r, r.choice([4, 5])) for _ in range(300)]
+    made += [edited(t.split(), r, 1) for t in made[::10]]
+    r.shuffle(made)
+    rows = list(enumerate(made))
+    pairs, confirmed = [], setsketch.confirmed
+
+    def counted(found, *others):
+        pairs.append(found.count())
+        return confirmed(found, *others)
+
+    monkeypatch.setattr(setsketch, "confirmed", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(pairs) < 10 * len(rows), pairs
+
+
 def test_odd_rows(spark):
     known = {**texts(), 99: "no id"}
     want = brute(known.items())
