@@ -9,14 +9,19 @@ Adaptive execution splits a block that holds much of the point side.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodework.session import stage
 
 MAX_LEVEL = 62
 #: Right rows of a key that every left row of the key is held against.
 FEW = 64
+#: Addresses of a block, and networks of a block, that meet as one row.
+PAGE = 256
 
 
 def range_blocks(lo: Column, hi: Column, max_level: int = MAX_LEVEL) -> Column:
@@ -35,6 +40,14 @@ def range_blocks(lo: Column, hi: Column, max_level: int = MAX_LEVEL) -> Column:
     return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), at_level)), lambda b: b.isNotNull())
 
 
+def _filed(ranges: DataFrame, lo: str, hi: str, by: list[str], max_level: int) -> tuple[DataFrame, list[int]]:
+    """The ranges beside each block ``_rb`` of level ``_rl`` they are made of, ``by`` renamed; the levels in use, at most 63."""
+    cut = ranges.withColumn("_b", F.explode(range_blocks(F.col(lo).cast("long"), F.col(hi).cast("long"), max_level)))
+    cut = cut.select(*[F.col(c).alias(f"_by_{c}") if c in by else F.col(c) for c in ranges.columns],
+                     F.col("_b.level").alias("_rl"), F.col("_b.block").alias("_rb"))
+    return cut, sorted(r[0] for r in cut.select("_rl").distinct().collect())
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
                by: list[str] | None = None, how: str = "inner", max_level: int = MAX_LEVEL) -> DataFrame:
     """Pairs with ``lo <= point <= hi`` (integer columns) and equal ``by`` columns.
@@ -43,11 +56,7 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
     ``by``: columns must be named alike on both sides; the right copy is dropped.
     """
     by = by or []
-    cut = ranges.withColumn("_b", F.explode(range_blocks(F.col(lo).cast("long"), F.col(hi).cast("long"), max_level)))
-    cut = cut.select(*[F.col(c).alias(f"_by_{c}") if c in by else F.col(c) for c in ranges.columns],
-                     F.col("_b.level").alias("_rl"), F.col("_b.block").alias("_rb"))
-    # at most 63 values
-    levels = sorted(r[0] for r in cut.select("_rl").distinct().collect())
+    cut, levels = _filed(ranges, lo, hi, by, max_level)
     spread = points.withColumn("_p", F.explode(F.array(*[
         F.struct(F.lit(k).alias("level"), F.shiftright(F.col(point).cast("long"), k).alias("block"))
         for k in levels]) if levels else F.expr("array()"))) if how == "inner" else None
@@ -83,9 +92,48 @@ def cidr_bounds(cidr: Column) -> Column:
     return F.struct(lo.alias("lo"), (lo + size - 1).alias("hi"))
 
 
+def _pages(rows: DataFrame, columns: list[str], out: str, levels: list[int] | None = None) -> DataFrame:
+    """(level, block, ``out``): rows of a task that lie in one block, at most ``PAGE`` together; nothing is shuffled.
+
+    ``rows`` are ``columns`` followed by level and block or, with ``levels``, by a number that lies in a block of each.
+    """
+    width, size = len(columns), PAGE
+
+    def pack(batches):
+        for batch in batches:
+            fields = [batch.schema.field(i) for i in range(width)]
+            held = pa.StructArray.from_arrays([batch.column(i) for i in range(width)], fields=fields)
+            kind = pa.list_(pa.field("element", held.type, nullable=False))
+            last = batch.column(batch.num_columns - 1).to_numpy()
+            filed = [(batch.column(width).to_numpy(), last)] if levels is None else [(np.full(len(last), k), last >> k) for k in levels]
+            for level, block in filed if len(last) else ():
+                new = np.flatnonzero((np.diff(level) != 0) | (np.diff(block) != 0)) + 1
+                starts = np.union1d(new, np.arange(0, len(last), size))
+                ends = pa.array(np.append(starts, len(last)), pa.int32())
+                pages = pa.ListArray.from_arrays(ends, held, type=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(level[starts], pa.int32()), pa.array(block[starts], pa.int64()), pages], ["level", "block", out])
+
+    schema = T.StructType().add("level", "integer").add("block", "long").add(out, T.ArrayType(rows.select(*columns).schema, containsNull=False))
+    return rows.sortWithinPartitions(*rows.columns[width:]).mapInArrow(pack, schema)
+
+
 def cidr_join(addresses: DataFrame, networks: DataFrame, address: str = "ip", lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """(address row, network row) for each address inside a network, given as integers."""
-    return range_join(addresses, networks, address, lo, hi, max_level=32)
+    """(address row, network row) for each address inside a network, given as integers.
+
+    A crowded block gives as many rows as its addresses times its networks.  They are therefore joined page by page, and
+    the rows of two pages follow each other: an address comes in a run, the networks of the page come again with the next
+    address.  However many a block has, files then hold a row in a fraction of its bytes.
+    """
+    cut, levels = _filed(networks, lo, hi, [], 32)
+    if not levels:
+        return addresses.join(networks, F.lit(False))
+    placed = addresses.withColumn("_at", F.col(address).cast("long")).where("_at IS NOT NULL")
+    # the networks of a block in few pages; the number lets a crowded block span several tasks
+    cut = cut.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange("_rl", "_rb", "_tie").drop("_tie")
+    met = _pages(placed, addresses.columns, "_addresses", levels).join(_pages(cut, networks.columns, "_networks"), ["level", "block"])
+    # a function that is not compiled takes addresses one by one: compiled loops keep all rows they make of a row
+    one_by_one = F.filter("_addresses", lambda row: F.lit(True))
+    return met.select(F.inline(one_by_one), "_networks").select(*addresses.columns, F.inline("_networks"))
 
 
 def network_overlap_join(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_lo: str, r_hi: str) -> DataFrame:

@@ -109,3 +109,43 @@ def test_outer_joins_share_one_count(spark):
     made = PLANS["join_outer"].run(spark, f"{DATA}/sf0.001")
     assert "o_custkey" not in plan_of(made)
     assert {r.kind for r in made.select("kind").distinct().collect()} == {"left", "right", "full"}
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_addresses_meet_networks_in_pages(spark, monkeypatch, threshold):
+    monkeypatch.setattr(ranges, "PAGE", 7)
+    monkeypatch.setattr(ranges, "_pages", lambda *a, f=ranges._pages: packed.append(f(*a)) or packed[-1])
+    packed = []
+    r = random.Random(6)
+    ips = [(i, r.choice([5, 5, 70, r.randint(-300, 900), None]), str(i)) for i in range(400)] + [(0, 5, "0")] * 20
+    nets = [(i, lo, lo + r.choice([0, 3, 63, 200, -1])) for i in range(60) for lo in [r.randint(-200, 800)]] * 2 + [(90, None, 5), (91, 4, None), (92, 5, 5)] + [(100 + i, 4, 5) for i in range(20)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        a = spark.createDataFrame(ips, "id long, ip long, name string").repartition(3)
+        found = ranges.cidr_join(a, spark.createDataFrame(nets, "net int, lo long, hi long"))
+        got = sorted((x.id, x.ip, x.name, x.net) for x in found.collect())
+        assert found.columns == ["id", "ip", "name", "net", "lo", "hi"] and found.schema["net"].dataType.simpleString() == "int"
+        assert got == sorted((i, ip, name, net) for i, ip, name in ips for net, lo, hi in nets if None not in (ip, lo, hi) and lo <= ip <= hi)
+        assert [p.agg(F.max(F.size(p.columns[2]))).first()[0] for p in packed[:2]] == [7, 7]
+        assert ranges.cidr_join(a.where("id < 0"), spark.createDataFrame(nets, "net int, lo long, hi long")).isEmpty()
+        assert ranges.cidr_join(a, spark.createDataFrame([], "net int, lo long, hi long")).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(("threshold", "addresses", "networks"), [("100m", 20_000, 150), ("100m", 100_000, 30), ("-1", 20_000, 150)])
+def test_answer_of_crowded_networks_is_small(spark, tmp_path, threshold, addresses, networks):
+    """Blocks of many networks, addresses in any order: 3 million rows, whichever side is sent to all tasks."""
+    blocks = addresses // 75
+    a = spark.range(0, addresses, 1, 2).selectExpr("id", f"(id * 2654435761) % {blocks} * 256 + id % 256 AS ip")
+    n = spark.range(blocks * networks).selectExpr("id AS net", f"id % {blocks} * 256 AS lo", f"id % {blocks} * 256 + 255 AS hi")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        ranges.cidr_join(a, n).select("id", "ip", "net").write.parquet(str(tmp_path / "met"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.read.parquet(str(tmp_path / "met")).count() == 3_000_000
+    written = sum(p.stat().st_size for p in (tmp_path / "met").glob("*.parquet"))
+    assert written < 3_000_000
