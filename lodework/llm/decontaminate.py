@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodework.llm.common import blocks, id_and_text
+from lodework.llm.pieces import PieceCache
 from lodework.session import stage
 
 SEED, SIMILARITY = 2, 0.8
@@ -55,6 +56,11 @@ def words_of(text: str) -> list[str]:
     return text.translate(ASCII_WORDS).split() if text.isascii() else WORDS.findall(text)
 
 
+def word_cache() -> PieceCache:
+    """Hashes of words that are kept from one call of ``hashes_of`` to the next."""
+    return PieceCache(lambda words: list(map(xxhash.xxh64_intdigest, words)))
+
+
 def keys_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """One 64-bit key for each n-gram of word hashes."""
     count = max(len(hashes) - n + 1, 0)
@@ -65,11 +71,12 @@ def keys_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def hashes_of(words: list[str]) -> np.ndarray:
-    """XXH64 of each word; a distinct one is hashed once."""
+def hashes_of(words: list[str], known: PieceCache | None = None) -> np.ndarray:
+    """XXH64 of each word; a distinct one is hashed, or looked up in ``known``, once."""
     coded = pa.array(words, pa.large_string()).dictionary_encode()
     distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-    return np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
+    found = map(xxhash.xxh64_intdigest, distinct) if known is None else known.values(distinct.tolist())
+    return np.fromiter(found, np.uint64, len(distinct))[coded.indices.to_numpy()]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
